@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import leaks, packing, repeats, splitting
+from folioflow.llm import leaks, packing, repeats, scans, splitting
 from folioflow.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,19 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+# 1: noise of scanned pages
+
+
+@query
+def p1_found(spark: SparkSession, base: str) -> DataFrame:
+    return scans.noise(table(spark, base, "docs"), table(spark, base, "ocr_results"))
+
+
+@query
+def p1_pages(spark: SparkSession, base: str) -> DataFrame:
+    return scans.paragraphs(table(spark, base, "docs"), table(spark, base, "ocr_results"))
+
+
 # 3: lines repeated across one site's documents
 
 
