@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import leaks, packing, repeats, scans, splitting
+from folioflow.llm import leaks, packing, pages, repeats, residue, scans, splitting
 from folioflow.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,6 +67,19 @@ ORACLE["p3_clean"] = _P3 + (
 )
 
 
+# 5: the main body of web pages
+
+
+@query
+def p5_found(spark: SparkSession, base: str) -> DataFrame:
+    return pages.label_blocks(table(spark, base, "articles")).filter("NOT body").select("article_id", "line_no")
+
+
+@query
+def p5_body(spark: SparkSession, base: str) -> DataFrame:
+    return pages.main_text(table(spark, base, "articles"))
+
+
 # 6: oversized items
 
 
@@ -94,6 +107,23 @@ SELECT DISTINCT item_table, doc_id, outer_no, inner_no FROM c JOIN lim ON target
 """
 
 
+# 7: template residue and error pages
+
+
+def _flags(spark: SparkSession, base: str) -> DataFrame:
+    return residue.flag_records(table(spark, base, "articles"), table(spark, base, "ocr_results"))
+
+
+@query
+def p7_found(spark: SparkSession, base: str) -> DataFrame:
+    return _flags(spark, base).filter("is_residue").select("record_table", "record_key")
+
+
+@query
+def p7_scores(spark: SparkSession, base: str) -> DataFrame:
+    return _flags(spark, base)
+
+
 # 8: containers of fixed capacity
 
 

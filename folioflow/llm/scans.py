@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from folioflow.operators.common import cut_lineage
+
 #: Glyphs that scanning confuses, and the one that stands for both in a skeleton; then sequences likewise, in
 #: the letters that the first step leaves. Fixed values.
 CONFUSED_FROM = "ceyvbh" + "@0íìîï†159!6(|$83áàóòú"
@@ -111,8 +113,8 @@ def _core(c: Column) -> Column:
 def _analyse(docs: DataFrame, ocr: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Lines with their marks, and the misread tokens with the form that replaces each."""
     lines = page_lines(docs, ocr)
-    marked = mark_furniture(lines, docs.select(F.col("id").alias("doc_id"), "title"))
-    text = _words(marked.filter(~F.col("furniture")))
+    marked = cut_lineage(mark_furniture(lines, docs.select(F.col("id").alias("doc_id"), "title")))
+    text = cut_lineage(_words(marked.filter(~F.col("furniture"))))
     # tokens that no cut touches
     inner = F.expr("CASE WHEN size(toks) = 0 THEN array() ELSE slice(toks, IF(was_cut, 2, 1), greatest(0, size(toks) - IF(was_cut, 1, 0) - IF(cut, 1, 0))) END")
     keys = ["field", "doc_id", "page", "line_no"]
@@ -124,6 +126,7 @@ def _analyse(docs: DataFrame, ocr: DataFrame) -> tuple[DataFrame, DataFrame]:
     group = W.partitionBy("skel").orderBy(F.col("n").desc(), "w")
     clean = ~F.col("w").rlike(r"[^\p{L}'’]")
     forms = forms.withColumn("best_n", F.max(F.when(clean, F.col("n"))).over(W.partitionBy("skel"))).withColumn("best", F.first(F.when(clean, F.col("w")), ignorenulls=True).over(group.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
+    forms = cut_lineage(forms)
     rare = forms.filter((F.col("best_n") >= FREQUENT) & (F.col("w") != F.col("best")) & ((F.col("n") <= F.col("best_n") * RARE) | ~clean)).select("w", "best")
     wrong = parts.join(rare, "w")
     # several frequent forms of one skeleton: the one most often seen after the same left neighbour
