@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.pages import is_furniture
+from folioflow.llm.pages import bare, is_furniture
 
 SAMPLE_RECORDS = 6_000
 ROUNDS = 5
@@ -45,7 +45,7 @@ _QUOTED = re.compile(r"`[^`\n]*`|“[^”\n]*”|„[^“\n]*“|«[^»\n]*»|
 _MENTION = re.compile(r"\b(?:said the|answered with an?|tells its readers|thought)\b", re.I)
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]{2,}")
 _CJK = re.compile(r"[぀-ヿ一-鿿]+")
-_END = re.compile(r"[.!?。！？…।؟]")
+_END = re.compile(r"[.!?。！？…।؟][\"”»’」』)*_]*(?:\s|$)|[。！？]")
 _MARKS = "{%<_*@[$#T"
 
 
@@ -147,11 +147,11 @@ def judge(text: str | None, wrapped: bool, model: Bayes, memo: dict[str, float])
         holes += s >= 1e9
         residue += s >= 1e9 or (s >= THRESHOLD and not p.startswith("#"))
     if not residue:
-        return 0, 0, sum(_END.search(p) is not None for p, _ in scored)
+        return 0, 0, sum(_END.search(bare(p)) is not None for p, _ in scored)
     titled, prose = wrapped, 0
     for p, s in scored:
         titled |= p.startswith("# ")
-        prose += titled and s < THRESHOLD and len(p) >= 8 and _END.search(p) is not None and not is_furniture(p)
+        prose += titled and s < THRESHOLD and len(p) >= 8 and _END.search(bare(p)) is not None and not is_furniture(p)
     return holes, residue, prose
 
 
