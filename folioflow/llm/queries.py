@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import leaks, packing, pages, repeats, residue, scans, splitting
+from folioflow.llm import leaks, packing, pages, repeats, residue, scans, spam, splitting
 from folioflow.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -169,3 +169,16 @@ d AS (SELECT k, unnest(list_transform(range(1, len(a) - 10), lambda i: array_to_
 e AS (SELECT k, unnest(list_transform(range(1, len(a) - 10), lambda i: array_to_string(a[i:i + 11], ' '))) AS g FROM v)
 """
 ORACLE["p9_found"] = _P9 + "SELECT DISTINCT d.k AS doc_id, e.k AS item_id FROM d JOIN e USING (g)"
+
+
+# 10: keyword-stuffed and link-list pages
+
+
+@query
+def p10_found(spark: SparkSession, base: str) -> DataFrame:
+    return spam.score_documents(table(spark, base, "documents")).filter("is_spam").select("doc_id").distinct()
+
+
+@query
+def p10_scores(spark: SparkSession, base: str) -> DataFrame:
+    return spam.score_documents(table(spark, base, "documents"))
