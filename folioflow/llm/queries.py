@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import leaks, packing, pages, repeats, residue, scans, spam, splitting
+from folioflow.llm import leaks, packing, pages, repeats, residue, scans, sentences, spam, splitting
 from folioflow.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,6 +67,19 @@ ORACLE["p3_clean"] = _P3 + (
 )
 
 
+# 4: sentences across languages
+
+
+@query
+def p4_found(spark: SparkSession, base: str) -> DataFrame:
+    return sentences.section_sentences(table(spark, base, "sections")).select("doc_id", "section_id", "para_idx", "char_start")
+
+
+@query
+def p4_docs(spark: SparkSession, base: str) -> DataFrame:
+    return sentences.document_sentences(table(spark, base, "docs").dropDuplicates(["id", "markdown"]))
+
+
 # 5: the main body of web pages
 
 
