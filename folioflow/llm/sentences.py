@@ -112,7 +112,7 @@ def fit(rows: list[tuple[str, str, str, int]]) -> Model:
                 found.add(w)
         start, inner_ = ev.get("start", {}), ev.get("inner", {})
         n_start, n_words = sum(start.values()), sum(start.values()) + sum(inner_.values())
-        starters = {w for w, k in start.items() if k / (k + inner_.get(w, 0)) >= STARTER_SHARE and llr(k, k + inner_.get(w, 0), n_start - k, max(1, n_words - k - inner_.get(w, 0))) >= STARTER_LLR}
+        starters = {w for w, k in start.items() if (len(w) > 1 or not w.isascii()) and k / (k + inner_.get(w, 0)) >= STARTER_SHARE and llr(k, k + inner_.get(w, 0), n_start - k, max(1, n_words - k - inner_.get(w, 0))) >= STARTER_LLR}
         pairs = set()
         total = sum(ev.get("pair", {}).values())
         firsts, seconds = Counter(), Counter()
@@ -123,7 +123,7 @@ def fit(rows: list[tuple[str, str, str, int]]) -> Model:
             seconds[b] += k
             if b != "#" and not b[:1].islower():
                 upper[a] += k
-                ends[a] += k * (start.get(b, 0) >= 0.05 * (start.get(b, 0) + inner_.get(b, 0)))
+                ends[a] += k * (len(b) > 1) * (start.get(b, 0) >= 0.05 * (start.get(b, 0) + inner_.get(b, 0)))
         for p, k in ev.get("pair", {}).items():
             a, b = p.split("\t")
             often = b == "#" or k >= 0.3 * (start.get(b, 0) + inner_.get(b, 0))
