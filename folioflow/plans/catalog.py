@@ -1,6 +1,6 @@
 """All queries of the core; importing this fills the registry."""
 
-from folioflow.plans import dates
+from folioflow.plans import dates, library
 from folioflow.plans.registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "dates"]
+__all__ = ["ORACLE", "QUERIES", "dates", "library"]
