@@ -1 +1 @@
-"""Part of folioflow; see README."""
+"""Operators over DataFrames."""
