@@ -34,7 +34,7 @@ def split_sentences(text: Column) -> Column:
     mark = "\u0001"
 
     def parts(pattern: str) -> Column:
-        return F.filter(F.transform(F.split(F.regexp_replace(text, pattern, f"$1{mark}"), mark, -1), F.trim), lambda x: x != "")
+        return F.filter(F.transform(F.split(F.regexp_replace(text, pattern, f"$1{mark}"), mark, -1), lambda x: F.trim(x)), lambda x: x != "")
 
     strict = parts(rf"([.!?]{_CLOSE})\s+(?=[A-Z0-9\"']|[(\[][A-Z0-9\"'])")
     return F.when(F.size(strict) > 1, strict).otherwise(parts(r"([.!?])\s+"))
@@ -101,7 +101,7 @@ def pack_pieces(text: Column, limit: int = 220) -> Column:
         return F.aggregate(parts, empty, step, lambda acc: F.filter(F.array_append(acc["done"], acc["cur"]), lambda x: x != ""))
 
     t = F.trim(text)
-    clauses = F.filter(F.transform(F.split(t, r"\s*;\s*|\s+[—–,:]\s+|\s*[()]\s*", -1), F.trim), lambda x: x != "")
+    clauses = F.filter(F.transform(F.split(t, r"\s*;\s*|\s+[—–,:]\s+|\s*[()]\s*", -1), lambda x: F.trim(x)), lambda x: x != "")
     by_words = lambda x: pack(F.split(x, r"\s+", -1), " ")
     by_clauses = F.flatten(F.transform(pack(clauses, ", "), lambda x: F.when(F.length(x) > limit, by_words(x)).otherwise(F.array(x))))
     return F.when(t == "", F.array().cast("array<string>")).when(F.length(t) <= limit, F.array(t)).when(F.size(clauses) > 1, by_clauses).otherwise(by_words(t))

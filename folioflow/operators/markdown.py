@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,3 +26,328 @@ def table_records(md: Column) -> Column:
     n = F.size(rows).cast("string")
     out = F.transform(rows, lambda r, i: F.concat(F.lit("Row "), (i + 1).cast("string"), F.lit(" of "), n, F.lit(": "), text(r), F.lit(".")))
     return F.when(F.size(lines) > 1, out).otherwise(F.array().cast("array<string>"))
+
+
+# Row-local structure: plain functions, applied to whole documents in Arrow batches.
+
+_FENCE = re.compile(r"^\s*```")
+_HEADING = re.compile(r"^(#{1,6})\s+(.+)$")
+_RULE = re.compile(r"^\s*(?:[-*_]\s*){3,}$")
+_ITEM = re.compile(r"^(\s*)(?:([-*+•])|(\d{1,3})[.)])(?:\s+|\s*$)")
+_BARE_MAX = 60
+_TERMINAL = re.compile(r"[.!?…][\"')\]]*$")
+_SENTENCE = re.compile(r"([.!?][\"')\]]*)\s+(?=[A-Z0-9\"']|[(\[][A-Z0-9\"'])")
+_STRIP = (
+    (re.compile(r"```.*?```", re.S), ""), (re.compile(r"`([^`]+)`"), r"\1"), (re.compile(r"^\s*>\s?", re.M), ""), (re.compile(r"^[ \t]*(?:[-*_][ \t]*){3,}$", re.M), ""),
+    (re.compile(r"^\s*\[[^\]]+\]:\s*\S.*$", re.M), ""), (re.compile(r"!\[[^\]]*\]\([^)]+\)"), ""), (re.compile(r"\[([^\]]+)\](?:\[[^\]]*\]|\([^)]+\))"), r"\1"),
+    (re.compile(r"</?[A-Za-z][A-Za-z0-9-]*(?=[\s/>])[^>]*>"), ""), (re.compile(r"(\*\*|__|~~)(\S(?:[^\n]*?\S)?)\1"), r"\2"), (re.compile(r"(?<![\w*])\*(\S(?:[^*\n]*\S)?)\*(?![\w*])"), r"\1"),
+    (re.compile(r"(?<!\w)_(\S(?:[^_\n]*\S)?)_(?!\w)"), r"\1"), (re.compile(r"^[ \t]*[-*+•][ \t]+(?:\[[ xX]\][ \t]+)?", re.M), ""), (re.compile(r"\A\s*\d{1,3}[.)]\s+|^[ \t]+\d{1,3}[.)]\s+", re.M), ""),
+    (re.compile(r"^#{1,6}\s+", re.M), ""), (re.compile(r"\s+"), " "),
+)
+
+
+def spoken(text: str) -> str:
+    """A block's Markdown as the text that is read."""
+    for pattern, put in _STRIP:
+        text = pattern.sub(put, text)
+    return text.strip()
+
+
+def spoken_sentences(text: str) -> list[str]:
+    """Sentences of a block; where the strict rule finds one only, any final mark before a space divides."""
+    plain = spoken(text)
+    if not plain:
+        return []
+    strict = [p.strip() for p in _SENTENCE.sub("\\1\x01", plain).split("\x01") if p.strip()]
+    return strict if len(strict) > 1 else [p for p in re.split(r"(?<=[.!?])\s+", plain) if p]
+
+
+def _bare(line: str) -> bool:
+    """A short line without an end: an item of an unmarked list rather than wrapped prose."""
+    t = line.strip()
+    last = t.split()[-1].strip("([\"')];:,.!?") if t else ""
+    return bool(t) and len(t) <= _BARE_MAX and t[-1] not in ",;:—–-" and not _TERMINAL.search(t) and not re.match(r"^\s*(?:#{1,6}\s|[-*+•]\s|\d{1,3}[.)]\s|>|\|)", line) and not re.fullmatch(r"[A-Za-z]{1,4}", last)
+
+
+def starts_item(before: str, line: str) -> bool:
+    """Whether a line break divides two unmarked items."""
+    if not _bare(before):
+        return False
+    lead = line.lstrip()[:1]
+    return (lead.isascii() and lead.isupper()) or (lead.isdigit() and not before.split()[-1].lstrip("([\"'")[:1].isupper())
+
+
+def _line_kind(line: str) -> str:
+    s = line.strip()
+    if not s:
+        return "blank"
+    if _HEADING.match(s):
+        return "heading"
+    if _RULE.match(line):
+        return "hr"
+    if s[0] == "|":
+        return "table"
+    return "list-item" if _ITEM.match(line) else "blockquote" if s[0] == ">" else "paragraph"
+
+
+def blocks(lines: list[str]) -> list[dict]:
+    """Blocks of a section's lines: kind, raw, level, ordered. An unfinished fence is dropped with its lines."""
+    out: list[dict] = []
+    fence: list[str] | None = None
+    item: dict | None = None  # the list item that indented lines go on with
+    indent = 0
+    last = "blank"
+    n = len(lines)
+    for i, line in enumerate(lines):
+        if _FENCE.match(line):
+            fence = [line] if fence is None else [*fence, line]
+            if len(fence) > 1 and fence[-1] is line:
+                out.append({"kind": "code", "lines": fence})
+                fence = None
+            item, last = None, "blank"
+            continue
+        if fence is not None:
+            fence.append(line)
+            continue
+        if re.match(r"\t| {4}", line) and line.strip() and (i == 0 or not lines[i - 1].strip()) and (i == n - 1 or not lines[i + 1].strip()):
+            line = line.lstrip()  # one indented line alone is a centred title
+        kind = _line_kind(line)
+        if kind == "list-item":
+            m = _ITEM.match(line)
+            if last == "paragraph" and m.group(3) and int(m.group(3)) != 1:
+                kind = "paragraph"  # only a first number breaks into prose
+                out[-1]["lines"].append(line)
+                continue
+            at = len(m.group(1).expandtabs(4))
+            text = line.replace("•", "-", 1) if m.group(2) == "•" else line
+            if item is None or at <= indent:
+                item, indent = {"kind": kind, "lines": [text], "ordered": m.group(3) is not None}, at
+                out.append(item)
+            else:
+                item["lines"].append(text)
+            last = kind
+        elif item is not None and kind in ("paragraph", "blockquote") and line[:1].isspace():
+            item["lines"].append(line)
+        elif kind == "blank":
+            item, last = None, kind
+        elif kind in ("heading", "hr"):
+            out.append({"kind": kind, "lines": [line.strip()]} | ({"level": len(_HEADING.match(line.strip()).group(1))} if kind == "heading" else {}))
+            item, last = None, "blank"
+        else:
+            item = None
+            if kind == last and not (kind == "paragraph" and starts_item(out[-1]["lines"][-1], line)):
+                out[-1]["lines"].append(line)
+            else:
+                out.append({"kind": kind, "lines": [line]})
+            last = kind
+    return out
+
+
+def sections(md: str) -> list[dict]:
+    """Sections of a document: id, titles, level, heading, paragraphs (lists of sentences), blocks.
+
+    A title replaces those at its level and below among the titles that are left above it; a section
+    without a sentence is dropped.
+    """
+    parts: list[tuple[int, str | None, list[str], list[str]]] = []
+    stack: list[str] = []
+    lines: list[str] = []
+    level, heading, code = 0, None, False
+    for line in md.split("\n"):
+        if _FENCE.match(line):
+            code = not code
+        m = None if code else _HEADING.match(line.strip())
+        if m is None:
+            lines.append(line)
+            continue
+        parts.append((level, heading, list(stack), lines))
+        level, heading, lines = len(m.group(1)), m.group(2).strip(), []
+        stack = [*stack[: level - 1], heading]
+    parts.append((level, heading, list(stack), lines))
+    out: list[dict] = []
+    for level, heading, titles, lines in parts:
+        paragraphs: list[list[str]] = []
+        metas: list[dict] = []
+        if heading is not None:
+            metas.append({"kind": "heading", "raw": f"{'#' * level} {heading}", "para_idx": 0, "level": level, "ordered": None})
+            paragraphs.append(spoken_sentences(heading) or [heading])
+        for b in blocks(lines):
+            raw = "\n".join(b["lines"])
+            said = [] if b["kind"] in ("code", "hr") else spoken_sentences(raw)
+            metas.append({"kind": b["kind"], "raw": raw, "para_idx": len(paragraphs) if said else None, "level": b.get("level"), "ordered": b.get("ordered")})
+            if said:
+                paragraphs.append(said)
+        if paragraphs:
+            out.append({"id": len(out), "titles": titles or ["Document"], "level": level or 1, "heading": heading, "paragraphs": paragraphs, "blocks": metas})
+    return out
+
+
+SECTIONS = "array<struct<id:int,titles:array<string>,level:int,heading:string,paragraphs:array<array<string>>,blocks:array<struct<kind:string,raw:string,para_idx:int,level:int,ordered:boolean>>>>"
+
+
+def _column(f, kind: str):
+    """``f`` over a column of strings, a batch at a time; null stays null."""
+
+    @F.pandas_udf(kind)
+    def run(s: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else f(x) for x in s], dtype=object)
+
+    return run
+
+
+def parse_sections(md: Column) -> Column:
+    """Sections of a Markdown column."""
+    return _column(sections, SECTIONS)(md)
+
+
+def join_continuations(md: str) -> str:
+    """Paragraphs that a column or page break cut, joined; tables split by blank lines repaired."""
+    paras: list[str] = []
+    code = False
+    for chunk in re.split(r"(\n\s*\n)", md):
+        if not chunk.strip():
+            continue
+        odd = len(re.findall(r"^\s*```", chunk, re.M)) % 2
+        if code:
+            paras[-1] += "\n\n" + chunk
+        else:
+            # headings and quotes stand alone, the rest of a chunk stays together
+            for piece in re.split(r"\n(?=\s*(?:#{1,6}\s|>))|(?<=\n)(?=\|)", chunk.strip("\n")) if not odd else [chunk.strip("\n")]:
+                paras.append(piece)
+        code ^= bool(odd)
+    out: list[str] = []
+    is_table = lambda p: all(x.lstrip().startswith("|") for x in p.split("\n") if x.strip())
+    fixed = lambda p: _HEADING.match(p.strip().split("\n")[0]) or p.lstrip().startswith((">", "```")) or is_table(p) or "```" in p
+    for p in paras:
+        before = out[-1] if out else ""
+        if out and is_table(p) and is_table(before):
+            out[-1] += "\n" + p
+            continue
+        lead = p.lstrip()[:1]
+        open_end = bool(before) and not fixed(before) and (before.rstrip().endswith("-") or not _TERMINAL.search(before.strip()))
+        goes_on = not fixed(p) and (before.rstrip().endswith("-") or (lead.isascii() and lead.islower()) or ((lead.isdigit() or lead == "(") and not _bare(before.split("\n")[-1])))
+        if open_end and goes_on:
+            out[-1] = before.rstrip()[:-1] + p.lstrip() if before.rstrip().endswith("-") else before.rstrip() + " " + p.lstrip()
+        else:
+            out.append(p.strip("\n"))
+    return "\n\n".join(out)
+
+
+def reflow(md: Column) -> Column:
+    """See :func:`join_continuations`."""
+    return _column(join_continuations, "string")(md)
+
+
+def calm_capitals(md: str) -> str:
+    """Runs of two or more words in capitals, and single ones of five letters or more, in title case; not within fences."""
+    code = False
+    out = []
+    for line in md.split("\n"):
+        if _FENCE.match(line):
+            code = not code
+        elif not code:
+            line = re.sub(r"\b[A-Z]{2,}(?:\W+[A-Z]{2,})+\b|\b[A-Z]{5,}\b", lambda m: re.sub(r"[A-Z]+", lambda w: w.group()[0] + w.group()[1:].lower(), m.group()), line)
+        out.append(line)
+    return "\n".join(out)
+
+
+def normalise_capitals(md: Column) -> Column:
+    """See :func:`calm_capitals`."""
+    return _column(calm_capitals, "string")(md)
+
+
+def drop_image_notes(md: str) -> str:
+    """Image comments, a line "Other" right after one, and other comments gone; page breaks kept."""
+    out: list[str] = []
+    after_image = False
+    for line in md.split("\n"):
+        if re.search(r"<!--\s*page\s*break\s*-->", line, re.I):
+            out.append(line)
+            after_image = False
+        elif re.fullmatch(r"\s*<!--\s*image\s*-->\s*", line, re.I):
+            after_image = True
+        elif after_image and line.strip() == "Other":
+            after_image = False
+        else:
+            bare = re.sub(r"<!--.*?-->", "", line)
+            if bare.strip() or bare == line:
+                out.append(line if bare == line else bare.strip())
+            after_image &= not line.strip()
+    return "\n".join(out)
+
+
+def strip_image_notes(md: Column) -> Column:
+    """See :func:`drop_image_notes`."""
+    return _column(drop_image_notes, "string")(md)
+
+
+def mark_pages(pages: list[str], first: int = 1) -> tuple[str, list[dict]]:
+    """Pages joined with "Page N." lines, the unfinished first sentence of each page carried back; and where each page lies."""
+    out, where = "", []
+    texts = [p.strip() for p in pages]
+    for k, text in enumerate(texts):
+        if out and text and not _TERMINAL.search(out.rstrip()) and text[:1].islower():
+            end = re.search(r"[.!?][\"')\]]*(?=\s|$)", text)
+            cut = end.end() if end else len(text)
+            head, text = text[:cut], text[cut:].lstrip()
+            body = out.rstrip()
+            out = body[:-1] + head if body.endswith("-") else f"{body} {head}"
+        at = len(out) + (2 if out else 0)
+        out = f"{out}\n\nPage {first + k}." if out else f"Page {first + k}."
+        if text:
+            out += "\n\n" + text
+        where.append({"page": first + k, "char_start": at, "char_end": len(out), "start_line": out[:at].count("\n") + 1})
+    return out, where
+
+
+def join_pages(pages: Column) -> Column:
+    """Arrays of pages as one text with page markers and the page map; see :func:`mark_pages`."""
+
+    @F.pandas_udf("struct<markdown:string,pages:array<struct<page:int,char_start:int,char_end:int,start_line:int>>>")
+    def run(batch: pd.Series) -> pd.DataFrame:
+        got = [mark_pages([x or "" for x in p]) if p is not None else (None, None) for p in batch]
+        return pd.DataFrame({"markdown": [m for m, _ in got], "pages": [w for _, w in got]})
+
+    return run(pages)
+
+
+#: Line comment and block comment marks of common languages, fixed values.
+COMMENTS = {
+    "python": ("#", None), "bash": ("#", None), "ruby": ("#", None), "yaml": ("#", None), "javascript": ("//", ("/*", "*/")), "typescript": ("//", ("/*", "*/")), "java": ("//", ("/*", "*/")),
+    "c": ("//", ("/*", "*/")), "cpp": ("//", ("/*", "*/")), "go": ("//", ("/*", "*/")), "rust": ("//", ("/*", "*/")), "sql": ("--", ("/*", "*/")), "lua": ("--", ("--[[", "]]")), "css": (None, ("/*", "*/")), "html": (None, ("<!--", "-->")),
+}
+_ALIASES = {"py": "python", "sh": "bash", "js": "javascript", "ts": "typescript", "c++": "cpp", "yml": "yaml", "rb": "ruby", "rs": "rust"}
+
+
+def code_comments(fence: str) -> list[str]:
+    """Comments of a fenced block, by its language or shebang; none for an unknown one; marks within strings don't count."""
+    lines = fence.split("\n")
+    name = lines[0].strip().lstrip("`").strip().split(" ")[0].lower() if lines else ""
+    if not name and len(lines) > 1 and lines[1].startswith("#!"):
+        name = re.sub(r"[\d.]+$", "", lines[1].split("/")[-1].split(" ")[-1])
+    marks = COMMENTS.get(_ALIASES.get(name, name))
+    if marks is None:
+        return []
+    single, pair = marks
+    text = "\n".join(x for x in lines[1:] if not x.startswith("#!") and not _FENCE.match(x))
+    ends = [r"\"(?:\\.|[^\"\\\n])*\"", r"'(?:\\.|[^'\\\n])*'", r"`(?:\\.|[^`\\])*`"]
+    if pair:
+        ends.append(f"(?P<block>{re.escape(pair[0])}.*?{re.escape(pair[1])})")
+    if single:
+        ends.append(f"(?P<line>{re.escape(single)}[^\n]*)")
+    out = []
+    for m in re.finditer("|".join(ends), text, re.S):
+        got = m.groupdict()
+        body = got.get("line") or got.get("block")
+        if not body:
+            continue
+        inner = body[len(single) :] if got.get("line") else body[len(pair[0]) : -len(pair[1])]
+        said = " ".join(re.sub(r"^\s*\*+\s?|[#/*-]{3,}", "", x).strip() for x in inner.split("\n")).strip()
+        if re.search(r"[^\W\d_]{2}", said):
+            out.append(said)
+    return out
+
+
+def extract_comments(fence: Column) -> Column:
+    """See :func:`code_comments`."""
+    return _column(code_comments, "array<string>")(fence)

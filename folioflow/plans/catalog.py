@@ -1,6 +1,6 @@
 """All queries of the core; importing this fills the registry."""
 
-from folioflow.plans import dates, library, texts
+from folioflow.plans import dates, documents, library, sequences, texts
 from folioflow.plans.registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "dates", "library", "texts"]
+__all__ = ["ORACLE", "QUERIES", "dates", "documents", "library", "sequences", "texts"]
