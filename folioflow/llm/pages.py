@@ -195,6 +195,8 @@ def _pad(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def fit(pages: list[list[str]], steps: int = STEPS, min_count: int = MIN_COUNT, l2: float = 0.02) -> Field:
     """Maximum likelihood by gradient ascent; the gradient is from the forward and backward sums of all pages at once."""
+    if not pages:
+        return Field({}, np.zeros(0), np.zeros((2, 2)))
     memo: dict = {}
     feats = [page_features(p, memo) for p in pages]
     gold = np.array([y for p in pages for y in silver_labels(p)], float)

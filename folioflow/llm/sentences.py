@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.llm.spam import language
-from folioflow.operators.common import bounded_rows
+from folioflow.operators.common import bounded_rows, unlike
 
 ABBREVIATION_LLR = 1.0
 STARTER_LLR = 12.0
@@ -240,7 +240,7 @@ def split_texts(texts: DataFrame, model: Model, text_col: str = "text", whole_co
     """``texts`` less its text, with sentence_no, char_start, sentence: a row per sentence.
 
     Null and blank texts have none; where ``whole_col`` is true the text is one unit; a text of any length
-    is split whole; repeated rows are split each.
+    is split whole; repeated rows are split each; a kept column named like a result's gets the ending _in.
     """
     keys = [c for c in texts.columns if c not in (text_col, whole_col)]
     names = [f"_k{i}" for i in range(len(keys))]
@@ -263,7 +263,7 @@ def split_texts(texts: DataFrame, model: Model, text_col: str = "text", whole_co
             yield pa.RecordBatch.from_arrays([*(batch.column(c).take(index) for c in names), pa.array(number, pa.int32()), pa.array(start, pa.int32()), pa.array(piece, pa.string())], [*names, "sentence_no", "char_start", "sentence"])
 
     out = df.mapInArrow(run, f"{schema + ', ' if schema else ''}sentence_no int, char_start int, sentence string")
-    return out.select(*[F.col(k).alias(c) for c, k in zip(keys, names, strict=True)], "sentence_no", "char_start", "sentence")
+    return out.select(*[F.col(k).alias(c) for c, k in zip(unlike(keys, ("sentence_no", "char_start", "sentence")), names, strict=True)], "sentence_no", "char_start", "sentence")
 
 
 def section_paragraphs(sections: DataFrame) -> DataFrame:

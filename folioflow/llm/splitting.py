@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioflow.operators.common import unlike
+
 #: Strength of the boundary that a match ends with, strongest first. Fixed values.
 _BOUNDARIES = (
     (5, re.compile(r"\n[ \t]*\n\s*")),
@@ -82,7 +84,7 @@ def split_oversized(items: DataFrame, text_col: str, max_size: Column, overlap:
     """Columns of ``items`` but ``text_col``, then piece_no, char_start, piece: for items longer than ``max_size`` only.
 
     Sizes are code points. Items that fit, null and empty texts give no rows; a null limit sets none;
-    repeated rows are split each. The overlap must be under the limit, else an error says so.
+    repeated rows are split each; a kept column named like a result's gets the ending _in. The overlap must be under the limit, else an error says so.
     """
     keys = [c for c in items.columns if c != text_col]
     names = {c: f"_k{i}" for i, c in enumerate(keys)}
@@ -104,7 +106,8 @@ def split_oversized(items: DataFrame, text_col: str, max_size: Column, overlap:
             yield pa.RecordBatch.from_arrays([*kept, pa.array(number, pa.int32()), pa.array(start, pa.int32()), pa.array(piece, pa.string())], [*names.values(), "piece_no", "char_start", "piece"])
 
     out = over.mapInArrow(run, f"{schema}, piece_no int, char_start int, piece string")
-    return out.select(*[F.col(n).alias(c) for c, n in names.items()], "piece_no", "char_start", "piece")
+    kept = unlike(keys, ("piece_no", "char_start", "piece"))
+    return out.select(*[F.col(n).alias(c) for c, n in zip(kept, names.values(), strict=True)], "piece_no", "char_start", "piece")
 
 
 def reading_items(tts_chunks: DataFrame, sections: DataFrame) -> DataFrame:
