@@ -35,3 +35,13 @@ def bounded_rows(df: DataFrame, limit: int) -> list | None:
 def salt_of(key: Column, n: int) -> Column:
     """A salt in [0, n) that depends on ``key`` alone, so that a retried task gives the same rows."""
     return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+
+
+def unlike(columns: list[str], taken: tuple[str, ...]) -> list[str]:
+    """Names for kept columns beside an operator's own: one that clashes gets the ending _in."""
+    out: list[str] = []
+    for c in columns:
+        while c in taken or c in out:
+            c += "_in"
+        out.append(c)
+    return out
