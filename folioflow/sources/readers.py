@@ -130,7 +130,7 @@ class _Markdown(HTMLParser):
 
     def text(self) -> str:
         t = "".join(self.out).replace("\x02", " ")
-        t = re.sub(r"\[\s*\]\([^)]*\)|(\*\*)\s*\1", "", t)
+        t = re.sub(r"(?<!!)\[\s*\]\([^)]*\)|(\*\*)\s*\1", "", t)
         lines = [x.rstrip() for x in t.split("\n")]
         return re.sub(r"\n{3,}", "\n\n", "\n".join(x if x.startswith("    ") else x.lstrip() for x in lines)).strip()
 
