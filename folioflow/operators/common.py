@@ -6,6 +6,7 @@ import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -45,3 +46,16 @@ def unlike(columns: list[str], taken: tuple[str, ...]) -> list[str]:
             c += "_in"
         out.append(c)
     return out
+
+
+def ranked(df: DataFrame, name: str, *order: Column | str) -> DataFrame:
+    """``df`` with its place, from 1, in a total order.
+
+    The sort is by ranges, as many as there are partitions; a place is the rows of the ranges before
+    plus the place within one's own, so no task sees all rows. Rows equal in ``order`` come in any order.
+    """
+    placed = cut_lineage(df.orderBy(*order).withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()))
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # a row a partition
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    out = placed.join(before.drop("_n"), "_part")
+    return out.withColumn(name, F.col("_before") + F.col("_row").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_part", "_row", "_before")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from folioflow.functions import text as X
+from folioflow.operators.common import ranked
 
 
 def distinct_items(items: DataFrame) -> DataFrame:
@@ -79,9 +80,13 @@ def playlist_stats(stats: DataFrame, chars_per_second: float = 15.0) -> DataFram
 def overview(items: DataFrame, sections: DataFrame) -> DataFrame:
     """The library's first page: every playlist with its totals, time left and place in the order of listening."""
     once = distinct_items(items)
-    rank = F.row_number().over(W.orderBy(F.coalesce("last_listened_at", F.lit(-1)).desc(), F.col("updated_at").desc(), "playlist_id"))
     lists = playlists(once).select("playlist_id", "updated_at", "last_listened_at")
-    return playlist_stats(item_stats(once, sections)).join(lists, "playlist_id").withColumn("place", rank)
+    return by_listening(playlist_stats(item_stats(once, sections)).join(lists, "playlist_id"))
+
+
+def by_listening(lists: DataFrame) -> DataFrame:
+    """Playlists with their place: last listened first, never listened last, then last changed."""
+    return ranked(lists, "place", F.coalesce("last_listened_at", F.lit(-1)).desc(), F.col("updated_at").desc(), F.col("playlist_id"))
 
 
 def unassigned(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -127,14 +132,10 @@ def resolve_voices(requests: DataFrame, voices: DataFrame, fallback: str) -> Dat
 
 def grouped_voices(voices: DataFrame) -> DataFrame:
     """(label, place, names): voices in labelled groups, groups and names in order."""
-    w = W.orderBy(X.language_rank(F.col("language")), F.lower("language"), X.dialect_rank(F.col("dialect")), F.lower(F.coalesce("dialect", F.lit(""))), X.gender_rank(F.col("gender")), "label")
     rows = voices.withColumn("label", X.group_label(F.col("language"), F.col("dialect"), F.col("gender")))
-    return (
-        rows.groupBy("language", "dialect", "gender", "label")
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct(X.natural_key(F.col("name")).alias("k"), "name"))), lambda x: x["name"]).alias("names"))
-        .withColumn("place", F.row_number().over(w))
-        .select("label", "place", "names")
-    )
+    groups = rows.groupBy("language", "dialect", "gender", "label").agg(F.transform(F.array_sort(F.collect_list(F.struct(X.natural_key(F.col("name")).alias("k"), "name"))), lambda x: x["name"]).alias("names"))
+    order = (X.language_rank(F.col("language")), F.lower("language"), X.dialect_rank(F.col("dialect")), F.lower(F.coalesce("dialect", F.lit(""))), X.gender_rank(F.col("gender")), F.col("label"))
+    return ranked(groups, "place", *order).select("label", "place", "names")
 
 
 def latest(rows: DataFrame, key: str, at: str, *ties: Column | str) -> DataFrame:

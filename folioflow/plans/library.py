@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from folioflow.functions import text as X
 from folioflow.operators import library as L
+from folioflow.operators.common import ranked
 from folioflow.plans.registry import query
 from folioflow.sources.tables import table
 
@@ -37,7 +38,7 @@ def _items(spark: SparkSession, base: str) -> DataFrame:
     return L.distinct_items(table(spark, base, "playlist_items"))
 
 
-@query(f"WITH {ITEMS},{SENTENCES},{STATS},{PLAYLISTS},{TOTALS} SELECT ps.*, updated_at, last_listened_at, row_number() OVER (ORDER BY coalesce(last_listened_at, -1) DESC, updated_at DESC, playlist_id)::INTEGER AS place FROM ps JOIN pl USING (playlist_id)")
+@query(f"WITH {ITEMS},{SENTENCES},{STATS},{PLAYLISTS},{TOTALS} SELECT ps.*, updated_at, last_listened_at, row_number() OVER (ORDER BY coalesce(last_listened_at, -1) DESC, updated_at DESC, playlist_id)::BIGINT AS place FROM ps JOIN pl USING (playlist_id)")
 def library_overview(spark: SparkSession, base: str) -> DataFrame:
     return L.overview(table(spark, base, "playlist_items"), table(spark, base, "sections"))
 
@@ -252,8 +253,7 @@ def f15_next_item(spark: SparkSession, base: str) -> DataFrame:
 
 @query(f"WITH {ITEMS},{PLAYLISTS} SELECT playlist_id, row_number() OVER (ORDER BY coalesce(last_listened_at, -1) DESC, updated_at DESC, playlist_id) AS place FROM pl")
 def g01_sort_playlists(spark: SparkSession, base: str) -> DataFrame:
-    w = W.orderBy(F.coalesce("last_listened_at", F.lit(-1)).desc(), F.col("updated_at").desc(), "playlist_id")
-    return L.playlists(_items(spark, base)).select("playlist_id", F.row_number().over(w).alias("place"))
+    return L.by_listening(L.playlists(_items(spark, base))).select("playlist_id", "place")
 
 
 @query("SELECT id, updated_at FROM (SELECT DISTINCT id, updated_at FROM docs) ORDER BY updated_at DESC, id LIMIT 50")
@@ -268,19 +268,19 @@ NATURAL = r"regexp_replace(regexp_replace(lower(name), '(\d+)', '0000000000\1',
 
 @query(f"""WITH v AS (SELECT name, language, dialect, gender, {LABEL} AS label, {RANKS} FROM voices),
 g AS (SELECT language, dialect, gender, label, any_value(coalesce(nullif(lr, 0) - 1, 5)) AS a, any_value(coalesce(nullif(dr, 0) - 1, 4)) AS b, any_value(coalesce(nullif(gr, 0) - 1, 2)) AS c, list(name ORDER BY {NATURAL}, name) AS names FROM v GROUP BY 1, 2, 3, 4)
-SELECT label, row_number() OVER (ORDER BY a, lower(language) NULLS FIRST, b, lower(coalesce(dialect, '')), c, label)::INTEGER AS place, names FROM g""")
+SELECT label, row_number() OVER (ORDER BY a, lower(language) NULLS FIRST, b, lower(coalesce(dialect, '')), c, label)::BIGINT AS place, names FROM g""")
 def h08_voice_groups(spark: SparkSession, base: str) -> DataFrame:
     return L.grouped_voices(table(spark, base, "voices"))
 
 
-@query(f"SELECT name, engine, row_number() OVER (ORDER BY {NATURAL}, name, engine)::INTEGER AS place FROM voices")
+@query(f"SELECT name, engine, row_number() OVER (ORDER BY {NATURAL}, name, engine)::BIGINT AS place FROM voices")
 def g04_natural_order(spark: SparkSession, base: str) -> DataFrame:
-    return table(spark, base, "voices").select("name", "engine", F.row_number().over(W.orderBy(X.natural_key(F.col("name")), "name", "engine")).alias("place"))
+    return ranked(table(spark, base, "voices").select("name", "engine"), "place", X.natural_key(F.col("name")), F.col("name"), F.col("engine"))
 
 
-@query("SELECT name, engine, row_number() OVER (ORDER BY lower(strip_accents(name)), name, engine)::INTEGER AS place FROM voices")
+@query("SELECT name, engine, row_number() OVER (ORDER BY lower(strip_accents(name)), name, engine)::BIGINT AS place FROM voices")
 def g05_sort_names(spark: SparkSession, base: str) -> DataFrame:
-    return table(spark, base, "voices").select("name", "engine", F.row_number().over(W.orderBy(F.lower(F.translate("name", "áàâäéèêëíìîïóòôöúùûüñç", "aaaaeeeeiiiioooouuuunc")), "name", "engine")).alias("place"))
+    return ranked(table(spark, base, "voices").select("name", "engine"), "place", F.lower(F.translate("name", "áàâäéèêëíìîïóòôöúùûüñç", "aaaaeeeeiiiioooouuuunc")), F.col("name"), F.col("engine"))
 
 
 @query("SELECT doc_id, list(DISTINCT page ORDER BY page) AS pages FROM ocr_results WHERE failed GROUP BY 1")
