@@ -46,7 +46,12 @@ _MENTION = re.compile(r"\b(?:said the|answered with an?|tells its readers|though
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]{2,}")
 _CJK = re.compile(r"[぀-ヿ一-鿿]+")
 _END = re.compile(r"[.!?。！？…।؟][\"”»’」』)*_]*(?:\s|$)|[。！？]")
-_MARKS = "{%<_*@[$#T"
+#: Parts of which a passage must hold one for PLACEHOLDER, and a lower-cased one for TRUSTED, to match: cheap to look for.
+_MARKS = ("{", "%", "<", "__", "*|", "@@", "[[", "[INSERT", "[YOUR", "[ENTER", "[ADD", "TBD", "[object")
+_HINTS = (
+    "script", "スクリプト", "page ", "not available in", "denied", "expired", "unavailable", "moved or deleted", "browser", "gefunden", "introuvable", "página", "ページ",
+    "ipsum", "asdf", "blindtext", "sample text", "click to edit", "text here", "tk", "coming soon", "[illegible]", "unable to read", "too blurred", "markdown", "extracted", "content", "error", "output", "model",
+)
 
 
 def passages(text: str | None, wrapped: bool) -> list[str]:
@@ -68,25 +73,31 @@ def passages(text: str | None, wrapped: bool) -> list[str]:
         else:
             out.append(s)
             fresh = False
-    return [_QUOTED.sub(" ∎ ", p) if any(q in p for q in "`“„«「\"") else p for p in out]
+    return [_QUOTED.sub(" ∎ ", p) if any([q in p for q in "`“„«「\""]) else p for p in out]
 
 
 def tokens(passage: str) -> set[str]:
     """Words, numbers as one, runs of signs, and pairs of characters of scripts without spaces."""
     low = passage.lower()
-    found = {("#" if t[0].isdigit() else t) for t in _TOKEN.findall(low)}
-    for run in _CJK.findall(low):
-        found.update(run[i : i + 2] for i in range(len(run) - 1))
+    found = set(_TOKEN.findall(low))
+    if any(map(str.isdigit, found)):
+        found = {("#" if t[0].isdigit() else t) for t in found}
+    if not low.isascii():
+        for run in _CJK.findall(low):
+            found.update(run[i : i + 2] for i in range(len(run) - 1))
     return found
 
 
 def has_placeholder(passage: str) -> bool:
-    return any(c in passage for c in _MARKS) and PLACEHOLDER.search(passage) is not None
+    return any([c in passage for c in _MARKS]) and PLACEHOLDER.search(passage) is not None
 
 
 def trusted(passage: str) -> bool:
     """Whether a passage is residue beyond doubt."""
-    return has_placeholder(passage) or (TRUSTED.search(passage) is not None and not _MENTION.search(passage) and "∎" not in passage)
+    if has_placeholder(passage):
+        return True
+    low = passage.lower()
+    return any([h in low for h in _HINTS]) and TRUSTED.search(passage) is not None and not _MENTION.search(passage) and "∎" not in passage
 
 
 @dataclass
@@ -98,9 +109,8 @@ class Bayes:
     prior: float
 
     def score(self, passage: str) -> float:
-        t = tokens(passage)
         get, unseen = self.odds.get, self.unseen
-        return self.prior + sum(get(x, unseen) for x in t)
+        return self.prior + sum([get(x, unseen) for x in tokens(passage)])
 
 
 def fit(texts: list[tuple[str, bool]], rounds: int = ROUNDS, smooth: float = 0.2) -> Bayes:
