@@ -17,10 +17,10 @@ from pyspark.sql import Window as W
 from folioflow.operators.common import cut_lineage
 
 #: Glyphs that scanning confuses, and the one that stands for both in a skeleton; then sequences likewise, in
-#: the letters that the first step leaves. Fixed values.
+#: the letters that the first step leaves, in this order. Fixed values.
 CONFUSED_FROM = "ceyvbh" + "@0íìîï†159!6(|$83áàóòú"
 CONFUSED_TO = "eevvhh" + "aoiiiitlsgihelsheaaoou"
-CONFUSED = (("â‚¬", "e"), ("rn", "m"), ("ri", "n"), ("el", "d"), ("ii", "u"), ("vv", "w"), ("li", "h"))
+CONFUSED = (("ri", "n"), ("rn", "m"), ("el", "d"), ("ii", "u"), ("vv", "w"), ("li", "h"))
 EDGE = 3
 SHARED_DOCS = 4
 RARE = 0.08
@@ -33,8 +33,9 @@ _NUMBER = r"(?<![\p{L}\p{N}])(?=[lIioO|!SB\d]*\d)[lIioO|!SB\d]+(?![\p{L}\p{N}])"
 
 def skeleton(word: Column) -> Column:
     """The form in which confusable glyphs are alike; genuine words and their misreadings meet here."""
-    s = F.translate(F.replace(F.lower(word), F.lit(CONFUSED[0][0]), F.lit("e")), CONFUSED_FROM, CONFUSED_TO)
-    for a, b in CONFUSED[1:]:
+    s = F.replace(F.replace(F.lower(word), F.lit("â‚¬"), F.lit("e")), F.lit("vv"), F.lit("w"))
+    s = F.translate(s, CONFUSED_FROM, CONFUSED_TO)
+    for a, b in CONFUSED:
         s = F.replace(s, F.lit(a), F.lit(b))
     return s
 

@@ -27,7 +27,7 @@ from pyspark.sql import Window as W
 from folioflow.operators.common import cut_lineage
 
 FUNCTION_WORDS = 30
-OUTLIER = 40.0
+OUTLIER = 45.0
 SHARE = 0.5
 #: Of each feature, the side of spam and the least scale, so that a feature that hardly varies stays finite.
 FEATURES = {"function": (-1, 0.06), "repeat": (1, 0.05), "entropy": (-1, 0.06), "links": (1, 0.05), "separators": (1, 0.06), "marks": (-1, 0.04)}
@@ -40,7 +40,7 @@ _LATIN = {
     "fr": frozenset("le la les de des une un et du pourquoi mais restait est".split()),
     "es": frozenset("el la los las una un y en de por qué pero seguía del".split()),
 }
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = re.compile(r"(?:[^\W\d_]|[\u0300-\u036f\u064b-\u065f\u0900-\u0903\u093a-\u094f\u0e31\u0e34-\u0e4e])+")
 _URL = re.compile(r"\[[^\]\n]*\]\([^)\n]*\)|<?https?://[^\s>)]+>?|\bwww\.[^\s)]+")
 _SEPARATOR = re.compile(r"[|#,;、，；•·/>　]| - |\d+")
 _MARK = re.compile(r"[.!?。！？।؟]")
@@ -49,11 +49,13 @@ _DENSE = {"zh", "ja", "th"}
 
 def language(text: str) -> str:
     """The language of a text, by its script and, in the Latin script, its short words."""
-    letters = sum(map(len, _WORD.findall(text))) or 1
-    for name, pattern in _SCRIPTS:
+    words = _WORD.findall(text)
+    letters = sum(map(len, words)) or 1
+    latin = sum([len(w) for w in words if w.isascii()]) if not text.isascii() else letters
+    for name, pattern in _SCRIPTS if latin <= 0.5 * letters else ():
         if len(pattern.findall(text)) > (0.08 if name == "ja" else 0.25) * letters:
             return name
-    seen = Counter(_WORD.findall(text.lower()))
+    seen = Counter([w.lower() for w in words])
     hits = {k: sum(seen[w] for w in v) for k, v in _LATIN.items()}
     best = max(hits, key=hits.get)
     return best if hits[best] else "other"
@@ -105,8 +107,9 @@ def features(block: str, lang: str, function: frozenset[str]) -> tuple[float, ..
     k = len(content)
     # of the content words: how evenly they spread, against the most that their number allows
     spread = -sum(c / total * math.log(c / total) for c in content.values()) if total else 0.0
-    entropy = spread / math.log(max(total, 2)) if total > 3 else 1.0
-    repeat = (max(content.values()) - 1) / total if k and total > 3 else 0.0
+    enough = total > 3 and total >= 0.2 * n  # a few words left tell nothing
+    entropy = spread / math.log(total) if enough else 1.0
+    repeat = (max(content.values()) - 1) / total if k and enough else 0.0
     return sum(x in function for x in w) / n, repeat, entropy, links, min(1.5, len(_SEPARATOR.findall(plain)) / n), min(0.5, len(_MARK.findall(plain)) / n)
 
 
