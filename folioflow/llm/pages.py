@@ -35,7 +35,7 @@ CUES = (
     r"^(?:advertisement|anzeige|publicidad|publicité\s?|広告)\s?[:：]|"
     r"built with an? |rss, mail|edition \d+ of|about .*· advertise|sobre .*· publicidad|propos de .*·|über .*· werbung|"
     r"dem weiterlesen|en poursuivant, vous|al continuar acepta|続けると|"
-    r"^(?:related|read next|more|see also|mehr dazu|siehe auch|lire aussi|à lire|voir|voir aussi|vea|lea también|関連|関連記事)\s?[:：]"
+    r"^(?:related|read next|more|see also|mehr dazu|siehe auch|lire aussi|à lire|voir|voir aussi|vea|lea también|関連|関連記事|次に読む)\s?[:：]"
 )
 TEASER_HEADS = (
     r"most read|editors' choice|you may also like|keep reading|trending now|meistgelesen|auch interessant|también le interesa|lo más leído|"
@@ -53,11 +53,11 @@ _IMAGE = re.compile(r"!\[[^\]]*\]\([^)]*\)")
 _TEMPLATE = re.compile(
     r"\{\{|\{%|\{[a-z_]+\}|<%|%%|__[A-Z]|\*\||@@|\[\[|\[INSERT|\bTBD\b|<[a-z ]+ goes here>|\[object|\$\{|#\{|"
     r"lorem ipsum|\basdf\b|blindtext|sample text|click to edit|text here\.|\btk tk\b|xxxx|javascript|allow scripts|script support|requires scripts|not found|gone missing|could not be found|not available in|access denied|"
-    r"session expired|fatal error|moved or deleted|checking your browser|request id|start page\.$|nicht gefunden|introuvable|no existe|見つかりません",
+    r"session expired|fatal error|too many requests|moved or deleted|checking your browser|request id|start page\.$|nicht gefunden|introuvable|no existe|見つかりません",
     re.I,
 )
 #: Parts of which a lower-cased text must hold one for _TEMPLATE to match: far cheaper to look for.
-_HINTS = ("{", "<", "%", "__", "*|", "@@", "[[", "[insert", "[object", "tbd", "asdf", "ipsum", "text", "click to", "tk tk", "xxxx", "script", "found", "missing", "not avail", "denied", "expired", "fatal", "deleted", "browser", "request id", "start page", "gefunden", "introuv", "no existe", "見つ")
+_HINTS = ("{", "<", "%", "__", "*|", "@@", "[[", "[insert", "[object", "tbd", "asdf", "ipsum", "text", "click to", "tk tk", "xxxx", "script", "found", "missing", "not avail", "denied", "expired", "fatal", "deleted", "browser", "request", "start page", "gefunden", "introuv", "no existe", "見つ")
 _TOKEN = re.compile(r"[^\W\d_]+")
 _CJK = re.compile(r"[぀-ヿ一-鿿]")
 
