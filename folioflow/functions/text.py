@@ -160,6 +160,7 @@ def blank_page(md: Column) -> Column:
 def strip_markdown(text: Column) -> Column:
     """Markdown to spoken text: code, images, markers and emphasis gone, links by their label, spaces collapsed."""
     t = F.regexp_replace(text, r"(?s)```.*?```", "")
+    # fixed values, in this order
     for pattern, put in (
         (r"`([^`]+)`", "$1"), (r"(?m)^[ \t]*>[ \t]?", ""), (r"(?m)^[ \t]*(?:[-*_][ \t]*){3,}$", ""), (r"(?m)^[ \t]*\[[^\]\n]+\]:[ \t]*\S.*$", ""),
         (r"!\[[^\]]*\]\([^)]+\)", ""), (r"\[([^\]]+)\](?:\[[^\]]*\]|\([^)]+\))", "$1"), (r"</?[A-Za-z][A-Za-z0-9-]*(?=[\s/>])[^>]*>", ""),

@@ -30,6 +30,7 @@ def table_records(md: Column) -> Column:
 
 # Row-local structure: plain functions, applied to whole documents in Arrow batches.
 
+# What marks structure, and what is not read aloud; fixed values.
 _FENCE = re.compile(r"^\s*```")
 _HEADING = re.compile(r"^(#{1,6})\s+(.+)$")
 _RULE = re.compile(r"^\s*(?:[-*_]\s*){3,}$")

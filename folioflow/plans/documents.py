@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import html
+import io
+import json
+import struct
 import uuid
+import zipfile
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -116,3 +122,42 @@ def k02_windowed_log(spark: SparkSession, base: str) -> DataFrame:
     events = pace.read_log(spark, base, table(spark, base, "events").schema, "parquet", pathGlobFilter="events.parquet")
     out = pace.drain(pace.windowed_counts(events, "ts"), f"log_{uuid.uuid4().hex}")
     return out.select(F.col("window.start").alias("start"), "event_type", "n")
+
+
+def _small_book(title: str | None) -> bytes:
+    """An e-book of one chapter."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("META-INF/container.xml", '<container><rootfiles><rootfile full-path="b.opf"/></rootfiles></container>')
+        z.writestr("b.opf", '<package><metadata><title>Book</title></metadata><manifest><item id="a" href="c1.xhtml" media-type="application/xhtml+xml"/></manifest><spine><itemref idref="a"/></spine></package>')
+        z.writestr("c1.xhtml", f"<html><body><h1>{html.escape(title or '')}</h1><p>One <i>word</i>.</p></body></html>")
+    return out.getvalue()
+
+
+@query("SELECT DISTINCT id AS path, 0::INTEGER AS chapter, coalesce(nullif(trim(regexp_replace(title, '\\s+', ' ', 'g')), ''), 'C1') AS title, 'Book' AS book_title FROM docs WHERE regexp_full_match(title, '[^*_#]*')")
+def a07_epub_chapters(spark: SparkSession, base: str) -> DataFrame:
+    """Books made of the documents' titles, read back as chapters."""
+
+    @F.pandas_udf("binary")
+    def book(titles: pd.Series) -> pd.Series:
+        return titles.map(_small_book)
+
+    docs = table(spark, base, "docs").filter(F.col("title").rlike(r"^[^*_#]*\z")).select(F.col("id").alias("path"), "title").distinct()
+    return readers.epub_chapters(docs.select("path", book("title").alias("content"))).select("path", "chapter", "title", "book_title")
+
+
+@query("SELECT * FROM (VALUES ('a', 'phonon'), ('b', 'pocket'), ('c', 'unknown'), ('d', 'unknown')) t(path, kind)")
+def a16_voice_files(spark: SparkSession, base: str) -> DataFrame:
+    head = lambda *k: (lambda j: struct.pack("<Q", len(j)) + j)(json.dumps(dict.fromkeys(k, {})).encode())
+    rows = [("a", head("speaker.weight")), ("b", head("kv.cache", "kv.offset")), ("c", head("other")), ("d", b"xx")]
+    return spark.createDataFrame([(p, bytearray(c)) for p, c in rows], "path string, content binary").select("path", readers.voice_file_kind(F.col("content")).alias("kind"))
+
+
+@query()
+def d24_page_markers(spark: SparkSession, base: str) -> DataFrame:
+    """Pages joined with their markers, and the sentence that each marker leads."""
+    p = table(spark, base, "docs").filter("raw_pages IS NOT NULL").select("id", "raw_pages").distinct()
+    md = p.select("id", M.join_pages(F.col("raw_pages"))["markdown"].alias("m"))
+    parts = md.select("id", F.posexplode(F.split("m", r"(?m)^(?=Page \d+\.$)", -1)).alias("k", "t"))
+    page = F.regexp_extract("t", r"^Page (\d+)\.", 1)
+    return parts.filter(page != "").select("id", page.cast("int").alias("page"), F.try_element_at(X.split_sentences(F.regexp_replace("t", r"^Page \d+\.\s*", "")), F.lit(1)).alias("leads"))

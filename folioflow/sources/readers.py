@@ -265,7 +265,7 @@ def read_epub(data: bytes) -> dict:
             return f"![{m.group(1)}]({target})"
 
         md = re.sub(r"!\[([^\]]*)\]\(([^)]+)\)", keep, md).strip()
-        first = re.match(r"#{1,3}\s+(.+)", md)
+        first = re.match(r"#{1,3}[ \t]+(\S.*)", md)
         title = labels.get(path) or (first.group(1).strip() if first else posixpath.splitext(posixpath.basename(path))[0].replace("_", " ").replace("-", " ").title())
         if first and first.group(1).strip().lower() == title.lower():
             md = md[first.end() :].lstrip()
