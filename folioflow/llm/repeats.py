@@ -6,8 +6,9 @@ ends in a separator of its own, so the array is the union of one suffix array pe
 runs from one document into the next. Adjacent suffixes with a common prefix of one line or more form
 the classes of repeated blocks; a class gives the number of documents it spans within the batch, and the
 counts are summed over batches by (source, line). A block never spans more documents than each of its
-lines, so the classes at prefix length one decide which lines go; longer common prefixes give the
-multi-line blocks reported by :func:`repeated_blocks`.
+lines, so the classes at prefix length one decide which lines go. :func:`repeated_blocks` builds a second
+array per batch over the runs of those lines and counts the classes at every prefix length; a class of one
+suffix counts too, since what stands once in one batch may recur in the others.
 
 No source is ever gathered into one task: a batch holds a bounded number of documents whatever the
 source, and only (source, identifier, count) leaves it.
@@ -170,17 +171,73 @@ def without_repeats(articles: DataFrame, id_col: str = "article_id", source_col:
     )
 
 
+def _mixed(h: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Hashes of blocks one line longer: ``h`` of the block, then ``ids`` of the next line."""
+    x = (h * np.uint64(0x9E3779B97F4A7C15)) ^ ids
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _block_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per batch, source and distinct block of any length, the documents that hold it; 0 among the ids ends a run."""
+    for batch in batches:
+        ids, row = _flatten(batch.column("ids"))
+        run = np.cumsum(ids == 0) + row
+        keep = ids != 0
+        ids, row, run = ids[keep], row[keep], run[keep]
+        if not len(ids):
+            continue
+        ends = np.searchsorted(run, run, side="right")
+        order, lcp = suffix_array(ids, ends)
+        left = ends[order] - order
+        values = ids.view(np.uint64)
+        hashes, shorter = np.zeros(len(ids), np.uint64), np.zeros(len(ids), np.uint64)
+        length = 0
+        while True:
+            length += 1
+            keep = left >= length  # suffixes that share ``length`` lines stay neighbours among those as long
+            order, lcp, left = order[keep], lcp[keep], left[keep]
+            if not len(order):
+                break
+            shorter, hashes = hashes, shorter
+            hashes[order] = _mixed(shorter[order], values[order + length - 1])
+            new = lcp < length
+            new[0] = True
+            cls = np.cumsum(new) - 1
+            pairs = np.unique(cls.astype(np.int64) * (len(batch) + 1) + row[order])
+            docs = np.bincount(pairs // (len(batch) + 1))
+            first = order[new]
+            head, tail = (shorter[first], shorter[first + 1]) if length > 1 else (shorter[first], shorter[first])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("domain").take(pa.array(row[first])), *(pa.array(h.view(np.int64)) for h in (hashes[first], head, tail)), pa.array(np.full(len(first), length, np.int32)), pa.array(docs.astype(np.int64))],
+                ["domain", "block", "head", "tail", "n_lines", "docs"],
+            )
+
+
 def repeated_blocks(articles: DataFrame, id_col: str = "article_id", source_col: str = "domain", text_col: str = "markdown", min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
-    """(domain, block, n_lines, n_docs): maximal runs of repeated lines and the documents that hold each.
+    """(domain, block, n_lines, n_docs): blocks of consecutive lines and all documents of the source that hold each.
 
-    Lines without letters do not break a run. A run is known by the hash of its identifiers.
+    Reported are the blocks that span enough documents and that no line, put before or after, leaves in as
+    many. Lines without letters do not break a block. A block is known by the hash of its identifiers.
     """
     pages = _pages(articles, id_col, source_col, text_col)
-    marked = _with_lines(pages.drop("text"), frequent_lines(pages, min_docs, min_share)).filter(F.size("lines") > 0)
-    flags = F.transform(F.filter("ids", lambda x: x != 0), lambda x: F.when(F.array_contains("lines", x), F.hex(x)).otherwise(F.lit("")))
-    runs = F.filter(F.split(F.array_join(flags, ","), ",,+|^,+|,+$", -1), lambda x: x != "")
-    return (
-        marked.select("domain", "id", F.explode(F.array_distinct(runs)).alias("run"))
-        .groupBy("domain", F.xxhash64("run").alias("block"), F.size(F.split("run", ",")).alias("n_lines"))
-        .agg(F.count(F.lit(1)).alias("n_docs"))
+    frequent = frequent_lines(pages, min_docs, min_share)
+    marked = _with_lines(pages.drop("text"), frequent).filter(F.size("lines") > 0)
+    runs = F.transform(F.filter("ids", lambda x: x != 0), lambda x: F.when(F.array_contains("lines", x), x).otherwise(F.lit(0).cast("bigint")))
+    sizes = pages.groupBy("domain").agg(F.count(F.lit(1)).alias("rows"))
+    counts = (
+        marked.select("domain", runs.alias("ids"))
+        .mapInArrow(_block_batches, "domain string, block bigint, head bigint, tail bigint, n_lines int, docs bigint")
+        .groupBy("domain", "block", "n_lines")
+        .agg(F.sum("docs").alias("n_docs"), F.first("head").alias("head"), F.first("tail").alias("tail"))
+        .filter(F.col("n_docs") >= min_docs)
+        .join(sizes, "domain")
+        .filter(F.col("n_docs") >= F.col("rows") * min_share)
+    )
+    within = (
+        counts.filter("n_lines > 1")
+        .select("domain", F.explode(F.array("head", "tail")).alias("block"), (F.col("n_lines") - 1).alias("n_lines"), "n_docs")
+        .distinct()
     )
+    return counts.select("domain", "block", "n_lines", "n_docs").join(within, ["domain", "block", "n_lines", "n_docs"], "left_anti")

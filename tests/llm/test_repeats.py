@@ -71,3 +71,36 @@ def test_letters_only(spark, text):
     df = spark.createDataFrame(rows, "article_id bigint, domain string, markdown string")
     assert R.repeated_lines(df).count() == 5
     assert a and b
+
+
+def brute_blocks(rows, min_docs=5, share=0.1):
+    """(domain, n_lines, n_docs) of every block that no line more leaves in as many documents, counted in plain Python."""
+    key = lambda s: "".join(c for c in s if c.isalpha()).lower()
+    docs, size = {}, {}
+    for _, d, t in rows:
+        size[d] = size.get(d, 0) + 1
+        k = [x for x in map(key, t.split("\n")) if x]
+        for b in {tuple(k[i:j]) for i in range(len(k)) for j in range(i + 1, len(k) + 1)}:
+            docs[(d, b)] = docs.get((d, b), 0) + 1
+    held = {(d, b): n for (d, b), n in docs.items() if n >= max(min_docs, share * size[d])}
+    longer = {(d, x, n) for (d, b), n in held.items() if len(b) > 1 for x in (b[:-1], b[1:])}
+    return sorted((d, len(b), n) for (d, b), n in held.items() if (d, b, n) not in longer)
+
+
+@pytest.mark.parametrize("batch", [3, 10_000])
+def test_blocks_match_brute_force(spark, batch):
+    rng = random.Random(8)
+    rows = [(i, rng.choice("aab"), "\n".join(rng.choice(["Share", "Legal", "Sign up", "About us", "12", f"only {'x' * i}"]) for _ in range(9))) for i in range(80)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = R.repeated_blocks(spark.createDataFrame(rows, "article_id bigint, domain string, markdown string")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted((r["domain"], r["n_lines"], r["n_docs"]) for r in got) == brute_blocks(rows)
+    assert len({(r["domain"], r["block"]) for r in got}) == len(got)
+
+
+def test_block_inside_a_longer_run_counts(spark):
+    rows = [(i, "d", "Share\nLegal" if i < 5 else "Share\nLegal\nSign up") for i in range(10)]
+    got = R.repeated_blocks(spark.createDataFrame(rows, "article_id bigint, domain string, markdown string"))
+    assert sorted((r["n_lines"], r["n_docs"]) for r in got.collect()) == [(2, 10), (3, 5)]
