@@ -54,10 +54,13 @@ def is_chapter(title: Column) -> Column:
 
 
 def display_title(title: Column) -> Column:
-    """Titles all in capitals in title case; trailing stops dropped."""
-    clean = F.regexp_replace(F.trim(title), r"\.+\z", "")
-    words = F.split(F.regexp_replace(F.lower(clean), "([^a-z]*)([a-z]+)([^a-z]*)", "$1\u0001$2\u0001$3\u0001"), "\u0001", -1)
-    cased = F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1_000_000))), "")
+    """Titles all in capitals in title case; trailing stops dropped.
+
+    A word is a run of ASCII letters and digits, raised if it begins with a letter; all else keeps its form.
+    """
+    clean = F.regexp_replace(F.regexp_replace(title, r"^[\s\p{Z}\x{FEFF}]+|[\s\p{Z}\x{FEFF}]+\z", ""), r"\.+\z", "")
+    words = F.split(F.lower(clean), r"(?<=[a-z0-9])(?=[^a-z0-9])|(?<=[^a-z0-9])(?=[a-z0-9])", -1)
+    cased = F.array_join(F.transform(words, lambda w: F.when(w.rlike("^[a-z]"), F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1_000_000))).otherwise(w)), "")
     return F.when(is_chapter(clean), cased).otherwise(clean)
 
 

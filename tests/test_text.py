@@ -1,6 +1,9 @@
+import re
+
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as X
+from folioflow.plans import texts
 
 
 def one(spark, value, f):
@@ -61,3 +64,19 @@ def test_natural_order(spark):
     names = ["v10", "v9", "v2b", "v2a"]
     got = spark.createDataFrame([(n,) for n in names], "n string").orderBy(X.natural_key(F.col("n"))).collect()
     assert [r[0] for r in got] == ["v2a", "v2b", "v9", "v10"]
+
+
+def test_display_title_outside_ascii(spark, tmp_path):
+    titles = ["Über die Brücke", "l'été à la plage…", "¿Qué pasa?", "図書館の本", "図書館 PDF 2nd", "straße", "", None, "Plain words", "\u00a0wide\u3000", "3d_print 4K"]
+
+    def brute(t):
+        clean = re.sub(r"\.+\Z", "", ((t or "").upper() + "..").strip("\ufeff \u00a0\u3000"))
+        letters = re.sub("[^A-Za-z]", "", clean)
+        if len(letters) < 4 or letters != letters.upper():
+            return clean
+        return "".join(w[0].upper() + w[1:] if re.match("[a-z]", w) else w for w in re.split(r"([^a-z0-9]+)", clean.lower()))
+
+    spark.createDataFrame(list(enumerate(titles)), "article_id bigint, title string").write.parquet(f"{tmp_path}/articles.parquet")
+    got = {r["article_id"]: r["shown"] for r in texts.d11_display_title_all(spark, str(tmp_path)).collect()}
+    assert got == {i: brute(t) for i, t in enumerate(titles)}
+    assert got[0] == "üBer Die BrüCke"
