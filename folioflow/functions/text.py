@@ -111,8 +111,11 @@ def pack_pieces(text: Column, limit: int = 220) -> Column:
 
 
 def text_hash(text: Column) -> Column:
-    """A 32-bit hash of a text in base 36: h = 33 h + code, from 5381."""
-    h = F.aggregate(F.split(text, ""), F.lit(5381).cast("bigint"), lambda a, c: F.pmod(a * 33 + F.ascii(c), F.lit(4294967296)))
+    """A 32-bit hash of a text's UTF-16 units in base 36: h = 33 h + unit, from 5381."""
+    put = lambda h, unit: F.pmod(h * 33 + unit, F.lit(4294967296))
+    pair = lambda h, code: put(put(h, F.lit(0xD7C0) + F.shiftright(code, 10)), F.lit(0xDC00) + F.pmod(code, F.lit(1024)))
+    step = lambda h, c: F.when(c == "", h).when(F.ascii(c) < 65536, put(h, F.ascii(c))).otherwise(pair(h, F.ascii(c)))
+    h = F.aggregate(F.split(text, ""), F.lit(5381).cast("bigint"), step)
     return F.lower(F.conv(h.cast("string"), 10, 36))
 
 

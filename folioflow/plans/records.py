@@ -190,6 +190,12 @@ def d34_clean_cell(spark: SparkSession, base: str) -> DataFrame:
     return table(spark, base, "documents").filter("title IS NOT NULL").select("doc_id", M.clean_cell(F.concat(F.lit("**"), F.left("title", F.lit(60)), F.lit("**"))).alias("cell"))
 
 
+@query()
+def d34_clean_cell_all(spark: SparkSession, base: str) -> DataFrame:
+    """As above with whole titles, untitled documents too, which that SQL cuts and leaves out."""
+    return table(spark, base, "documents").select("doc_id", M.clean_cell(F.concat(F.lit("**"), "title", F.lit("**"))).alias("cell"))
+
+
 @query("""SELECT doc_id, page, (finished_at IS NOT NULL AND NOT failed) AS ok, page AS n FROM ocr_results""")
 def d40_settings_parse(spark: SparkSession, base: str) -> DataFrame:
     """JSON settings, all or nothing: of the right types, or null."""

@@ -177,6 +177,12 @@ def d36_text_hash(spark: SparkSession, base: str) -> DataFrame:
     return table(spark, base, "documents").filter("title <> ''").select("doc_id", X.text_hash(F.left("title", F.lit(400))).alias("hash"))
 
 
+@query()
+def d36_text_hash_all(spark: SparkSession, base: str) -> DataFrame:
+    """The hash of every document's whole text."""
+    return table(spark, base, "documents").select("doc_id", X.text_hash(F.col("text")).alias("hash"))
+
+
 @query("SELECT doc_id, id, array_to_string(chunks, ' ') AS joined FROM sections")
 def d37_join_texts(spark: SparkSession, base: str) -> DataFrame:
     return table(spark, base, "sections").select("doc_id", "id", F.array_join("chunks", " ").alias("joined"))

@@ -3,7 +3,7 @@ import re
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as X
-from folioflow.plans import texts
+from folioflow.plans import records, texts
 
 
 def one(spark, value, f):
@@ -80,3 +80,25 @@ def test_display_title_outside_ascii(spark, tmp_path):
     got = {r["article_id"]: r["shown"] for r in texts.d11_display_title_all(spark, str(tmp_path)).collect()}
     assert got == {i: brute(t) for i, t in enumerate(titles)}
     assert got[0] == "üBer Die BrüCke"
+
+
+def test_whole_titles_and_texts(spark, tmp_path):
+    text = ["Read me", "", "図書館 und Öl", "a 👩\u200d💻 b", "word " * 3000, None]
+    title = ["t" * 70 + " **late** `code` end", None, "", "x", "a  b", "~~gone~~"]
+
+    def brute(t):
+        h, units = 5381, t.encode("utf-16-le")
+        for i in range(0, len(units), 2):
+            h = (h * 33 + units[i] + 256 * units[i + 1]) % 2**32
+        out = ""
+        while h:
+            h, r = divmod(h, 36)
+            out = "0123456789abcdefghijklmnopqrstuvwxyz"[r] + out
+        return out
+
+    rows = [(i, a, b) for i, (a, b) in enumerate(zip(title, text))]
+    spark.createDataFrame(rows, "doc_id bigint, title string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    hashes = {r["doc_id"]: r["hash"] for r in texts.d36_text_hash_all(spark, str(tmp_path)).collect()}
+    assert hashes == {i: None if t is None else brute(t) for i, t in enumerate(text)}
+    cells = {r["doc_id"]: r["cell"] for r in records.d34_clean_cell_all(spark, str(tmp_path)).collect()}
+    assert cells == {0: "t" * 70 + " late code end", 1: None, 2: "", 3: "x", 4: "a b", 5: "gone"}
