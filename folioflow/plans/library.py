@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -214,6 +214,34 @@ def f04_audio_state(spark: SparkSession, base: str) -> DataFrame:
     return d.join(a, "doc_id", "left").select("doc_id", F.when(F.col("c").isNull(), "none").when(F.col("c") >= F.col("n"), "fresh").otherwise("stale").alias("state"))
 
 
+def _joined(rows: Column, field: str) -> Column:
+    """The hash of texts joined by spaces, in the order of the structs ``rows``."""
+    return X.text_hash(F.array_join(F.transform(F.array_sort(rows), lambda r: r[field]), " "))
+
+
+def _stale_audio(spark: SparkSession, base: str) -> DataFrame:
+    """(doc_id, engine, voice, text_hash, current_hash): what each recording speaks and what its document says now."""
+    chunks = table(spark, base, "tts_chunks").select("doc_id", "engine", "voice", "chunk_idx", "text", (F.size("sentence_indices") > 0).alias("speaks")).distinct()
+    audio = chunks.groupBy("doc_id", "engine", "voice").agg(_joined(F.collect_list(F.when(F.col("speaks"), F.struct("chunk_idx", "text"))), "text").alias("text_hash"))
+    said = table(spark, base, "sections").select("doc_id", F.struct("id", F.array_join("chunks", " ").alias("text")).alias("s")).filter("s.text <> ''")
+    now = said.groupBy("doc_id").agg(_joined(F.collect_list("s"), "text").alias("current_hash"))
+    return audio.join(now, "doc_id", "left").withColumn("current_hash", F.coalesce("current_hash", X.text_hash(F.lit(""))))
+
+
+@query()
+def c10_stale_audio(spark: SparkSession, base: str) -> DataFrame:
+    """Recordings by document, engine and voice, stale where the hash of their text is not that of the current one."""
+    return _stale_audio(spark, base).withColumn("stale", F.col("text_hash") != F.col("current_hash"))
+
+
+@query()
+def f04_item_audio(spark: SparkSession, base: str) -> DataFrame:
+    """Playlist items with the state of each recording of their document, by hashes where f04_audio_state counts chunks."""
+    items = _items(spark, base).select("id", "playlist_id", "doc_id")
+    state = F.when(F.col("text_hash").isNull(), "none").when(F.col("text_hash") != F.col("current_hash"), "stale").otherwise("fresh")
+    return items.join(_stale_audio(spark, base), "doc_id", "left").select("id", "playlist_id", "doc_id", "engine", "voice", state.alias("state"))
+
+
 @query("SELECT engine, name, coalesce(language, 'unknown') AS language, coalesce(dialect, '') AS dialect, used.n IS NOT NULL AS used FROM voices LEFT JOIN (SELECT engine, voice AS name, count(*) AS n FROM tts_chunks GROUP BY 1, 2) used USING (engine, name)")
 def f05_voice_metadata(spark: SparkSession, base: str) -> DataFrame:
     used = table(spark, base, "tts_chunks").groupBy("engine", F.col("voice").alias("name")).agg(F.count(F.lit(1)).alias("n"))

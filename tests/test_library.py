@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from folioflow.operators import library as L
 from folioflow.operators import sequences as S
+from folioflow.plans import library as plans
 
 
 def test_move_item(spark):
@@ -47,3 +48,17 @@ def test_runs_and_order(spark):
     lists = spark.createDataFrame([("p", ["y", "gone", "x"])], "playlist_id string, item_ids array<string>")
     items = spark.createDataFrame([("p", "x"), ("p", "y"), ("p", "late")], "playlist_id string, id string")
     assert [r["id"] for r in L.ordered_items(lists, items).orderBy("pos").collect()] == ["y", "x", "late"]
+
+
+def test_audio_is_stale_by_its_text(spark, tmp_path):
+    said = {"old": ["New one.", "Two."], "whole": ["One.", "Two."], "long": ["One.", "Two."], "part": ["One.", "Two."], "mute": ["One."], "bare": ["One."]}
+    spark.createDataFrame([(d, i, [x]) for d, t in said.items() for i, x in enumerate(t)], "doc_id string, id int, chunks array<string>").write.parquet(f"{tmp_path}/sections.parquet")
+    audio = [("old", 0, "Old one.", [0], "v"), ("old", 1, "Two.", [1], "v"), ("whole", 1, "Two.", [1], "v"), ("whole", 0, "One.", [0], "v"), ("whole", 0, "One.", [0], "v"), ("whole", 2, "Row 1", [], "v")]
+    audio += [("whole", 0, "One.", [0], "w"), ("long", 0, "One. Two.", [0, 1], "v"), ("part", 0, "One.", [0], "v"), ("part", 1, "Row 1", [], "v"), ("mute", 0, "Row 1", [], "v")]
+    spark.createDataFrame([(*r, "pocket") for r in audio], "doc_id string, chunk_idx int, text string, sentence_indices array<int>, voice string, engine string").write.parquet(f"{tmp_path}/tts_chunks.parquet")
+    items = [(f"i-{d}", "p", "t", d, 0, 2, 1, 1) for d in (*said, None)]
+    spark.createDataFrame([*items, items[0]], "id string, playlist_id string, title string, doc_id string, progress int, total_sentences int, created_at bigint, updated_at bigint").write.parquet(f"{tmp_path}/playlist_items.parquet")
+    want = {("old", "v"): True, ("whole", "v"): False, ("whole", "w"): True, ("long", "v"): False, ("part", "v"): True, ("mute", "v"): True}
+    assert {(r["doc_id"], r["voice"]): r["stale"] for r in plans.c10_stale_audio(spark, str(tmp_path)).collect()} == want
+    got = [(r["id"], r["voice"], r["state"]) for r in plans.f04_item_audio(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted([*((f"i-{d}", v, "stale" if s else "fresh") for (d, v), s in want.items()), ("i-bare", None, "none"), ("i-None", None, "none")], key=str)
