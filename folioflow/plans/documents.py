@@ -100,6 +100,41 @@ def d59_strip_scripts(spark: SparkSession, base: str) -> DataFrame:
     return _html_pages(spark, base).select("article_id", F.regexp_replace("html", r"(?is)<(head|script|style)[^>]*>.*?</(head|script|style)>", "").alias("html"))
 
 
+def _article_pages(spark: SparkSession, base: str) -> DataFrame:
+    """Web pages made from the articles' fields and their own text, a heading, list item or paragraph per line."""
+    safe = lambda c: F.replace(F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
+
+    def element(line):
+        level = F.length(F.regexp_extract(line, r"^(#{1,6})\s", 1)).cast("string")
+        heading = F.concat(F.lit("<h"), level, F.lit(">"), F.regexp_replace(line, r"^#+\s+", ""), F.lit("</h"), level, F.lit(">"))
+        item = F.concat(F.lit("<li>"), F.regexp_replace(line, r"^[*-]\s+", ""), F.lit("</li>"))
+        return F.when(level != "0", heading).when(line.rlike(r"^[*-]\s"), item).otherwise(F.concat(F.lit("<p>"), line, F.lit("</p>")))
+
+    text = F.filter(F.split(safe(F.coalesce("markdown", F.lit(""))), "\n", -1), lambda x: F.trim(x) != "")
+    meta = [F.concat(F.lit(f'<meta name="{k}" content="'), safe(F.coalesce(c, F.lit(""))), F.lit('">')) for k, c in (("author", "author"), ("og:site_name", "site"), ("date", "date"))]
+    head = [F.lit("<html><head><title>"), safe(F.coalesce("title", F.lit(""))), F.lit("</title>"), *meta, F.lit("</head><body><nav>Menu</nav>")]
+    body = F.array_join(F.transform(text, element), "\n")
+    return table(spark, base, "articles").select("article_id", F.concat(*head, body, F.lit("<script>x()</script></body></html>")).alias("html"))
+
+
+@query()
+def d58_article_markdown(spark: SparkSession, base: str) -> DataFrame:
+    """As d58_html_markdown, over each article's own text."""
+    return _article_pages(spark, base).select("article_id", readers.page_markdown(F.col("html")).alias("markdown"))
+
+
+@query()
+def d59_article_scripts(spark: SparkSession, base: str) -> DataFrame:
+    """As d59_strip_scripts, over each article's own text."""
+    return _article_pages(spark, base).select("article_id", F.regexp_replace("html", r"(?is)<(head|script|style)[^>]*>.*?</(head|script|style)>", "").alias("html"))
+
+
+@query()
+def d60_article_meta(spark: SparkSession, base: str) -> DataFrame:
+    """As d60_page_meta, with author and date."""
+    return _article_pages(spark, base).withColumn("m", readers.page_meta(F.col("html"))).select("article_id", "m.title", "m.author", "m.site", "m.date")
+
+
 @query("""SELECT * FROM (VALUES ('a.pdf', 'pdf'), ('b', 'pdf'), ('c.bin', 'image/png'), ('d', 'image/jpeg'), ('e.epub', 'epub'), ('f.txt', 'text')) t(path, kind)""")
 def a04_upload_kind(spark: SparkSession, base: str) -> DataFrame:
     rows = [("a.pdf", b"x"), ("b", b"%PDF-1.7"), ("c.bin", b"\x89PNG\r\n\x1a\n0000"), ("d", b"\xff\xd8\xff\xe0"), ("e.epub", b"PK"), ("f.txt", b"hello")]

@@ -118,7 +118,8 @@ def admissible(url: Column) -> Column:
 
         return hosts.map(ok)
 
-    return F.coalesce(url.rlike(r"^(?i)https?://") & (F.length(url) <= 2048), F.lit(False)) & public(X.host(url))
+    bracketed = F.regexp_extract(url, r"^[^/?#]*//(?:[^/?#@]*@)?\[([^\]]*)\]", 1)
+    return F.coalesce(url.rlike(r"^(?i)https?://") & (F.length(url) <= 2048), F.lit(False)) & public(F.coalesce(F.nullif(bracketed, F.lit("")), X.host(url)))
 
 
 @query("""SELECT * FROM (VALUES ('https://a.example/x', true), ('ftp://a.example', false), ('http://127.0.0.1/', false), ('http://10.1.2.3/x', false), ('http://localhost', false), ('http://8.8.8.8/', true), ('', false), ('http://169.254.0.1', false)) t(url, ok)""")
@@ -127,6 +128,14 @@ def c08_url_admission(spark: SparkSession, base: str) -> DataFrame:
     return spark.createDataFrame([(u,) for u in urls], "url string").select("url", admissible(F.col("url")).alias("ok"))
 
 
+@query()
+def c08_url_admission_all(spark: SparkSession, base: str) -> DataFrame:
+    """Every URL of articles and playlist items, where c08_url_admission has literals; a missing one is not admitted."""
+    articles = table(spark, base, "articles").select(F.lit("articles").alias("record_table"), F.col("article_id").cast("string").alias("record_key"), "url")
+    items = table(spark, base, "playlist_items").select(F.lit("playlist_items"), "id", "source.url")
+    return articles.union(items).distinct().withColumn("ok", admissible(F.col("url")))
+
+
 @query("SELECT DISTINCT i.id, CASE WHEN source.url IS NULL THEN 'upload' WHEN ends_with(lower(split_part(split_part(source.url, '?', 1), '#', 1)), '.pdf') THEN 'pdf' WHEN ends_with(lower(split_part(split_part(source.url, '?', 1), '#', 1)), '.epub') THEN 'epub' ELSE 'article' END AS route FROM playlist_items i")
 def c09_route_import(spark: SparkSession, base: str) -> DataFrame:
     return table(spark, base, "playlist_items").select("id", F.when(F.col("source.url").isNull(), "upload").otherwise(X.url_kind(F.col("source.url"))).alias("route")).distinct()

@@ -6,6 +6,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from folioflow.operators import markdown as M
+from folioflow.plans import documents, records
 from folioflow.sources import readers as R
 from folioflow.streaming import pace
 
@@ -103,3 +104,22 @@ def test_stream_equals_batch(spark, tmp_path):
     out = pace.drain(pace.running_pace(stream), f"t{tmp_path.name}")
     back = pace.running_pace(spark.read.schema(df.schema).json(str(tmp_path / "log")))
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, back.collect()))
+
+
+def test_pages_of_the_articles_own_text(spark, tmp_path):
+    rows = [(1, "A & <b>", "Ann", "S \"q\"", "2020", "# Über uns\n\n* one\n- two\n1 < 2 & 3 > 2\n\n## 図書館\n**By Ann**\nEnd  of it."), (2, None, None, None, None, None), (3, " T  t ", "", " x ", None, "plain")]
+    spark.createDataFrame(rows, "article_id bigint, title string, author string, site string, date string, markdown string").write.parquet(f"{tmp_path}/articles.parquet")
+    md = {r["article_id"]: [x for x in r["markdown"].split("\n") if x] for r in documents.d58_article_markdown(spark, str(tmp_path)).collect()}
+    assert md == {1: ["# Über uns", "- one", "- two", "1 < 2 & 3 > 2", "## 図書館", "**By Ann**", "End of it."], 2: [], 3: ["plain"]}
+    html = {r["article_id"]: r["html"] for r in documents.d59_article_scripts(spark, str(tmp_path)).collect()}
+    assert html[3] == "<html><body><nav>Menu</nav><p>plain</p></body></html>" and "<h2>図書館</h2>" in html[1] and "x()" not in html[1]
+    meta = {r["article_id"]: tuple(r)[1:] for r in documents.d60_article_meta(spark, str(tmp_path)).collect()}
+    assert meta == {1: ("A & <b>", "Ann", 'S "q"', "2020"), 2: (None, None, None, None), 3: ("T t", None, "x", None)}
+
+
+def test_urls_of_the_tables_are_judged(spark, tmp_path):
+    want = {"https://a.example/x": True, "ftp://a.example": False, "http://127.0.0.1/": False, "http://10.1.2.3/x": False, "http://localhost": False, "http://8.8.8.8/": True, "": False, "http://169.254.0.1": False, "http://[::1]/x": False, "http://u@[fe80::1]:80/": False, "http://[2606:4700::1]/": True, "https://a.example/" + "x" * 2048: False, None: False}
+    spark.createDataFrame(list(enumerate(want)), "article_id bigint, url string").write.parquet(f"{tmp_path}/articles.parquet")
+    spark.createDataFrame([(f"i{n}", (u,)) for n, u in enumerate(want)], "id string, source struct<url:string>").write.parquet(f"{tmp_path}/playlist_items.parquet")
+    got = sorted((r["record_table"], r["record_key"], r["ok"]) for r in records.c08_url_admission_all(spark, str(tmp_path)).collect())
+    assert got == sorted([("articles", str(n), ok) for n, ok in enumerate(want.values())] + [("playlist_items", f"i{n}", ok) for n, ok in enumerate(want.values())])
