@@ -138,25 +138,35 @@ def leaked(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
 
 
 def _joined(docs: DataFrame, tests: DataFrame, schema: str, min_words: int, masks: tuple[tuple[int, ...], ...]) -> DataFrame:
-    """The same for a test set of any size: seeds meet in an equi-join, texts are joined to the pairs found."""
+    """The same for a test set of any size: seeds meet in an equi-join, texts are joined to the pairs found.
+
+    Rows are known by id and text together: equal rows give the same pairs, so each distinct row is searched
+    once and given as often as it stands there, null ids included.
+    """
     span = len(masks[0])
 
+    def keyed(df: DataFrame, key: str, text: str, row: str) -> DataFrame:
+        held = df.groupBy(key, text).agg(F.count(F.lit(1)).alias(f"n_{row}"))
+        return held.withColumn(row, F.sha2(F.to_json(F.struct(F.col(key).alias("k"), F.col(text).alias("t"))), 256))
+
+    docs, tests = keyed(docs, "d", "t", "dr"), keyed(tests, "i", "x", "ir")
+
     def seeds(df: DataFrame, key: str, text: str) -> DataFrame:
         w = df.select(key, F.expr(f"filter(split(lower({text}), '[^\\\\p{{L}}\\\\p{{N}}]+'), x -> x <> '')").alias("w")).filter(F.size("w") >= span)
         pos = w.select(key, "w", F.explode(F.sequence(F.lit(0), F.size("w") - span)).alias("p"))
         arrays = [F.xxhash64(F.lit(m), *[F.element_at("w", F.col("p") + 1 + k) for k, keep in enumerate(mask) if keep]) for m, mask in enumerate(masks)]
         return pos.select(key, F.explode(F.array(*arrays)).alias("h")).distinct()
 
-    pairs = seeds(docs, "d", "t").join(seeds(tests, "i", "x"), "h").select("d", "i").distinct()
-    full = pairs.join(docs, "d").join(tests, "i").select("d", "t", "i", "x")
+    pairs = seeds(docs, "dr", "t").join(seeds(tests, "ir", "x"), "h").select("dr", "ir").distinct()
+    full = pairs.join(docs, "dr").join(tests, "ir").select("d", "t", "i", "x", (F.col("n_dr") * F.col("n_ir")).alias("n"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for r in batch.to_pylist():
-                out.extend((r["d"], r["i"], *v) for v in Seeds([(r["i"], r["x"])], min_words, masks).find(r["t"]).values())
+                out.extend((r["d"], r["i"], *v) for v in Seeds([(r["i"], r["x"])], min_words, masks).find(r["t"]).values() for _ in range(r["n"]))
             cols = list(zip(*out, strict=True)) or [()] * 5
             types = [batch.schema.field("d").type, batch.schema.field("i").type, pa.int32(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["d", "i", "run", "equal", "at"])
 
-    return full.mapInArrow(verify, schema).distinct()
+    return full.mapInArrow(verify, schema)

@@ -51,3 +51,14 @@ def test_edges(spark):
     docs = spark.createDataFrame([(1, " ".join(W[:20])), (1, " ".join(W[:20])), (2, "x " * 200_000)], "doc_id bigint, text string")
     assert K.leaked(docs, items).count() == 2
     assert K.leaked(docs, items.filter("item_id > 5")).count() == 0
+
+
+def test_repeats_and_null_ids_both_ways(spark):
+    docs, items = data()
+    docs = [*docs, *docs[:40], (docs[0][0], docs[3][1]), (None, docs[0][1]), (None, docs[0][1]), (None, docs[3][1])]
+    items = [*items, items[0], items[3], (None, items[0][1]), (items[3][0], items[0][1])]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    i = spark.createDataFrame(items, "item_id bigint, text string")
+    rows = lambda **k: sorted((tuple(r) for r in K.leaked(d, i, **k).collect()), key=str)
+    assert rows(max_items=3) == rows() and len(set(rows())) < len(rows())
+    assert any(r[0] is None for r in rows()) and any(r[1] is None for r in rows())
