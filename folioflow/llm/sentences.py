@@ -136,10 +136,10 @@ def fit(rows: list[tuple[str, str, str, int]]) -> Model:
 
 
 def learn(texts: DataFrame, text_col: str = "text", max_rows: int = MAX_MODEL_ROWS) -> Model:
-    """The model of a corpus. Events of all texts are counted; rare ones that can't reach a threshold stay with the executors.
+    """The model of a corpus. Events of all texts are counted, and every distinct one comes back, those seen once too.
 
-    What comes back is bounded by ``max_rows``; a corpus with more distinct frequent words than that
-    raises an error rather than lose some.
+    What comes back is bounded by ``max_rows``; a corpus with more distinct events than that raises an
+    error rather than lose some.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
