@@ -148,7 +148,16 @@ def _analyse(docs: DataFrame, ocr: DataFrame) -> tuple[DataFrame, DataFrame]:
     cuts = cuts.withColumn("hyphen", hyphen)
     off_left = F.col("hyphen") & F.col("whole").isNotNull() & ~F.expr("startswith(whole, l)")
     off_right = F.col("hyphen") & F.col("whole").isNotNull() & ~F.expr("endswith(whole, r)")
-    hyphens = cuts.select(*keys, "hyphen", off_left.alias("off_left"), off_right.alias("off_right"))
+    # where the hyphen belongs to the word, both halves are whole words, held against the frequent forms like any other
+    known = best.select(F.col("skel").alias("k"), F.col("whole").alias("known"), F.col("whole_n").alias("known_n"))
+    halves = cuts.filter(~F.col("hyphen")).select(*keys, F.explode(F.array(F.struct(F.lit("left").alias("side"), F.col("left").alias("core")), F.struct(F.lit("right").alias("side"), F.col("right").alias("core")))).alias("h"))
+    halves = halves.select(*keys, "h.side", F.explode(F.split("h.core", "[-‐]")).alias("w")).filter(F.length("w") >= 2)
+    halves = halves.join(known, skeleton(F.col("w")) == F.col("k")).filter(F.col("w") != F.col("known")).join(vocab, "w", "left")
+    halves = halves.filter((F.coalesce("n", F.lit(0)) <= F.col("known_n") * RARE) | ~clean)
+    halves = halves.groupBy(*keys).agg(F.max(F.col("side") == "left").alias("bad_left"), F.max(F.col("side") == "right").alias("bad_right"))
+    off = lambda c, half: c | F.coalesce(half, F.lit(False))
+    cuts = cuts.withColumn("off_left", off_left).withColumn("off_right", off_right).join(halves, keys, "left")
+    hyphens = cuts.select(*keys, "hyphen", off(F.col("off_left"), F.col("bad_left")).alias("off_left"), off(F.col("off_right"), F.col("bad_right")).alias("off_right"))
     bad = bad.unionByName(hyphens.filter("off_left").select(*keys, F.lit(True).alias("misread"))).groupBy(*keys).agg(F.max("misread").alias("misread"))
     w = W.partitionBy("field", "doc_id").orderBy("page", "line_no")
     out = text.select(*keys, "line").join(hyphens, keys, "left").join(bad, keys, "left")

@@ -40,3 +40,10 @@ def test_paragraphs(spark):
 
 def test_empty(spark):
     assert S.noise(docs(spark).limit(0), ocr(spark)).count() == 0
+
+
+def test_halves_of_genuine_compounds_are_read(spark):
+    pages = [BODY + "The well-known letter was near.\n"] * 6 + [BODY.replace("letter", "well-\nknown letter", 1), BODY.replace("letter", "wcll-\nknown letter", 1), BODY.replace("letter", "well-\nknovvn letter", 1)]
+    table = spark.createDataFrame([(f"d{k}", "x", [p], "x") for k, p in enumerate(pages)], "id string, title string, raw_pages array<string>, line string")
+    got = {(r["doc_id"], r["line_no"], r["kind"]) for r in S.noise(table, ocr(spark)).collect()}
+    assert {x for x in got if x[2] != "furniture"} == {("d7", 2, "misread"), ("d8", 3, "misread")}
