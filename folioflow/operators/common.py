@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,10 +11,12 @@ from pyspark.sql import Window as W
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints; a local one is set only where the session names none."""
+    """The shared folder for checkpoints. Where the session names none a local one serves, in local mode only."""
     conf = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not conf and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(conf or tempfile.mkdtemp(prefix="folioflow-ckpt-"))
     return sc.getCheckpointDir()
 
@@ -33,6 +36,20 @@ def bounded_rows(df: DataFrame, limit: int) -> list | None:
     return None if len(rows) > limit else rows
 
 
+def hashed_sample(df: DataFrame, key: str, limit: int) -> DataFrame:
+    """About ``limit`` rows of ``df``, at most that many, chosen by the hash of ``key``; all rows where there are no more.
+
+    A count sets the share of hashes that pass, so only about as many rows as are wanted leave their tasks, however
+    many tasks there are. Rows of one key come or stay together but for the last.
+    """
+    n = df.count()
+    if n <= limit:
+        return df
+    steps = 1 << 30
+    h = F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(steps))
+    return df.filter(h < int(steps * limit / n)).limit(limit)
+
+
 def salt_of(key: Column, n: int) -> Column:
     """A salt in [0, n) that depends on ``key`` alone, so that a retried task gives the same rows."""
     return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
