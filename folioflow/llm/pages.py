@@ -3,10 +3,13 @@
 A page is a sequence of leaf blocks, its lines that are not blank. A linear-chain conditional random field
 labels each as body or outside. Features of a block are its ancestor tags (heading level, list, quote,
 table, code, image, link), its text (length, final mark, separators, case, digits, words) and its place.
-The field is fitted by maximum likelihood on a bounded sample of pages that rules of high precision label
-(cue words of page furniture in five languages, the place of the title heading), and every page is decoded
-by Viterbi. The rules see single lines; the field also weighs context and the other features, so lines
-that no rule knows are labelled like their kind.
+
+No page comes with labels. The field is fitted by maximum likelihood on a bounded sample of pages that the
+corpus itself labels: a line that recurs throughout its source (the counts of problem 3, over all pages) is
+outside, as is what stands before the title or is nothing but links or pictures; the title, code, tables,
+subheadings and sentences that do not recur are body. The sample comes from sources with enough pages for
+recurrence to show; the field carries what it learns there to sources with a few pages each, where it does
+not show, and every page is decoded by Viterbi.
 """
 
 from __future__ import annotations
@@ -20,44 +23,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioflow.llm import repeats
+from folioflow.llm.seeds import Seeds
+from folioflow.operators.common import hashed_sample
+
 SAMPLE_PAGES = 1_500
-STEPS = 90
+#: Pages from which on a source may lend pages to the sample.
+SITE_PAGES = 50
+STEPS = 60
 MIN_COUNT = 3
 
-#: Words and phrases that mark page furniture, fixed values.
-CUES = (
-    r"use cookies|verwendet cookies|usa cookies|utilise des cookies|クッキーを使|small files on your device|before you continue|privacy: we keep|datenschutz|"
-    r"skip to content|zum inhalt springen|saltar al contenido|aller au contenu|本文へ|"
-    r"filed under|schlagwörter|etiquetas|mots-clés|分類：|"
-    r"join [\d,.]+ others|left this month|enter your e-mail|als rundbrief|par courriel|por correo|便りを毎週|"
-    r"may earn an? |those of its author|nothing printed here|all rights in|^©|ohne gewähr|n'engagent pas|no son de|無断転載|見解ではありません|mentions légales|aviso legal|impressum|利用規約|"
-    r"tell a friend|share this|liked the|listen to this|copy link|weiterempfehlen| teilen:|imprimir|imprimer|compartir esta|partager cette|友人に送る|共有|"
-    r"^(?:advertisement|anzeige|publicidad|publicité\s?|広告)\s?[:：]|"
-    r"built with an? |rss, mail|edition \d+ of|about .*· advertise|sobre .*· publicidad|propos de .*·|über .*· werbung|"
-    r"dem weiterlesen|en poursuivant, vous|al continuar acepta|続けると|"
-    r"^(?:related|read next|more|see also|mehr dazu|siehe auch|lire aussi|à lire|voir|voir aussi|vea|lea también|関連|関連記事|次に読む)\s?[:：]"
-)
-TEASER_HEADS = (
-    r"most read|editors' choice|you may also like|keep reading|trending now|meistgelesen|auch interessant|también le interesa|lo más leído|"
-    r"à lire aussi|les plus lus|あわせて読みたい|人気の記事|よく読まれている記事"
-)
-BYLINES = r"by|written by|words by|text|texto|texte\s?|von|par|por|文"
-_CUES = re.compile(CUES, re.I)
-_HEADS = re.compile(rf"(?:{TEASER_HEADS})$", re.I)
-_BY = re.compile(rf"(?:{BYLINES})\s?[:：]?\s+\S", re.I)
 _MARKER = re.compile(r"^(?:>\s*)?(?:([-*+•])\s+|(\d+)[.)]\s+)?")
 _END = re.compile(r"[.!?。！？…]+[\"”»」』)]*$")
 _LINKS = re.compile(r"(?:\[[^\]]*\]\([^)]*\)[\s|·/]*)+$")
 _LINK = re.compile(r"\]\([^)]*\)")
 _IMAGE = re.compile(r"!\[[^\]]*\]\([^)]*\)")
-_TEMPLATE = re.compile(
-    r"\{\{|\{%|\{[a-z_]+\}|<%|%%|__[A-Z]|\*\||@@|\[\[|\[INSERT|\bTBD\b|<[a-z ]+ goes here>|\[object|\$\{|#\{|"
-    r"lorem ipsum|\basdf\b|blindtext|sample text|click to edit|text here\.|\btk tk\b|xxxx|javascript|allow scripts|script support|requires scripts|not found|gone missing|could not be found|not available in|access denied|"
-    r"session expired|fatal error|too many requests|moved or deleted|checking your browser|request id|start page\.$|nicht gefunden|introuvable|no existe|見つかりません",
-    re.I,
-)
-#: Parts of which a lower-cased text must hold one for _TEMPLATE to match: far cheaper to look for.
-_HINTS = ("{", "<", "%", "__", "*|", "@@", "[[", "[insert", "[object", "tbd", "asdf", "ipsum", "text", "click to", "tk tk", "xxxx", "script", "found", "missing", "not avail", "denied", "expired", "fatal", "deleted", "browser", "request", "start page", "gefunden", "introuv", "no existe", "見つ")
 _TOKEN = re.compile(r"[^\W\d_]+")
 _CJK = re.compile(r"[぀-ヿ一-鿿]")
 
@@ -66,14 +46,8 @@ def bare(line: str) -> str:
     return _MARKER.sub("", " ".join(line.split()), count=1).strip("*_ ")
 
 
-def is_furniture(line: str) -> bool:
-    """Whether cue words show that a line is page furniture."""
-    t = bare(line)
-    return _CUES.search(t) is not None or _HEADS.match(t) is not None
-
-
-def silver_labels(lines: list[str]) -> list[int]:
-    """1 for body, 0 for outside, by rules; one per line given, none of which is blank."""
+def corpus_labels(lines: list[str], recurs: list[bool], seeds: Seeds) -> list[int]:
+    """1 for body, 0 for outside, by structure and by which lines recur in the source; no line given is blank."""
     title = next((i for i, x in enumerate(lines) if x.startswith("# ")), -1)
     out, code = [], False
     for i, raw in enumerate(lines):
@@ -83,23 +57,20 @@ def silver_labels(lines: list[str]) -> list[int]:
             out.append(1)
         elif code or i == title:
             out.append(1)
-        elif i < title:
+        elif i < title or recurs[i]:
             out.append(0)
-        elif s.startswith("##"):
-            out.append(0 if _HEADS.match(bare(s.lstrip("# "))) else 1)
-        elif s.startswith("|"):
+        elif s.startswith(("##", "|")):
             out.append(1)
-        elif _TEMPLATE.search(t) and not _CUES.search(t):
-            out.append(1)
-        elif _CUES.search(t) or _HEADS.match(t) or _IMAGE.match(t) or _LINKS.match(t):
-            out.append(0)
-        elif _BY.match(t) and len(t) < 60 and not _END.search(t):
+        elif _IMAGE.match(t) or _LINKS.match(t):
             out.append(0)
         else:
-            out.append(1 if _END.search(t) else 0)
+            out.append(1 if _END.search(t) or seeds.match(t) else 0)
     return out
 
 
+_SEEDS = Seeds()
+
+
 def _shape(line: str, code: bool) -> tuple[list[str], str, list[str]]:
     """Features of a block's form, its bare text, and its words."""
     s = line.strip()
@@ -125,7 +96,7 @@ def _shape(line: str, code: bool) -> tuple[list[str], str, list[str]]:
         f.extend(f"sep={sep}" for sep in (" | ", " · ", " / ", " > ", " » ") if sep in t)
     if t[:1] == "©":
         f.append("copyright")
-    if any([h in low for h in _HINTS]) and _TEMPLATE.search(t):
+    if _SEEDS.match(t):
         f.append("template")
         f.append(f"template,end={end}")
     if t.isupper():
@@ -193,13 +164,13 @@ def _pad(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows, cols
 
 
-def fit(pages: list[list[str]], steps: int = STEPS, min_count: int = MIN_COUNT, l2: float = 0.02) -> Field:
+def fit(pages: list[list[str]], labels: list[list[int]], steps: int = STEPS, min_count: int = MIN_COUNT, l2: float = 0.02) -> Field:
     """Maximum likelihood by gradient ascent; the gradient is from the forward and backward sums of all pages at once."""
     if not pages:
         return Field({}, np.zeros(0), np.zeros((2, 2)))
     memo: dict = {}
     feats = [page_features(p, memo) for p in pages]
-    gold = np.array([y for p in pages for y in silver_labels(p)], float)
+    gold = np.array([y for p in labels for y in p], float)
     count: dict[str, int] = {}
     for p in feats:
         for f in p:
@@ -311,6 +282,12 @@ def decode(field: Field, pages: list[list[str]], memo: dict) -> np.ndarray:
     return out
 
 
+def body_lines(field: Field, text: str | None, memo: dict) -> set[int]:
+    """Numbers, from 1, of the lines of one page's main body."""
+    numbers, lines = _blocks(text)
+    return {n for n, y in zip(numbers, decode(field, [lines], memo), strict=True) if y} if lines else set()
+
+
 def _blocks(text: str | None) -> tuple[list[int], list[str]]:
     """Numbers, from 1, and texts of the lines that are not blank."""
     lines = (text or "").split("\n")
@@ -318,20 +295,41 @@ def _blocks(text: str | None) -> tuple[list[int], list[str]]:
     return [i + 1 for i in keep], [lines[i] for i in keep]
 
 
-def training_pages(articles: DataFrame, id_col: str, text_col: str, limit: int = SAMPLE_PAGES) -> list[list[str]]:
-    """The blocks of at most ``limit`` pages, those with the least hash of their id."""
-    rows = articles.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).filter(F.length("t") < 200_000).orderBy(F.xxhash64("i"), "t").limit(limit).collect()
-    return [b for b in (_blocks(r["t"])[1] for r in rows) if b]
+def training_pages(articles: DataFrame, id_col: str, source_col: str, text_col: str, limit: int = SAMPLE_PAGES, site_pages: int = SITE_PAGES) -> list[tuple[list[str], list[int]]]:
+    """Blocks and labels of at most ``limit`` pages, chosen by the hash of their id among the sources with
+    ``site_pages`` pages or more, or among all where no source has so many. Recurrence is counted over all pages."""
+    source = F.coalesce(F.col(source_col), F.lit(""))
+    keys = articles.filter(F.length(text_col) > 0).select(F.col(id_col).alias("id"), source.alias("domain"))
+    large = keys.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= site_pages).select("domain")
+    chosen = hashed_sample(keys.join(large, "domain", "left_semi") if not large.isEmpty() else keys, "id", limit)
+    pages = repeats.source_pages(articles, id_col, source_col, text_col)
+    frequent = repeats.frequent_lines(pages.select("domain", "ids"))
+    # at most ``limit`` keys
+    texts = pages.join(F.broadcast(chosen.select("id").distinct()), "id").join(frequent, "domain", "left")
+    flags = F.transform("ids", lambda x: F.coalesce(F.array_contains("lines", x), F.lit(False)))
+    rows = texts.select("id", "text", flags.alias("recurs")).limit(limit).collect()
+    out = []
+    for r in sorted(rows, key=lambda r: (str(r["id"]), r["text"])):
+        numbers, lines = _blocks(r["text"])
+        if lines:
+            out.append((lines, corpus_labels(lines, [r["recurs"][k - 1] for k in numbers], _SEEDS)))
+    return out
+
+
+def fitted(articles: DataFrame, id_col: str, source_col: str, text_col: str, sample_pages: int = SAMPLE_PAGES) -> Field:
+    sample = training_pages(articles, id_col, source_col, text_col, sample_pages)
+    return fit([p for p, _ in sample], [y for _, y in sample])
 
 
-def label_blocks(articles: DataFrame, id_col: str = "article_id", text_col: str = "markdown", sample_pages: int = SAMPLE_PAGES) -> DataFrame:
+def label_blocks(articles: DataFrame, id_col: str = "article_id", source_col: str = "domain", text_col: str = "markdown", sample_pages: int = SAMPLE_PAGES) -> DataFrame:
     """(<id_col>, line_no, body): every line that is not blank, numbered from 1, of every page.
 
     Null and blank texts have no lines; a page without a title heading is labelled by its other features;
     repeated rows are labelled each; a text of any length is labelled whole. The field is fitted on at
-    most ``sample_pages`` pages, whatever the table's size; an empty table gives no rows.
+    most ``sample_pages`` pages, whatever the table's size; a null source is a source of its own; an empty
+    table gives no rows.
     """
-    field = fit(training_pages(articles, id_col, text_col, sample_pages))
+    field = fitted(articles, id_col, source_col, text_col, sample_pages)
     pages = articles.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -346,9 +344,9 @@ def label_blocks(articles: DataFrame, id_col: str = "article_id", text_col: str
     return out.withColumnRenamed("id", id_col)
 
 
-def main_text(articles: DataFrame, id_col: str = "article_id", text_col: str = "markdown", sample_pages: int = SAMPLE_PAGES) -> DataFrame:
+def main_text(articles: DataFrame, id_col: str = "article_id", source_col: str = "domain", text_col: str = "markdown", sample_pages: int = SAMPLE_PAGES) -> DataFrame:
     """(<id_col>, body, n_outside): every page's main body, its lines with the blank lines between them; nulls as empty."""
-    field = fit(training_pages(articles, id_col, text_col, sample_pages))
+    field = fitted(articles, id_col, source_col, text_col, sample_pages)
     pages = articles.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -129,7 +129,7 @@ def frequent_lines(pages: DataFrame, min_docs: int = MIN_DOCS, min_share: float
     )
 
 
-def _pages(articles: DataFrame, id_col: str, source_col: str, text_col: str) -> DataFrame:
+def source_pages(articles: DataFrame, id_col: str, source_col: str, text_col: str) -> DataFrame:
     source = F.coalesce(F.col(source_col), F.lit(""))
     return articles.select(
         F.col(id_col).alias("id"), source.alias("domain"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), line_ids(source, F.col(text_col)).alias("ids")
@@ -149,7 +149,7 @@ def repeated_lines(articles: DataFrame, id_col: str = "article_id", source_col:
     a line that occurs twice in one document counts once; equal ids give their rows each. An empty table
     gives no rows. Other columns, whatever their names, are left aside.
     """
-    pages = _pages(articles, id_col, source_col, text_col)
+    pages = source_pages(articles, id_col, source_col, text_col)
     marked = _with_lines(pages.drop("text"), frequent_lines(pages, min_docs, min_share)).filter(F.size("lines") > 0)
     return (
         marked.select("id", "lines", F.posexplode("ids").alias("pos", "line"))
@@ -160,7 +160,7 @@ def repeated_lines(articles: DataFrame, id_col: str = "article_id", source_col:
 
 def without_repeats(articles: DataFrame, id_col: str = "article_id", source_col: str = "domain", text_col: str = "markdown", min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
     """(<id_col>, text, n_removed): every document without its source's repeated lines."""
-    pages = _pages(articles, id_col, source_col, text_col)
+    pages = source_pages(articles, id_col, source_col, text_col)
     joined = _with_lines(pages, frequent_lines(pages, min_docs, min_share))
     zipped = F.arrays_zip(F.split("text", "\n", -1).alias("s"), F.col("ids").alias("i"))
     kept = F.filter(zipped, lambda z: ~F.coalesce(F.array_contains("lines", z["i"]), F.lit(False)))
@@ -221,7 +221,7 @@ def repeated_blocks(articles: DataFrame, id_col: str = "article_id", source_col:
     Reported are the blocks that span enough documents and that no line, put before or after, leaves in as
     many. Lines without letters do not break a block. A block is known by the hash of its identifiers.
     """
-    pages = _pages(articles, id_col, source_col, text_col)
+    pages = source_pages(articles, id_col, source_col, text_col)
     frequent = frequent_lines(pages, min_docs, min_share)
     marked = _with_lines(pages.drop("text"), frequent).filter(F.size("lines") > 0)
     runs = F.transform(F.filter("ids", lambda x: x != 0), lambda x: F.when(F.array_contains("lines", x), x).otherwise(F.lit(0).cast("bigint")))
