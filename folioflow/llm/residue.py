@@ -1,174 +1,207 @@
 """Problem 7: template residue, filler and error messages in place of content.
 
-Positive-unlabelled naive Bayes, fitted by expectation-maximisation. Trusted patterns (unfilled
-placeholders, well-known error and filler texts) mark passages as positive; all others are unlabelled and
-carry a posterior that each round re-estimates. Every passage of every record is then scored, and the
-record is decided from its passages: it is residue if a placeholder stands for a value in it, or if the
-passages that score as residue outnumber the real prose. Quoted and code-marked spans are masked before
-anything is matched or scored, so texts that mention or show such things stay.
+Positive-unlabelled naive Bayes, fitted by expectation-maximisation. The seeds (unfilled placeholders,
+well-known error and filler texts) mark trusted positives only in records that hold hardly anything else, so
+a real text that mentions them teaches nothing. All other passages are unlabelled: those of records without a
+seed start as negatives, and each round re-estimates them, but only passages of records that are decided
+as residue can turn positive. A line that real records hold as well (page furniture, quotations of an
+error) therefore stays negative, whatever its words. The share of positives is held near that of the seeds.
+
+Every passage of every record is then scored by the model; a score is tempered in long passages, whose words
+are no independent witnesses. A record is residue if a placeholder stands for a value in it, or if the
+passages that score as residue outweigh its running text. On web pages only the main body counts, as the
+field of problem 5 finds it. Seeds decide nothing by themselves; quoted and code-marked spans are masked
+before anything is matched or scored, so texts that mention or show such things stay.
 """
 
 from __future__ import annotations
 
-import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.pages import bare, is_furniture
+from folioflow.llm import pages
+from folioflow.llm.seeds import Seeds, has_placeholder, is_quoting, may_hold_placeholder, unquoted
+from folioflow.operators.common import hashed_sample
 
-SAMPLE_RECORDS = 6_000
-ROUNDS = 5
+SAMPLE_RECORDS = 12_000
+ROUNDS = 6
 THRESHOLD = 3.0
-
-#: An unfilled placeholder, in the notations of common template languages. Fixed values.
-PLACEHOLDER = re.compile(
-    r"\{\{[^{}\n]{1,80}\}\}|\{%[^%\n]{1,80}%\}|<%[^%\n]{1,80}%>|[$#]\{[^{}\n]{1,60}\}|\{[a-z][a-z0-9_.]{1,40}\}|%%[A-Z][A-Z_]{1,40}%%|(?<!\w)__[A-Z][A-Z_]{1,40}__(?!\w)|"
-    r"\*\|[A-Z_]{2,40}\|\*|@@[\w.]{2,40}@@|\[\[[a-z_.]{2,40}\]\]|\[(?:INSERT|YOUR|ENTER|ADD)\b[^\]\n]{0,60}\]|<[a-z_ ]{2,40} goes here>|\bTBD:\s|\[object Object\]"
-)
-#: Error messages, notices that scripts are required, filler, and words of a reading service. Fixed values.
-TRUSTED = re.compile(
-    r"javascript|allow scripts|script support|スクリプト|page (?:not found|has gone missing|could not be found)|page about .{1,60} could not be found|not available in your region|access denied|session expired|"
-    r"service temporarily unavailable|was moved or deleted|checking your browser|your browser is too old|return to the start page|seite nicht gefunden|page introuvable|página (?:solicitada )?no (?:existe|encontrada)|ページは見つかりません|"
-    r"lorem ipsum|\basdf\b|blindtext|sample text\. replace|click to edit|add your .{1,40} text here|copy tk\b|\btk tk\b|coming soon:|"
-    r"^\[illegible\]$|unable to read the text|too blurred to transcribe|here is the markdown|extracted text will appear|<page_content\s*/?>|^\{\s*\"error\"|\(no output\b|the model stopped",
-    re.I,
-)
-_FENCE = re.compile(r"^\s*```")
-_QUOTED = re.compile(r"`[^`\n]*`|“[^”\n]*”|„[^“\n]*“|«[^»\n]*»|「[^」\n]*」|\"[^\"\n{}]{2,60}\"(?!\s*[:,}])")
-#: Clauses that speak of such a text rather than being one. Fixed values.
-_MENTION = re.compile(r"\b(?:said the|answered with an?|tells its readers|thought)\b", re.I)
+#: Words from which on a passage's evidence is averaged; occurrences below which a word tells nothing.
+FULL_WORDS = 12
+MIN_COUNT = 3
+#: How many times the seeds' share of all passages the positives may be.
+GROWTH = 3.0
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]{2,}")
+_DIGIT = re.compile(r"\d")
 _CJK = re.compile(r"[぀-ヿ一-鿿]+")
 _END = re.compile(r"[.!?。！？…।؟][\"”»’」』)*_]*(?:\s|$)|[。！？]")
-#: Parts of which a passage must hold one for PLACEHOLDER, and a lower-cased one for TRUSTED, to match: cheap to look for.
-_MARKS = ("{", "%", "<", "__", "*|", "@@", "[[", "[INSERT", "[YOUR", "[ENTER", "[ADD", "TBD", "[object")
-_HINTS = (
-    "script", "スクリプト", "page ", "not available in", "denied", "expired", "unavailable", "moved or deleted", "browser", "gefunden", "introuvable", "página", "ページ",
-    "ipsum", "asdf", "blindtext", "sample text", "click to edit", "text here", "tk", "coming soon", "[illegible]", "unable to read", "too blurred", "markdown", "extracted", "content", "error", "output", "model",
-)
+_HEADING = re.compile(r"#{1,6}\s")
 
 
-def passages(text: str | None, wrapped: bool) -> list[str]:
-    """Lines, or where lines are wrapped the paragraphs between blank lines; fenced code left out, quoted spans masked."""
-    out: list[str] = []
+def passages(text: str | None, wrapped: bool) -> list[tuple[int, str]]:
+    """Number, from 1, of the first line, and text of the lines that are not blank, or where lines are wrapped of the
+    paragraphs between blank lines; fenced code left out, quoted spans masked."""
+    out: list[tuple[int, str]] = []
     code, fresh = False, True
-    for line in (text or "").split("\n"):
-        if _FENCE.match(line):
-            code = not code
-            fresh = True
-            continue
-        if code:
-            continue
+    text = text or ""
+    fenced = "```" in text
+    for i, line in enumerate(text.split("\n"), 1):
         s = line.strip()
         if not s:
             fresh = True
+            continue
+        if fenced and s.startswith("```"):
+            code = not code
+            fresh = True
+        elif code:
+            continue
         elif wrapped and not fresh:
-            out[-1] += " " + s
+            out[-1] = out[-1][0], out[-1][1] + " " + s
         else:
-            out.append(s)
+            out.append((i, s))
             fresh = False
-    return [_QUOTED.sub(" ∎ ", p) if any([q in p for q in "`“„«「\""]) else p for p in out]
+    return [(i, unquoted(p)) for i, p in out] if is_quoting(text) else out
 
 
 def tokens(passage: str) -> set[str]:
     """Words, numbers as one, runs of signs, and pairs of characters of scripts without spaces."""
     low = passage.lower()
     found = set(_TOKEN.findall(low))
-    if any(map(str.isdigit, found)):
+    if _DIGIT.search(low):
         found = {("#" if t[0].isdigit() else t) for t in found}
     if not low.isascii():
         for run in _CJK.findall(low):
-            found.update(run[i : i + 2] for i in range(len(run) - 1))
+            found.discard(run)
+            found.update([run[i : i + 2] for i in range(len(run) - 1)])
     return found
 
 
-def has_placeholder(passage: str) -> bool:
-    return any([c in passage for c in _MARKS]) and PLACEHOLDER.search(passage) is not None
-
-
-def trusted(passage: str) -> bool:
-    """Whether a passage is residue beyond doubt."""
-    if has_placeholder(passage):
-        return True
-    low = passage.lower()
-    return any([h in low for h in _HINTS]) and TRUSTED.search(passage) is not None and not _MENTION.search(passage) and "∎" not in passage
-
-
 @dataclass
 class Bayes:
-    """Log odds: of each token, and of the class."""
+    """Log odds: of each token, of a match of the seeds, and of the class."""
 
     odds: dict[str, float]
-    unseen: float
+    seed: float
     prior: float
+    seeds: Seeds
 
     def score(self, passage: str) -> float:
-        get, unseen = self.odds.get, self.unseen
-        return self.prior + sum([get(x, unseen) for x in tokens(passage)])
-
-
-def fit(texts: list[tuple[str, bool]], rounds: int = ROUNDS, smooth: float = 0.2) -> Bayes:
-    """Expectation-maximisation over the passages of ``texts`` (text, lines are wrapped)."""
-    seen: Counter[tuple[frozenset, bool]] = Counter()
-    for text, wrapped in texts:
-        for p in passages(text, wrapped):
-            seen[(frozenset(tokens(p)), trusted(p))] += 1
-    items = [(t, y, n) for (t, y), n in seen.items() if t]
-    posterior = [1.0 if y else 0.0 for _, y, _ in items]
-    odds: dict[str, float] = {}
-    prior = -5.0
-    vocab = len({w for t, _, _ in items for w in t}) or 1
-    unseen = 0.0
+        """The log odds that ``passage`` is residue; the seeds are looked for only where they can matter."""
+        own = [o for o in map(self.odds.get, tokens(passage)) if o is not None]
+        # rounded, as the order of a set's sum differs between processes
+        found = self.prior + (round(sum(own) * min(1.0, FULL_WORDS / len(own)), 6) if own else -10.0)
+        return found + self.seed if found + self.seed >= THRESHOLD > found and self.seeds.match(passage) else found
+
+
+def is_running(passage: str) -> bool:
+    """Whether a passage is running text rather than a label or a number."""
+    return len(passage) >= 8 and (_END.search(passage) is not None or len(passage) >= 80)
+
+
+@dataclass
+class Record:
+    """What is judged of a record: the passages of its body, headings apart."""
+
+    body: list[str]
+    heads: list[str]
+    marked: bool  # whether any part of a placeholder's notation is there at all
+
+
+def outweighs(residue: float, prose: float) -> bool:
+    return residue > 0 and residue >= prose
+
+
+def fit(records: list[Record], seeds: Seeds | None = None, rounds: int = ROUNDS, smooth: float = 0.2) -> Bayes:
+    """Expectation-maximisation over the body passages of ``records``; the same records give the same model."""
+    seeds = seeds or Seeds()
+    owner = np.array([k for k, r in enumerate(records) for _ in r.body], np.int64)
+    texts = [p for r in records for p in r.body]
+    if not texts:
+        return Bayes({}, 0.0, -10.0, seeds)
+    index: dict[str, int] = {}
+    memo: dict[str, tuple[list[int], bool]] = {}
+    for p in texts:
+        if p not in memo:
+            memo[p] = [index.setdefault(t, len(index)) for t in sorted(tokens(p))], seeds.match(p)
+    ids = [memo[p][0] for p in texts]
+    size = np.array([len(x) for x in ids])
+    flat, at = np.array([k for x in ids for k in x], np.int64), np.repeat(np.arange(len(ids)), size)
+    known = np.bincount(flat, minlength=len(index)) >= MIN_COUNT
+    keep = known[flat]
+    flat, at = flat[keep], at[keep]
+    size = np.bincount(at, minlength=len(texts))
+    temper = np.minimum(1.0, FULL_WORDS / np.maximum(size, 1))
+    seed = np.array([memo[p][1] for p in texts])
+    length = np.array([len(p) for p in texts], float)
+    running = np.array([is_running(p) for p in texts])
+
+    def decided(positive: np.ndarray) -> np.ndarray:
+        residue = np.bincount(owner, length * positive, len(records))
+        prose = np.bincount(owner, length * (running & ~positive), len(records))
+        return (residue > 0) & (residue >= prose)
+
+    sure = seed & decided(seed)[owner]
+    share = max(sure.sum(), 1) / len(texts)
+    posterior = sure.astype(float)
+    odds, prior, worth = np.zeros(len(index)), 0.0, 0.0
+    vocabulary = int(known.sum()) or 1
     for step in range(rounds):
-        one, zero = Counter(), Counter()
-        n1 = n0 = 0.0
-        for (t, _, n), r in zip(items, posterior, strict=True):
-            n1 += r * n
-            n0 += (1 - r) * n
-            for w in t:
-                one[w] += r * n
-                zero[w] += (1 - r) * n
-        t1, t0 = sum(one.values()) + smooth * vocab, sum(zero.values()) + smooth * vocab
-        odds = {w: math.log((one[w] + smooth) / t1) - math.log((zero[w] + smooth) / t0) for w in one.keys() | zero.keys()}
-        prior = math.log((n1 + 0.5) / (n0 + 0.5))
+        one = np.bincount(flat, posterior[at], len(index))
+        zero = np.bincount(flat, 1 - posterior[at], len(index))
+        odds = np.log((one + smooth) / (one.sum() + smooth * vocabulary)) - np.log((zero + smooth) / (zero.sum() + smooth * vocabulary))
+        # a match of the seeds is one more witness, worth what it is among the positives against the rest
+        worth = float(np.log((posterior[seed].sum() + smooth) / (posterior.sum() + 1)) - np.log(((1 - posterior)[seed].sum() + smooth) / ((1 - posterior).sum() + 1)))
+        found = min(max(posterior.mean(), share), min(0.5, GROWTH * share))
+        prior = float(np.log(found / (1 - found)))
         if step < rounds - 1:
-            # the unlabelled keep a little of their share only where the words speak for it clearly
-            posterior = [1.0 if y else 1 / (1 + math.exp(-max(-50.0, min(50.0, prior + sum(odds[w] for w in t) - THRESHOLD)))) for t, y, _ in items]
-    return Bayes(odds, unseen, prior)
+            score = prior + np.where(size > 0, np.bincount(at, odds[flat], len(texts)) * temper, -10.0) + worth * seed
+            score[sure] = 50.0
+            gate = decided(score >= THRESHOLD)[owner]
+            posterior = np.where(sure, 1.0, np.where(gate, 1 / (1 + np.exp(-np.clip(score - THRESHOLD, -50, 50))), 0.0))
+    return Bayes({t: float(odds[k]) for t, k in index.items() if known[k]}, worth, prior, seeds)
+
+
+def parts(text: str | None, wrapped: bool, body: set[int] | None) -> Record:
+    """The passages to judge; ``body`` are the line numbers of a web page's main body, None where all lines count."""
+    out = Record([], [], may_hold_placeholder(text or ""))
+    for i, p in passages(text, wrapped):
+        if body is None or i in body:
+            (out.heads if p[0] == "#" and _HEADING.match(p) else out.body).append(p)
+    return out
 
 
-def judge(text: str | None, wrapped: bool, model: Bayes, memo: dict[str, float]) -> tuple[int, int, int]:
-    """(placeholders, residue passages, prose passages) of a record."""
-    holes = residue = 0
-    scored = []
-    for p in passages(text, wrapped):
+def judge(record: Record, model: Bayes, memo: dict[str, float]) -> tuple[int, int, int]:
+    """(placeholders, characters of residue, characters of running text) of a record; no text is counted where there is no residue."""
+    marked = record.marked
+    holes = sum([has_placeholder(p) for p in record.heads]) if marked else 0
+    scores = []
+    for p in record.body:
         s = memo.get(p)
         if s is None:
-            s = 1e9 if has_placeholder(p) else 1e8 if trusted(p) else model.score(p)
+            s = 1e9 if marked and has_placeholder(p) else model.score(p)
             if len(memo) < 50_000:
                 memo[p] = s
-        scored.append((p, s))
-        holes += s >= 1e9
-        residue += s >= 1e9 or (s >= THRESHOLD and not p.startswith("#"))
-    if not residue:
-        return 0, 0, sum(_END.search(bare(p)) is not None for p, _ in scored)
-    titled, prose = wrapped, 0
-    for p, s in scored:
-        titled |= p.startswith("# ")
-        prose += titled and s < THRESHOLD and len(p) >= 8 and _END.search(bare(p)) is not None and not is_furniture(p)
-    return holes, residue, prose
-
-
-def find_residue(records: DataFrame, key_cols: list[str], text_col: str, wrapped: bool, model: Bayes) -> DataFrame:
-    """``key_cols``, placeholders, residue, prose, is_residue for every record.
-
-    Null and blank texts are no residue; repeated rows are judged each.
+        scores.append(s)
+    if not scores or max(scores) < THRESHOLD:
+        return holes, 0, 0
+    found = [s >= THRESHOLD for s in scores]
+    residue = sum([len(p) for p, y in zip(record.body, found, strict=True) if y])
+    prose = sum([len(p) for p, y in zip(record.body, found, strict=True) if not y and is_running(p)])
+    return holes + sum([s >= 1e9 for s in scores]), residue, prose
+
+
+def find_residue(records: DataFrame, key_cols: list[str], text_col: str, wrapped: bool, model: Bayes, field: pages.Field | None = None) -> DataFrame:
+    """``key_cols``, placeholders, residue and prose (characters), is_residue for every record.
+
+    Null and blank texts are no residue; repeated rows are judged each; a text of any length is judged whole.
+    With a ``field`` the records are web pages, of which the main body counts; it is sought only in records in
+    which some passage scores as residue.
     """
     names = [f"_k{i}" for i in range(len(key_cols))]
     df = records.select(*[F.col(c).alias(n) for c, n in zip(key_cols, names, strict=True)], F.col(text_col).alias("_t"))
@@ -176,10 +209,16 @@ def find_residue(records: DataFrame, key_cols: list[str], text_col: str, wrapped
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, float] = {}
+        own: dict = {}
         for batch in batches:
-            got = [judge(t, wrapped, model, memo) for t in batch.column("_t").to_pylist()]
+            got = []
+            for t in batch.column("_t").to_pylist():
+                holes, residue, prose = judge(parts(t, wrapped, None), model, memo)
+                if residue and field is not None:
+                    _, residue, prose = judge(parts(t, wrapped, pages.body_lines(field, t, own)), model, memo)
+                got.append((holes, residue, prose))
             a, b, c = zip(*got, strict=True) if got else ((), (), ())
-            flag = [bool(x) or y > z for x, y, z in got]
+            flag = [h > 0 or outweighs(x, y) for h, x, y in got]
             cols = [pa.array(v, pa.int32()) for v in (a, b, c)]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *cols, pa.array(flag, pa.bool_())], [*names, "placeholders", "residue", "prose", "is_residue"])
 
@@ -189,20 +228,29 @@ def find_residue(records: DataFrame, key_cols: list[str], text_col: str, wrapped
     return out
 
 
-def training_texts(records: DataFrame, key: str, text_col: str, wrapped: bool, limit: int = SAMPLE_RECORDS) -> list[tuple[str, bool]]:
-    """At most ``limit`` texts, those with the least hash of their key."""
-    rows = records.select(F.col(key).alias("k"), F.col(text_col).alias("t")).filter(F.length("t").between(1, 100_000)).orderBy(F.xxhash64("k"), "t").limit(limit).collect()
-    return [(r["t"], wrapped) for r in rows]
+def sample_texts(records: DataFrame, key: str, text_col: str, limit: int) -> list[str]:
+    """At most ``limit`` texts, chosen by the hash of their key."""
+    rows = hashed_sample(records.select(F.col(key).alias("k"), F.col(text_col).alias("t")).filter(F.length("t") > 0), "k", limit).collect()
+    return [r["t"] for r in sorted(rows, key=lambda r: (str(r["k"]), r["t"]))]
+
+
+def learn(articles: DataFrame, scans: DataFrame, sample: int = SAMPLE_RECORDS, seeds: Seeds | None = None) -> tuple[Bayes, pages.Field]:
+    """The model and the field of the web pages; ``scans`` has record_key and markdown."""
+    field = pages.fitted(articles, "article_id", "domain", "markdown")
+    own: dict = {}
+    records = [parts(t, False, pages.body_lines(field, t, own)) for t in sample_texts(articles, "article_id", "markdown", sample // 2)]
+    records += [parts(t, True, None) for t in sample_texts(scans, "record_key", "markdown", sample // 2)]
+    return fit(records, seeds), field
 
 
-def flag_records(articles: DataFrame, ocr: DataFrame, sample: int = SAMPLE_RECORDS) -> DataFrame:
+def flag_records(articles: DataFrame, ocr: DataFrame, sample: int = SAMPLE_RECORDS, seeds: Seeds | None = None) -> DataFrame:
     """(record_table, record_key, placeholders, residue, prose, is_residue) for all articles and all good page readings.
 
     A page reading's key is doc_id#page; repeated rows count once. One model is fitted on at most
-    ``sample`` articles and as many readings.
+    ``sample`` records, half of them articles, half readings. Empty tables give no rows.
     """
-    pages = ocr.filter(~F.coalesce("failed", F.lit(False))).select(F.concat_ws("#", "doc_id", F.col("page").cast("string")).alias("record_key"), "markdown").distinct()
-    model = fit(training_texts(articles, "article_id", "markdown", False, sample // 2) + training_texts(pages, "record_key", "markdown", True, sample // 2))
-    web = find_residue(articles.select(F.col("article_id").cast("string").alias("record_key"), "markdown"), ["record_key"], "markdown", False, model)
-    scans = find_residue(pages, ["record_key"], "markdown", True, model)
-    return web.withColumn("record_table", F.lit("articles")).unionByName(scans.withColumn("record_table", F.lit("ocr_results")))
+    scans = ocr.filter(~F.coalesce("failed", F.lit(False))).select(F.concat_ws("#", "doc_id", F.col("page").cast("string")).alias("record_key"), "markdown").distinct()
+    model, field = learn(articles, scans, sample, seeds)
+    web = find_residue(articles.select(F.col("article_id").cast("string").alias("record_key"), "markdown"), ["record_key"], "markdown", False, model, field)
+    read = find_residue(scans, ["record_key"], "markdown", True, model)
+    return web.withColumn("record_table", F.lit("articles")).unionByName(read.withColumn("record_table", F.lit("ocr_results")))
