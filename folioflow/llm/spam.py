@@ -8,7 +8,9 @@ outlier and lies on the spam side: fewer function words, more repetition, links
 is spam if such blocks hold the greater part of its text.
 
 Function words are learned per language: the words, or characters in scripts without spaces, that occur
-in the most documents. Languages are told apart by script, and within the Latin script by short lists.
+in the most documents. Languages are told apart by script, and within the Latin script by their words of
+closed classes. A text is cut into words once in each of the two passes, block by block; the language, the
+units and the features all read those words.
 """
 
 from __future__ import annotations
@@ -32,14 +34,31 @@ SHARE = 0.5
 #: Of each feature, the side of spam and the least scale, so that a feature that hardly varies stays finite.
 FEATURES = {"function": (-1, 0.06), "repeat": (1, 0.05), "entropy": (-1, 0.06), "links": (1, 0.05), "separators": (1, 0.06), "marks": (-1, 0.04)}
 LANGUAGES = ("en", "de", "fr", "es", "ru", "ar", "hi", "th", "zh", "ja", "other")
-_SCRIPTS = (("ja", re.compile("[぀-ヿ]")), ("zh", re.compile("[一-鿿]")), ("th", re.compile("[฀-๿]")), ("hi", re.compile("[ऀ-ॿ]")), ("ar", re.compile("[؀-ۿ]")), ("ru", re.compile("[Ѐ-ӿ]")))
-#: Frequent short words by which languages of the Latin script are told apart. Fixed values.
+#: Words of closed classes (articles, prepositions, conjunctions, pronouns, auxiliaries, question words) by which
+#: languages of the Latin script are told apart. Fixed values.
 _LATIN = {
-    "en": frozenset("the a an and of in it was which with every nobody why had is our for".split()),
-    "de": frozenset("der die das und ein eine den dem war in aus jede warum obwohl von".split()),
-    "fr": frozenset("le la les de des une un et du pourquoi mais restait est".split()),
-    "es": frozenset("el la los las una un y en de por qué pero seguía del".split()),
+    "en": (
+        "the a an and or but nor of in on at to from with without for by as than that this these those it its is was were are be been has had have do does did not no every any each nobody nothing"
+        " who which what why when where how whenever because although while after before until unless he she they we you i his her their our my your"
+    ),
+    "de": (
+        "der die das den dem des ein eine einen einem einer eines und oder aber in im an am auf aus bei mit nach von vom zu zum zur für ist war sind waren hat hatte haben nicht kein keine jede jeder jedes niemand nichts"
+        " wer was warum wann wo wie weil obwohl während bis als wenn er sie es wir ihr ich sein ihre unser"
+    ),
+    "fr": (
+        "le la les l un une des du de d et ou mais ni à au aux en dans sur sous avec sans pour par est était sont étaient a avait ont ne pas aucun chaque personne rien"
+        " qui que quoi pourquoi quand où comment parce lorsque après avant il elle ils elles nous vous je son sa ses leur notre"
+    ),
+    "es": (
+        "el la los las un una unos unas y o pero ni de del al en con sin para por sobre es era son eran ha había han no ningún cada nadie nada"
+        " quien que qué cuando dónde cómo porque aunque mientras después antes él ella ellos nosotros yo su sus nuestro"
+    ),
 }
+_SHORT: dict[str, tuple[str, ...]] = {}
+for _lang, _words in _LATIN.items():
+    for _w in _words.split():
+        _SHORT[_w] = (*_SHORT.get(_w, ()), _lang)
+_KANA = re.compile("[぀-ヿ]")
 _WORD = re.compile(r"(?:[^\W\d_]|[\u0300-\u036f\u064b-\u065f\u0900-\u0903\u093a-\u094f\u0e31\u0e34-\u0e4e])+")
 _URL = re.compile(r"\[[^\]\n]*\]\([^)\n]*\)|<?https?://[^\s>)]+>?|\bwww\.[^\s)]+")
 _SEPARATOR = re.compile(r"[|#,;、，；•·/>　]| - |\d+")
@@ -47,32 +66,46 @@ _MARK = re.compile(r"[.!?。！？।؟]")
 _DENSE = {"zh", "ja", "th"}
 
 
+def words_language(words: list[str], is_ascii: bool) -> str:
+    """The language of lower-cased words, by their script and, in the Latin script, those of closed classes."""
+    if not is_ascii:
+        foreign = [w for w in words if w[0] >= "ɐ"]
+        if foreign:
+            letters, found = sum(map(len, words)), Counter()
+            dense = ""
+            for w in foreign:
+                c = w[0]
+                if c >= "぀":
+                    dense += w
+                else:
+                    found["ru" if "Ѐ" <= c <= "ӿ" else "ar" if "؀" <= c <= "ۿ" else "hi" if "ऀ" <= c <= "ॿ" else "th" if "฀" <= c <= "๿" else "other"] += len(w)
+            if sum(found.values()) + len(dense) >= 0.5 * letters:
+                if dense:
+                    found["ja" if len(_KANA.findall(dense)) > 0.08 * letters else "zh"] = len(dense)
+                return found.most_common(1)[0][0]
+    hits = Counter()
+    for langs in filter(None, map(_SHORT.get, words)):
+        hits.update(langs)
+    return max(_LATIN, key=lambda k: hits[k]) if hits else "other"
+
+
 def language(text: str) -> str:
-    """The language of a text, by its script and, in the Latin script, its short words."""
-    words = _WORD.findall(text)
-    letters = sum(map(len, words)) or 1
-    latin = sum([len(w) for w in words if w.isascii()]) if not text.isascii() else letters
-    for name, pattern in _SCRIPTS if latin <= 0.5 * letters else ():
-        if len(pattern.findall(text)) > (0.08 if name == "ja" else 0.25) * letters:
-            return name
-    seen = Counter([w.lower() for w in words])
-    hits = {k: sum(seen[w] for w in v) for k, v in _LATIN.items()}
-    best = max(hits, key=hits.get)
-    return best if hits[best] else "other"
-
-
-def block_language(block: str, of_text: str) -> str:
+    """The language of a text."""
+    return words_language(_WORD.findall(text.lower()), text.isascii())
+
+
+def block_language(own: str, of_text: str) -> str:
     """A block's own language if it shows one, else that of its text: quotations in another language are judged by theirs."""
-    own = language(block)
-    if own == "zh" and of_text == "ja":
-        return of_text
-    return of_text if own == "other" else own
+    return of_text if own == "other" or (own == "zh" and of_text == "ja") else own
 
 
-def units(text: str, lang: str) -> list[str]:
+def words_units(words: list[str], lang: str) -> list[str]:
     """Words, or the characters of words in scripts without spaces."""
-    found = _WORD.findall(text.lower())
-    return [c for w in found for c in ([w] if w.isascii() else w)] if lang in _DENSE else found
+    return [c for w in words for c in ([w] if w.isascii() else w)] if lang in _DENSE else words
+
+
+def without_links(text: str) -> str:
+    return _URL.sub(" ", text) if "](" in text or "http" in text or "www." in text else text
 
 
 def blocks(text: str) -> list[str]:
@@ -93,24 +126,26 @@ def blocks(text: str) -> list[str]:
     return out
 
 
-def features(block: str, lang: str, function: frozenset[str]) -> tuple[float, ...]:
-    """The features of one block, in the order of FEATURES."""
-    plain = _URL.sub(" ", block)
-    w = units(plain, lang)
-    n = len(w)
-    linked = len(block) - len(plain)
-    links = linked / max(1, len(block))
+#: c ln c for the counts that occur most, so that an entropy is a sum of looked-up values.
+_C_LOG_C = [0.0] + [c * math.log(c) for c in range(1, 4096)]
+
+
+def features(block: str, plain: str, units: list[str], function: frozenset[str]) -> tuple[float, ...]:
+    """The features of one block, in the order of FEATURES; ``plain`` and ``units`` are of the block without its links."""
+    n = len(units)
+    links = (len(block) - len(plain)) / max(1, len(block))
     if not n:
         return 0.0, 1.0, 0.0, links, 1.0, 0.0
-    content = Counter(x for x in w if x not in function)
-    total = sum(content.values())
-    k = len(content)
-    # of the content words: how evenly they spread, against the most that their number allows
-    spread = -sum(c / total * math.log(c / total) for c in content.values()) if total else 0.0
-    enough = total > 3 and total >= 0.2 * n  # a few words left tell nothing
-    entropy = spread / math.log(total) if enough else 1.0
-    repeat = (max(content.values()) - 1) / total if k and enough else 0.0
-    return sum(x in function for x in w) / n, repeat, entropy, links, min(1.5, len(_SEPARATOR.findall(plain)) / n), min(0.5, len(_MARK.findall(plain)) / n)
+    rest = [x for x in units if x not in function]
+    total = len(rest)
+    entropy, repeat = 1.0, 0.0
+    if total > 3 and total >= 0.2 * n:  # a few words left tell nothing
+        counts = Counter(rest).values()
+        most = max(counts)
+        # of the content words: how evenly they spread, against the most that their number allows
+        entropy = 1 - sum(map(_C_LOG_C.__getitem__, counts) if most < 4096 else [c * math.log(c) for c in counts]) / total / math.log(total)
+        repeat = (most - 1) / total
+    return 1 - total / n, repeat, entropy, links, min(1.5, len(_SEPARATOR.findall(plain)) / n), min(0.5, len(_MARK.findall(plain)) / n)
 
 
 def _plain(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -124,8 +159,9 @@ def function_words(docs: DataFrame, count: int = FUNCTION_WORDS) -> dict[str, fr
         for batch in batches:
             seen: Counter[tuple[str, str]] = Counter()
             for t in batch.column(1).to_pylist():
-                lang = language(t)
-                seen.update((lang, u) for u in set(units(_URL.sub(" ", t), lang)) if len(u) < 40)
+                words = _WORD.findall(without_links(t).lower())
+                lang = words_language(words, t.isascii())
+                seen.update([(lang, u) for u in set(words_units(words, lang))])
             keys = list(seen)
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([seen[k] for k in keys], pa.int64())], ["lang", "u", "n"])
 
@@ -149,14 +185,15 @@ def block_features(docs: DataFrame, function: dict[str, frozenset[str]]) -> Data
         for batch in batches:
             owner, langs, chars, rows = [], [], [], []
             for k, t in enumerate(batch.column(1).to_pylist()):
-                whole = language(t)
-                for b in blocks(t):
-                    lang = block_language(b, whole)
-                    own = function.get(lang, frozenset())
+                plain = [(b, without_links(b)) for b in blocks(t)]
+                words = [_WORD.findall(p.lower()) for _, p in plain]
+                whole = words_language([w for x in words for w in x], t.isascii())
+                for (b, p), w in zip(plain, words, strict=True):
+                    lang = block_language(words_language(w, b.isascii()), whole)
                     owner.append(k)
                     langs.append(lang)
                     chars.append(len(b))
-                    rows.append(features(b, lang, own))
+                    rows.append(features(b, p, words_units(w, lang), function.get(lang, frozenset())))
             x = np.array(rows, float).reshape(-1, len(names))
             index = pa.array(owner, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(index), batch.column(2).take(index), pa.array(langs, pa.string()), pa.array(chars, pa.int32()), *(pa.array(x[:, j]) for j in range(len(names)))], ["id", "row", "lang", "chars", *names])
