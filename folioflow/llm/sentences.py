@@ -15,19 +15,17 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.llm.spam import language
-from folioflow.operators.common import bounded_rows, unlike
+from folioflow.operators.common import cut_lineage, unlike
 
 ABBREVIATION_LLR = 1.0
 STARTER_LLR = 12.0
 COLLOCATION_LLR = 7.88
 STARTER_SHARE = 0.12
-MAX_MODEL_ROWS = 500_000
 _CLOSERS = "\"'”’»)\\]」』）》"
 _BOUNDARY = re.compile(rf"(?P<mark>[.!?…؟।۔。！？．]+)(?P<close>(?:[ \u00a0\u202f]?»|[{_CLOSERS}])*)(?P<gap>\s*)")
 _LOW_QUOTE = re.compile("„([^„“”]*)“")
@@ -40,18 +38,16 @@ _NEXT = re.compile(r"[^\s.,;:!?\"“”„«»()\[\]（）「」『』…。！
 _REPORT = re.compile(r"^(?:と|[^。！？.!?।؟]{0,24}(?:问|說|说|道|喊|答|回答))|^[^।.!?؟]{0,40}(?:पूछा|कहा|बोला)|^\s*(?:سأل|قال|صاح|أجاب)")
 
 
-def llr(k1: float, n1: float, k2: float, n2: float) -> float:
+def _llr(k1: Column, n1: Column, k2: Column, n2: Column) -> Column:
     """Dunning's ratio of k1 successes in n1 trials against k2 in n2; negative where the first share is the lower."""
 
-    def ll(k: float, n: float, p: float) -> float:
-        p = min(max(p, 1e-12), 1 - 1e-12)
-        return k * np.log(p) + (n - k) * np.log(1 - p)
+    def ll(k: Column, n: Column, p: Column) -> Column:
+        p = F.least(F.greatest(p, F.lit(1e-12)), F.lit(1 - 1e-12))
+        return k * F.ln(p) + (n - k) * F.ln(1 - p)
 
-    if not n1 or not n2:
-        return 0.0
     p, p1, p2 = (k1 + k2) / (n1 + n2), k1 / n1, k2 / n2
     out = 2 * (ll(k1, n1, p1) + ll(k2, n2, p2) - ll(k1, n1, p) - ll(k2, n2, p))
-    return float(out if p1 >= p2 else -out)
+    return F.when((n1 > 0) & (n2 > 0), F.when(p1 >= p2, out).otherwise(-out)).otherwise(0.0)
 
 
 @dataclass
@@ -89,58 +85,8 @@ def count_text(text: str, lang: str, out: Counter) -> None:
         sure = tail[-1:] in "!?؟।。！？" if tail else False
 
 
-def fit(rows: list[tuple[str, str, str, int]]) -> Model:
-    """The model from (language, event, key, count) rows."""
-    by: dict[str, dict[str, dict[str, int]]] = {}
-    for lang, event, key, n in rows:
-        by.setdefault(lang, {}).setdefault(event, {})[key] = n
-    model = Model()
-    for lang, ev in by.items():
-        stop, bare = ev.get("stop", {}), ev.get("bare", {})
-        n_stop, n_all = sum(stop.values()), sum(stop.values()) + sum(bare.values())
-        found = set()
-        for w, k in stop.items():
-            letters = w.replace(".", "")
-            if w == "#" or not letters or not any(c.isalpha() for c in letters):
-                continue
-            n = k + bare.get(w, 0)
-            ratio = llr(k, n, n_stop - k, max(1, n_all - n))
-            inner = w.count(".") + 1
-            # long words and words that also stand without a stop are unlikely abbreviations
-            score = ratio * np.exp(-len(letters)) * inner * float(len(letters)) ** -bare.get(w, 0)
-            if score >= ABBREVIATION_LLR:
-                found.add(w)
-        start, inner_ = ev.get("start", {}), ev.get("inner", {})
-        n_start, n_words = sum(start.values()), sum(start.values()) + sum(inner_.values())
-        starters = {w for w, k in start.items() if (len(w) > 1 or not w.isascii()) and k / (k + inner_.get(w, 0)) >= STARTER_SHARE and llr(k, k + inner_.get(w, 0), n_start - k, max(1, n_words - k - inner_.get(w, 0))) >= STARTER_LLR}
-        pairs = set()
-        total = sum(ev.get("pair", {}).values())
-        firsts, seconds = Counter(), Counter()
-        ends, upper = Counter(), Counter()
-        for p, k in ev.get("pair", {}).items():
-            a, b = p.split("\t")
-            firsts[a] += k
-            seconds[b] += k
-            if b != "#" and not b[:1].islower():
-                upper[a] += k
-                ends[a] += k * (len(b) > 1) * (start.get(b, 0) >= 0.05 * (start.get(b, 0) + inner_.get(b, 0)))
-        for p, k in ev.get("pair", {}).items():
-            a, b = p.split("\t")
-            often = b == "#" or k >= 0.3 * (start.get(b, 0) + inner_.get(b, 0))
-            if k > 1 and often and b not in starters and llr(k, firsts[a], seconds[b] - k, max(1, total - firsts[a])) >= COLLOCATION_LLR:
-                pairs.add((a, b))
-        # what follows these could as well begin a sentence: etc. and units, against titles that names follow
-        model.finals[lang] = frozenset(w for w in found if upper[w] and ends[w] >= 0.8 * upper[w])
-        model.abbreviations[lang], model.starters[lang], model.collocations[lang] = frozenset(found), frozenset(starters), frozenset(pairs)
-    return model
-
-
-def learn(texts: DataFrame, text_col: str = "text", max_rows: int = MAX_MODEL_ROWS) -> Model:
-    """The model of a corpus. Events of all texts are counted, and every distinct one comes back, those seen once too.
-
-    What comes back is bounded by ``max_rows``; a corpus with more distinct events than that raises an
-    error rather than lose some.
-    """
+def count_events(texts: DataFrame, text_col: str = "text") -> DataFrame:
+    """(lang, event, k, n): the events of all texts, counted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,11 +96,59 @@ def learn(texts: DataFrame, text_col: str = "text", max_rows: int = MAX_MODEL_RO
             keys = list(seen)
             yield pa.RecordBatch.from_arrays([*(pa.array([k[j] for k in keys], pa.string()) for j in range(3)), pa.array([seen[k] for k in keys], pa.int64())], ["lang", "event", "k", "n"])
 
-    counts = texts.select(F.col(text_col)).filter(F.length(text_col) > 0).mapInArrow(run, "lang string, event string, k string, n bigint").groupBy("lang", "event", "k").agg(F.sum("n").alias("n"))
-    rows = bounded_rows(counts, max_rows)
-    if rows is None:
-        raise ValueError(f"more than {max_rows} distinct events; raise max_rows to the driver's memory")
-    return fit([tuple(r) for r in rows])
+    return texts.select(F.col(text_col)).filter(F.length(text_col) > 0).mapInArrow(run, "lang string, event string, k string, n bigint").groupBy("lang", "event", "k").agg(F.sum("n").alias("n"))
+
+
+def learned(counts: DataFrame) -> DataFrame:
+    """(lang, kind, a, b): abbreviations, finals, starters and collocations of every language, by their ratios.
+
+    All ratios are computed where the counts lie; the totals that they need are one row per language.
+    """
+    n = F.col("n")
+
+    def of(event: str) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("event") == event, n)), F.lit(0))
+
+    total = counts.groupBy("lang").agg(of("stop").alias("n_stop"), (of("stop") + of("bare")).alias("n_all"), of("start").alias("n_start"), (of("start") + of("inner")).alias("n_words"), of("pair").alias("n_pairs"))
+    total = F.broadcast(total)  # one row per language
+    words = counts.filter(F.col("event").isin("stop", "bare")).groupBy("lang", "k").agg(of("stop").alias("stop"), of("bare").alias("bare"))
+    letters = F.replace("k", F.lit("."), F.lit(""))
+    held = F.col("stop") + F.col("bare")
+    ratio = _llr(F.col("stop"), held, F.col("n_stop") - F.col("stop"), F.greatest(F.lit(1), F.col("n_all") - held))
+    # long words and words that also stand without a stop are unlikely abbreviations
+    score = ratio * F.exp(-F.length(letters)) * (F.length("k") - F.length(letters) + 1) * F.pow(F.length(letters).cast("double"), -F.col("bare"))
+    short = words.filter((F.col("stop") > 0) & F.col("k").rlike(r"\p{L}")).join(total, "lang").filter(score >= ABBREVIATION_LLR).select("lang", F.col("k").alias("a"))
+    starts = counts.filter(F.col("event").isin("start", "inner")).groupBy("lang", F.col("k").alias("b")).agg(of("start").alias("start"), (of("start") + of("inner")).alias("seen"))
+    often = _llr(F.col("start"), F.col("seen"), F.col("n_start") - F.col("start"), F.greatest(F.lit(1), F.col("n_words") - F.col("seen")))
+    good = ((F.length("b") > 1) | ~F.col("b").rlike(r"^[\x00-\x7F]*$")) & (F.col("start") / F.col("seen") >= STARTER_SHARE) & (often >= STARTER_LLR)
+    starts = starts.join(total.select("lang", "n_start", "n_words"), "lang").select("lang", "b", "start", "seen", (F.coalesce(good, F.lit(False)) & (F.col("start") > 0)).alias("starter"))
+    part = F.split("k", "\t")
+    pairs = counts.filter(F.col("event") == "pair").select("lang", part[0].alias("a"), part[1].alias("b"), "n")
+    firsts = pairs.groupBy("lang", "a").agg(F.sum("n").alias("n_a"))
+    seconds = pairs.groupBy("lang", "b").agg(F.sum("n").alias("n_b"))
+    number = F.col("b") == "#"
+    joined = (
+        pairs.filter("n > 1").join(starts, ["lang", "b"], "left").filter((number | (n >= 0.3 * F.coalesce("seen", F.lit(0)))) & ~F.coalesce("starter", F.lit(False)))
+        .join(firsts, ["lang", "a"]).join(seconds, ["lang", "b"]).join(total.select("lang", "n_pairs"), "lang")
+    )
+    bound = joined.filter(_llr(n, F.col("n_a"), F.col("n_b") - n, F.greatest(F.lit(1), F.col("n_pairs") - F.col("n_a"))) >= COLLOCATION_LLR)
+    # what follows these could as well begin a sentence: etc. and units, against titles that names follow
+    after = pairs.join(short, ["lang", "a"]).filter(~number & ~F.col("b").rlike(r"^\p{Ll}")).join(starts, ["lang", "b"], "left")
+    begins = (F.length("b") > 1) & (F.coalesce("start", F.lit(0)) >= 0.05 * F.coalesce("seen", F.lit(0)))
+    finals = after.groupBy("lang", "a").agg(F.sum("n").alias("upper"), F.coalesce(F.sum(F.when(begins, n)), F.lit(0)).alias("ends")).filter(F.col("ends") >= 0.8 * F.col("upper"))
+    kind = lambda df, name, a, b: df.select("lang", F.lit(name).alias("kind"), a.alias("a"), b.alias("b"))
+    none = F.lit(None).cast("string")
+    out = kind(short, "abbreviation", F.col("a"), none).unionByName(kind(finals, "final", F.col("a"), none))
+    return out.unionByName(kind(starts.filter("starter"), "starter", F.col("b"), none)).unionByName(kind(bound, "collocation", F.col("a"), F.col("b")))
+
+
+def learn(texts: DataFrame, text_col: str = "text") -> Model:
+    """The model of a corpus, from the events of all its texts; only the words that it learned reach the driver."""
+    by: dict[str, dict[str, set]] = {}
+    for r in learned(cut_lineage(count_events(texts, text_col))).collect():
+        by.setdefault(r["kind"], {}).setdefault(r["lang"], set()).add((r["a"], r["b"]) if r["kind"] == "collocation" else r["a"])
+    words = lambda kind: {lang: frozenset(x) for lang, x in by.get(kind, {}).items()}
+    return Model(words("abbreviation"), words("starter"), words("collocation"), words("final"))
 
 
 def boundaries(text: str, model: Model, lang: str | None = None) -> list[int]:

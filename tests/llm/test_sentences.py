@@ -1,3 +1,4 @@
+import math
 from collections import Counter
 
 from folioflow.llm import sentences as S
@@ -5,11 +6,65 @@ from folioflow.llm import sentences as S
 EN = ["Dr. Vosk came. The cat sat. Dr. Vosk left. It rained at 5 p.m. and stopped.", "The dog ran. Dr. Hall saw it. The U.S. Office closed.", "Is it? The end. Nobody saw. Dr. Moor sat. Nobody came."] * 12
 
 
+def llr(k1, n1, k2, n2):
+    def ll(k, n, p):
+        p = min(max(p, 1e-12), 1 - 1e-12)
+        return k * math.log(p) + (n - k) * math.log(1 - p)
+
+    if not n1 or not n2:
+        return 0.0
+    p, p1, p2 = (k1 + k2) / (n1 + n2), k1 / n1, k2 / n2
+    out = 2 * (ll(k1, n1, p1) + ll(k2, n2, p2) - ll(k1, n1, p) - ll(k2, n2, p))
+    return out if p1 >= p2 else -out
+
+
+def brute(rows):
+    """The model from (language, event, key) counts, in plain Python."""
+    by = {}
+    for (lang, event, key), n in rows.items():
+        by.setdefault(lang, {}).setdefault(event, {})[key] = n
+    out = S.Model()
+    for lang, ev in by.items():
+        get = lambda e: ev.get(e, {})  # noqa: E731, B023
+        stop, bare, start, inner, pair = map(get, ("stop", "bare", "start", "inner", "pair"))
+        n_stop, n_all = sum(stop.values()), sum(stop.values()) + sum(bare.values())
+        found = set()
+        for w, k in stop.items():
+            x = w.replace(".", "")
+            n = k + bare.get(w, 0)
+            if any(c.isalpha() for c in x) and llr(k, n, n_stop - k, max(1, n_all - n)) * math.exp(-len(x)) * (w.count(".") + 1) * float(len(x)) ** -bare.get(w, 0) >= S.ABBREVIATION_LLR:
+                found.add(w)
+        seen = {w: start.get(w, 0) + inner.get(w, 0) for w in {*start, *inner}}
+        n_start, n_words = sum(start.values()), sum(seen.values())
+        starters = {w for w, k in start.items() if (len(w) > 1 or not w.isascii()) and k / seen[w] >= S.STARTER_SHARE and llr(k, seen[w], n_start - k, max(1, n_words - seen[w])) >= S.STARTER_LLR}
+        firsts, seconds, ends, upper, bound = Counter(), Counter(), Counter(), Counter(), set()
+        split = {tuple(p.split("\t")): k for p, k in pair.items()}
+        for (a, b), k in split.items():
+            firsts[a] += k
+            seconds[b] += k
+            if b != "#" and not b[:1].islower():
+                upper[a] += k
+                ends[a] += k * (len(b) > 1) * (start.get(b, 0) >= 0.05 * seen.get(b, 0))
+        for (a, b), k in split.items():
+            if k > 1 and (b == "#" or k >= 0.3 * seen.get(b, 0)) and b not in starters and llr(k, firsts[a], seconds[b] - k, max(1, sum(pair.values()) - firsts[a])) >= S.COLLOCATION_LLR:
+                bound.add((a, b))
+        for where, what in ((out.abbreviations, found), (out.starters, starters), (out.collocations, bound), (out.finals, {w for w in found if upper[w] and ends[w] >= 0.8 * upper[w]})):
+            if what:
+                where[lang] = frozenset(what)
+    return out
+
+
 def model(texts):
     c = Counter()
     for t in texts:
         S.count_text(t, S.language(t), c)
-    return S.fit([(*k, v) for k, v in c.items()])
+    return brute(c)
+
+
+def test_ratios_on_executors_are_those_of_brute_force(spark):
+    more = ["Er kam am 3. Mai an. Der Hund lief z.B. weg. Die Katze sah Hrn. Moor.", "Vgl. S. 4 und Abb. 7 dort. Die Katze schlief. Er kam am 3. Mai."] * 9
+    df = spark.createDataFrame([(t,) for t in EN + more + ["", None]], "text string")
+    assert S.learn(df) == model(EN + more)
 
 
 def cut(text, m):
