@@ -164,13 +164,19 @@ def _leaks(spark: SparkSession, base: str) -> DataFrame:
 
 @query
 def p9_found(spark: SparkSession, base: str) -> DataFrame:
-    return _leaks(spark, base).select("doc_id", "item_id")
+    return _leaks(spark, base).filter(F.col("run") >= leaks.MIN_WORDS).select("doc_id", "item_id")
+
+
+@query
+def p9_overlaps(spark: SparkSession, base: str) -> DataFrame:
+    """All overlaps, those with substituted words too."""
+    return _leaks(spark, base)
 
 
 @query
 def p9_items(spark: SparkSession, base: str) -> DataFrame:
     """Per test item, the documents that hold it and its longest leaked run."""
-    return _leaks(spark, base).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.max("run").alias("longest"))
+    return _leaks(spark, base).filter(F.col("run") >= leaks.MIN_WORDS).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.max("run").alias("longest"))
 
 
 _P9 = r"""
