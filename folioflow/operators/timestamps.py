@@ -5,7 +5,9 @@ epoch number), each with its format. Per source, the records in their order form
 one interpretation per record, penalising a change of format, a step back in time and an interpretation
 that the source's declared day order speaks against.
 
-The chain of a source is cut into blocks of consecutive records of bounded size. A block is summed up by
+All records are sorted by source, time and id in ranges, so that rows without a time or many rows of one
+hour spread like any others, and the chain of a source is cut into blocks of at most BLOCK_ROWS consecutive
+records. The readings are worked out once and written to the checkpoint folder. A block is summed up by
 the cheapest cost from each interpretation of its first record to each of its last (a min-plus matrix);
 the summaries, a row per block, are chained per source, which fixes the ends of every block; then the
 blocks are decoded apart. The result is that of one pass over the whole chain.
@@ -13,11 +15,14 @@ blocks are decoded apart. The result is that of one pass over the whole chain.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+
+from folioflow.operators.common import cut_lineage
 
 BLOCK_ROWS = 5_000
 SWITCH, BACKWARD, UNDECLARED = 1.0, 2.0, 16.0
@@ -177,36 +182,41 @@ def interpretations(spark: SparkSession, df: DataFrame, value: str, zone: str, o
     return one.withColumn("cands", F.coalesce(cands, empty)).select(*df.columns, "cands")
 
 
-def _step(prev: list, cur: list) -> np.ndarray:
-    """Cost of every pair of interpretations of neighbours."""
-    return np.array([[SWITCH * (p["fmt"] != c["fmt"]) + BACKWARD * (c["us"] < p["us"]) for c in cur] for p in prev])
+@dataclass(frozen=True)
+class Costs:
+    """What the chain is charged: for a change of format, a step back in time, a day order the source does not use."""
+
+    switch: float = SWITCH
+    backward: float = BACKWARD
+    undeclared: float = UNDECLARED
 
+    def step(self, prev: list, cur: list) -> np.ndarray:
+        """Cost of every pair of interpretations of neighbours."""
+        return np.array([[self.switch * (p["fmt"] != c["fmt"]) + self.backward * (c["us"] < p["us"]) for c in cur] for p in prev])
 
-def _own(c: list) -> np.ndarray:
-    return np.array([0.0 if x["declared"] else UNDECLARED for x in c])
+    def own(self, c: list) -> np.ndarray:
+        return np.array([0.0 if x["declared"] else self.undeclared for x in c])
 
 
 def _in_order(pdf: pd.DataFrame) -> tuple[pd.DataFrame, list[list]]:
-    """The records with an interpretation, in the source's order."""
-    pdf = pdf[[len(c) > 0 for c in pdf["cands"]]].sort_values(["_at", "_id"], kind="stable")
+    """The records of a block in the source's order."""
+    pdf = pdf.sort_values("_row", kind="stable")
     return pdf, [list(c) for c in pdf["cands"]]
 
 
-def _summary(pdf: pd.DataFrame) -> pd.DataFrame:
+def _summary(pdf: pd.DataFrame, costs: Costs) -> pd.DataFrame:
     pdf, chain = _in_order(pdf)
-    if not chain:
-        return pd.DataFrame({"_src": [], "_block": [], "first": [], "last": [], "cost": []}, dtype=object)
     first = chain[0]
-    cost = np.where(np.eye(len(first)) > 0, _own(first), np.inf)
+    cost = np.where(np.eye(len(first)) > 0, costs.own(first), np.inf)
     prev = first
     for cur in chain[1:]:
-        cost = (cost[:, :, None] + _step(prev, cur)[None]).min(axis=1) + _own(cur)
+        cost = (cost[:, :, None] + costs.step(prev, cur)[None]).min(axis=1) + costs.own(cur)
         prev = cur
     key = pdf.iloc[0]
     return pd.DataFrame({"_src": [key["_src"]], "_block": [key["_block"]], "first": [first], "last": [prev], "cost": [cost.ravel().tolist()]})
 
 
-def _ends(pdf: pd.DataFrame) -> pd.DataFrame:
+def _ends(pdf: pd.DataFrame, costs: Costs) -> pd.DataFrame:
     """Of the blocks of one source: the interpretations that their first and last records take."""
     pdf = pdf.sort_values("_block")
     total, back, prev = None, [], None
@@ -216,7 +226,7 @@ def _ends(pdf: pd.DataFrame) -> pd.DataFrame:
         if total is None:
             into, frm = np.zeros(len(first)), None
         else:
-            step = total[:, None] + _step(prev, first)
+            step = total[:, None] + costs.step(prev, first)
             into, frm = step.min(axis=0), step.argmin(axis=0)
         through = into[:, None] + m
         back.append((frm, through.argmin(axis=0)))
@@ -230,15 +240,15 @@ def _ends(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"_src": pdf["_src"], "_block": pdf["_block"], "start": a, "end": b})
 
 
-def _decode(pdf: pd.DataFrame) -> pd.DataFrame:
+def _decode(pdf: pd.DataFrame, costs: Costs) -> pd.DataFrame:
     pdf, chain = _in_order(pdf)
     cost = np.full(len(chain[0]), np.inf)
     cost[int(pdf["start"].iloc[0])] = 0.0
     back, prev = [], chain[0]
     for cur in chain[1:]:
-        step = cost[:, None] + _step(prev, cur)
+        step = cost[:, None] + costs.step(prev, cur)
         back.append(step.argmin(axis=0))
-        cost, prev = step.min(axis=0) + _own(cur), cur
+        cost, prev = step.min(axis=0) + costs.own(cur), cur
     k = int(pdf["end"].iloc[0])
     picks = [k]
     for b in reversed(back):
@@ -252,7 +262,7 @@ def _decode(pdf: pd.DataFrame) -> pd.DataFrame:
     })
 
 
-def normalise(spark: SparkSession, records: DataFrame, sources: DataFrame, id_col: str = "article_id", source_col: str = "domain", value_col: str = "date", at_col: str = "fetched_at", zone_col: str = "time_zone", order_col: str = "date_order") -> DataFrame:
+def normalise(spark: SparkSession, records: DataFrame, sources: DataFrame, id_col: str = "article_id", source_col: str = "domain", value_col: str = "date", at_col: str = "fetched_at", zone_col: str = "time_zone", order_col: str = "date_order", costs: Costs = Costs()) -> DataFrame:
     """(<id_col>, utc_us, fmt, n_readings, fixed): a row per record with at least one valid interpretation.
 
     utc_us is the reading Viterbi chose, in microseconds since 1970-01-01 UTC, finer digits dropped;
@@ -264,17 +274,14 @@ def normalise(spark: SparkSession, records: DataFrame, sources: DataFrame, id_co
     base = records.filter(F.trim(F.coalesce(F.col(value_col), F.lit(""))) != "").select(
         F.col(id_col).alias("_id"), F.coalesce(F.col(source_col), F.lit("")).alias("_src"), F.col(value_col).alias("_value"), F.coalesce(F.unix_micros(F.col(at_col)), F.lit(0)).alias("_at")
     )
-    read = interpretations(spark, base.join(src, "_src", "left"), "_value", "_tz", "_ord")
-    # no filter on cands here: pushed below, it would repeat the whole parsing in every condition
-    chain = read.select("_id", "_src", "_at", "cands", F.floor(F.col("_at") / F.lit(3_600_000_000)).alias("_hour"))
-    # blocks of whole hours: the counts are a row per source and hour, the running sum is over those alone
-    hours = chain.groupBy("_src", "_hour").agg(F.count(F.lit(1)).alias("n"))
-    run = W.partitionBy("_src").orderBy("_hour").rowsBetween(W.unboundedPreceding, -1)
-    blocks = hours.select("_src", "_hour", F.floor(F.coalesce(F.sum("n").over(run), F.lit(0)) / BLOCK_ROWS).alias("_block"))
-    chain = chain.join(blocks, ["_src", "_hour"]).drop("_hour")
+    # sorted before they are read: the sort samples its input, which would read every value twice
+    placed = base.join(src, "_src", "left").orderBy("_src", "_at", "_id").withColumn("_row", F.monotonically_increasing_id())
+    read = interpretations(spark, placed, "_value", "_tz", "_ord")
+    # a row's number begins with its partition's, so a block never reaches over two partitions
+    chain = cut_lineage(read.select("_id", "_src", "_row", "cands")).filter(F.size("cands") > 0).withColumn("_block", F.floor(F.col("_row") / BLOCK_ROWS))
     cand = "array<struct<fmt:string,us:bigint,declared:boolean>>"
     id_type = chain.schema["_id"].dataType.simpleString()
-    sums = chain.groupBy("_src", "_block").applyInPandas(_summary, f"_src string, _block bigint, first {cand}, last {cand}, cost array<double>")
-    ends = sums.groupBy("_src").applyInPandas(_ends, "_src string, _block bigint, start int, end int")
-    chosen = chain.join(ends, ["_src", "_block"]).groupBy("_src", "_block").applyInPandas(_decode, f"_id {id_type}, us bigint, fmt string, n int, fixed boolean")
+    sums = chain.groupBy("_src", "_block").applyInPandas(lambda pdf: _summary(pdf, costs), f"_src string, _block bigint, first {cand}, last {cand}, cost array<double>")
+    ends = sums.groupBy("_src").applyInPandas(lambda pdf: _ends(pdf, costs), "_src string, _block bigint, start int, end int")
+    chosen = chain.join(ends, ["_src", "_block"]).groupBy("_src", "_block").applyInPandas(lambda pdf: _decode(pdf, costs), f"_id {id_type}, us bigint, fmt string, n int, fixed boolean")
     return chosen.select(F.col("_id").alias(id_col), F.col("us").alias("utc_us"), "fmt", F.col("n").alias("n_readings"), "fixed")
