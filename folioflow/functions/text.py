@@ -60,7 +60,7 @@ def display_title(title: Column) -> Column:
     """
     clean = F.regexp_replace(F.regexp_replace(title, r"^[\s\p{Z}\x{FEFF}]+|[\s\p{Z}\x{FEFF}]+\z", ""), r"\.+\z", "")
     words = F.split(F.lower(clean), r"(?<=[a-z0-9])(?=[^a-z0-9])|(?<=[^a-z0-9])(?=[a-z0-9])", -1)
-    cased = F.array_join(F.transform(words, lambda w: F.when(w.rlike("^[a-z]"), F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1_000_000))).otherwise(w)), "")
+    cased = F.array_join(F.transform(words, lambda w: F.when(w.rlike("^[a-z]"), F.concat(F.upper(F.substring(w, 1, 1)), w.substr(F.lit(2), F.length(w)))).otherwise(w)), "")
     return F.when(is_chapter(clean), cased).otherwise(clean)
 
 
@@ -148,7 +148,7 @@ def gender_rank(x: Column) -> Column:
 
 def group_label(language: Column, dialect: Column, gender: Column) -> Column:
     """Language · Dialect · Gender, of what is there; Voices if nothing is."""
-    g = F.when(gender.isNotNull(), F.concat(F.upper(F.substring(gender, 1, 1)), F.lower(F.substring(gender, 2, 100))))
+    g = F.when(gender.isNotNull(), F.concat(F.upper(F.substring(gender, 1, 1)), F.lower(gender.substr(F.lit(2), F.length(gender)))))
     return F.coalesce(F.nullif(F.concat_ws(" · ", F.nullif(language, F.lit("")), F.nullif(dialect, F.lit("")), F.nullif(g, F.lit(""))), F.lit("")), F.lit("Voices"))
 
 
@@ -163,18 +163,21 @@ def blank_page(md: Column) -> Column:
     return F.when(F.lower(F.trim(md)) == "<no text found>", "").otherwise(md)
 
 
+#: What of Markdown is not read aloud, in this order, and what stands for it. Fixed values.
+SPOKEN = (
+    (r"(?s)```.*?```", ""),
+    (r"`([^`]+)`", "$1"), (r"(?m)^[ \t]*>[ \t]?", ""), (r"(?m)^[ \t]*(?:[-*_][ \t]*){3,}$", ""), (r"(?m)^[ \t]*\[[^\]\n]+\]:[ \t]*\S.*$", ""),
+    (r"!\[[^\]]*\]\([^)]+\)", ""), (r"\[([^\]]+)\](?:\[[^\]]*\]|\([^)]+\))", "$1"), (r"</?[A-Za-z][A-Za-z0-9-]*(?=[\s/>])[^>]*>", ""),
+    (r"(\*\*|__|~~)(\S(?:[^\n]*?\S)?)\1", "$2"), (r"(?<![\w*])\*(\S(?:[^*\n]*\S)?)\*(?![\w*])", "$1"), (r"(?<!\w)_(\S(?:[^_\n]*\S)?)_(?!\w)", "$1"),
+    (r"(?m)^[ \t]*[-*+•][ \t]+(?:\[[ xX]\][ \t]+)?", ""), (r"\A\s*\d{1,3}[.)]\s+|(?m)^[ \t]+\d{1,3}[.)]\s+", ""), (r"(?m)^#{1,6}[ \t]+", ""), (r"\s+", " "),
+)
+
+
 def strip_markdown(text: Column) -> Column:
     """Markdown to spoken text: code, images, markers and emphasis gone, links by their label, spaces collapsed."""
-    t = F.regexp_replace(text, r"(?s)```.*?```", "")
-    # fixed values, in this order
-    for pattern, put in (
-        (r"`([^`]+)`", "$1"), (r"(?m)^[ \t]*>[ \t]?", ""), (r"(?m)^[ \t]*(?:[-*_][ \t]*){3,}$", ""), (r"(?m)^[ \t]*\[[^\]\n]+\]:[ \t]*\S.*$", ""),
-        (r"!\[[^\]]*\]\([^)]+\)", ""), (r"\[([^\]]+)\](?:\[[^\]]*\]|\([^)]+\))", "$1"), (r"</?[A-Za-z][A-Za-z0-9-]*(?=[\s/>])[^>]*>", ""),
-        (r"(\*\*|__|~~)(\S(?:[^\n]*?\S)?)\1", "$2"), (r"(?<![\w*])\*(\S(?:[^*\n]*\S)?)\*(?![\w*])", "$1"), (r"(?<!\w)_(\S(?:[^_\n]*\S)?)_(?!\w)", "$1"),
-        (r"(?m)^[ \t]*[-*+•][ \t]+(?:\[[ xX]\][ \t]+)?", ""), (r"\A\s*\d{1,3}[.)]\s+|(?m)^[ \t]+\d{1,3}[.)]\s+", ""), (r"(?m)^#{1,6}[ \t]+", ""), (r"\s+", " "),
-    ):
-        t = F.regexp_replace(t, pattern, put)
-    return F.trim(t)
+    for pattern, put in SPOKEN:
+        text = F.regexp_replace(text, pattern, put)
+    return F.trim(text)
 
 
 def tidy_article(md: Column, title: Column) -> Column:

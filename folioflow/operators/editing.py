@@ -81,7 +81,8 @@ def section_source(draft: Column, saved: Column, stored: Column) -> Column:
 
 
 def remaining(ends: DataFrame, places: DataFrame) -> DataFrame:
-    """(key, g, remaining_chars): characters left of each document from sentence ``g`` on, joined by one space.
+    """``places`` (doc_id, g and more) with total_chars and remaining_chars: those of the document, and those left from
+    sentence ``g`` on, joined by one space. A document without sentences has none.
 
     ``ends`` has doc_id, g, n and end: sentence lengths and their running sum. Places and sentences meet by
     (document, sentence), so a document that is open in many places costs one row for each.
@@ -90,5 +91,6 @@ def remaining(ends: DataFrame, places: DataFrame) -> DataFrame:
     before = ends.select("doc_id", (F.col("g") + 1).alias("at"), F.col("end").alias("read"))
     held = places.join(total, "doc_id", "left").withColumn("at", F.least(F.greatest("g", F.lit(0)), F.coalesce("count", F.lit(0))).cast("bigint"))
     out = held.join(before, ["doc_id", "at"], "left")
-    left = F.coalesce(F.col("chars"), F.lit(0)) - F.coalesce("read", F.lit(0)) + F.greatest(F.coalesce("count", F.lit(0)) - F.col("at") - 1, F.lit(0))
-    return out.withColumn("remaining_chars", left).drop("at", "read", "count", "chars")
+    chars, count = F.coalesce("chars", F.lit(0)), F.coalesce("count", F.lit(0))
+    left = chars - F.coalesce("read", F.lit(0)) + F.greatest(count - F.col("at") - 1, F.lit(0))
+    return out.withColumn("total_chars", chars + F.greatest(count - 1, F.lit(0))).withColumn("remaining_chars", left).drop("at", "read", "count", "chars")

@@ -8,6 +8,8 @@ from pyspark.sql import Window as W
 
 from folioflow.functions import text as X
 from folioflow.operators.common import ranked
+from folioflow.operators.editing import remaining
+from folioflow.operators.sequences import with_ends
 
 
 def distinct_items(items: DataFrame) -> DataFrame:
@@ -56,19 +58,15 @@ def document_sizes(sections: DataFrame) -> DataFrame:
 
 
 def item_stats(items: DataFrame, sections: DataFrame) -> DataFrame:
-    """(id, playlist_id, done, total, total_chars, remaining_chars) of every item; a missing document counts nothing."""
-    sizes = sentences(sections).select("doc_id", "g", F.length("sentence").alias("len"))
-    joined = items.select("id", "playlist_id", "doc_id", "progress", "total_sentences").join(sizes, "doc_id", "left")
-    done = F.least(F.greatest(F.col("progress"), F.lit(0)), F.greatest(F.col("total_sentences"), F.lit(0)))
-    left = F.col("g") >= F.col("done")
-    return (
-        joined.withColumn("done", done)
-        .groupBy("id", "playlist_id", "done", F.greatest(F.col("total_sentences"), F.lit(0)).alias("total"))
-        .agg(
-            (F.coalesce(F.sum("len"), F.lit(0)) + F.greatest(F.count("g") - 1, F.lit(0))).alias("total_chars"),
-            (F.coalesce(F.sum(F.when(left, F.col("len"))), F.lit(0)) + F.greatest(F.count(F.when(left, F.lit(1))) - 1, F.lit(0))).alias("remaining_chars"),
-        )
-    )
+    """(id, playlist_id, done, total, total_chars, remaining_chars) of every item; a missing document counts nothing.
+
+    Lengths are summed once per document; an item meets one sentence of it, where its progress stands.
+    """
+    ends = with_ends(sentences(sections).select("doc_id", "g", F.length("sentence").alias("n")), "doc_id", "g", F.col("n"))
+    total = F.greatest(F.coalesce("total_sentences", F.lit(0)), F.lit(0))
+    done = F.least(F.greatest(F.coalesce("progress", F.lit(0)), F.lit(0)), total)
+    places = items.select("id", "playlist_id", "doc_id", done.alias("done"), total.alias("total")).withColumn("g", F.col("done").cast("bigint"))
+    return remaining(ends, places).select("id", "playlist_id", "done", "total", "total_chars", "remaining_chars")
 
 
 def playlist_stats(stats: DataFrame, chars_per_second: float = 15.0) -> DataFrame:
@@ -130,6 +128,16 @@ def resolve_voices(requests: DataFrame, voices: DataFrame, fallback: str) -> Dat
     return requests.distinct().join(best, ["engine", "request"], "left").select("engine", "request", F.coalesce("b.name", F.lit(fallback)).alias("name"))
 
 
+def described_voices(catalogue: DataFrame, voices: DataFrame) -> DataFrame:
+    """(engine, name, language, dialect, fallback): ``catalogue`` (engine, name) with metadata by normalised name;
+    an engine that the catalogue lacks whole is described by its metadata alone."""
+    meta = voices.groupBy("engine", X.voice_key(F.col("name")).alias("k")).agg(F.min("name").alias("_name"), F.min("language").alias("language"), F.min("dialect").alias("dialect"))
+    shown = (F.coalesce("language", F.lit("unknown")).alias("language"), F.coalesce("dialect", F.lit("")).alias("dialect"))
+    known = catalogue.withColumn("k", X.voice_key(F.col("name"))).join(meta, ["engine", "k"], "left").select("engine", "name", *shown, F.lit(False).alias("fallback"))
+    alone = meta.join(catalogue.select("engine").distinct(), "engine", "left_anti").select("engine", F.col("_name").alias("name"), *shown, F.lit(True).alias("fallback"))
+    return known.unionByName(alone)
+
+
 def grouped_voices(voices: DataFrame) -> DataFrame:
     """(label, place, names): voices in labelled groups, groups and names in order."""
     rows = voices.withColumn("label", X.group_label(F.col("language"), F.col("dialect"), F.col("gender")))
@@ -144,10 +152,10 @@ def latest(rows: DataFrame, key: str, at: str, *ties: Column | str) -> DataFrame
     return rows.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
-def delete_document(doc_id: str, docs: DataFrame, items: DataFrame, chunks: DataFrame) -> dict[str, DataFrame]:
-    """What is left of each table once a document and all that hangs on it is deleted, and the playlists it touched."""
-    gone = F.col("doc_id") == doc_id
-    return {"docs": docs.filter(F.col("id") != doc_id), "items": items.filter(~gone), "chunks": chunks.filter(~gone), "affected": items.filter(gone).select("playlist_id").distinct()}
+def delete_documents(gone: DataFrame, docs: DataFrame, items: DataFrame, chunks: DataFrame) -> dict[str, DataFrame]:
+    """What is left of each table once the documents ``gone`` (doc_id) and all that hangs on them are deleted, and the playlists they touched."""
+    rest = lambda df: df.join(gone, "doc_id", "left_anti")
+    return {"docs": docs.join(gone.withColumnRenamed("doc_id", "id"), "id", "left_anti"), "items": rest(items), "chunks": rest(chunks), "affected": items.join(gone, "doc_id", "left_semi").select("playlist_id").distinct()}
 
 
 def move_item(order: Column, item: Column, to: Column) -> Column:

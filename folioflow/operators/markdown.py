@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from folioflow.functions.text import SPOKEN
+
 
 def clean_cell(c: Column) -> Column:
     """A table cell without inline Markdown."""
@@ -20,7 +22,7 @@ def table_records(md: Column) -> Column:
     """Rows of a pipe table as spoken records: Row i of n: Header: value, ...; none without a row under the header."""
     cells = lambda line: F.transform(F.split(F.regexp_replace(F.trim(line), r"^\||\|$", ""), r"(?<!\\)\|", -1), clean_cell)
     lines = F.filter(F.split(md, "\n", -1), lambda x: F.startswith(F.trim(x), F.lit("|")) & ~x.rlike(r"^[\s|:-]+$"))
-    head, rows = cells(F.try_element_at(lines, F.lit(1))), F.slice(lines, 2, 1_000_000)
+    head, rows = cells(F.try_element_at(lines, F.lit(1))), F.slice(lines, F.lit(2), F.greatest(F.size(lines), F.lit(1)))
     pair = lambda h, v: F.when((v == "") | v.isNull(), F.lit(None)).when((h == "") | h.isNull(), v).otherwise(F.concat(h, F.lit(": "), v))
     text = lambda r: F.array_join(F.zip_with(head, cells(r), pair), ", ")
     n = F.size(rows).cast("string")
@@ -38,13 +40,8 @@ _ITEM = re.compile(r"^(\s*)(?:([-*+•])|(\d{1,3})[.)])(?:\s+|\s*$)")
 _BARE_MAX = 60
 _TERMINAL = re.compile(r"[.!?…][\"')\]]*$")
 _SENTENCE = re.compile(r"([.!?][\"')\]]*)\s+(?=[A-Z0-9\"']|[(\[][A-Z0-9\"'])")
-_STRIP = (
-    (re.compile(r"```.*?```", re.S), ""), (re.compile(r"`([^`]+)`"), r"\1"), (re.compile(r"^\s*>\s?", re.M), ""), (re.compile(r"^[ \t]*(?:[-*_][ \t]*){3,}$", re.M), ""),
-    (re.compile(r"^\s*\[[^\]]+\]:\s*\S.*$", re.M), ""), (re.compile(r"!\[[^\]]*\]\([^)]+\)"), ""), (re.compile(r"\[([^\]]+)\](?:\[[^\]]*\]|\([^)]+\))"), r"\1"),
-    (re.compile(r"</?[A-Za-z][A-Za-z0-9-]*(?=[\s/>])[^>]*>"), ""), (re.compile(r"(\*\*|__|~~)(\S(?:[^\n]*?\S)?)\1"), r"\2"), (re.compile(r"(?<![\w*])\*(\S(?:[^*\n]*\S)?)\*(?![\w*])"), r"\1"),
-    (re.compile(r"(?<!\w)_(\S(?:[^_\n]*\S)?)_(?!\w)"), r"\1"), (re.compile(r"^[ \t]*[-*+•][ \t]+(?:\[[ xX]\][ \t]+)?", re.M), ""), (re.compile(r"\A\s*\d{1,3}[.)]\s+|^[ \t]+\d{1,3}[.)]\s+", re.M), ""),
-    (re.compile(r"^#{1,6}\s+", re.M), ""), (re.compile(r"\s+"), " "),
-)
+#: The same list as on the JVM side, whose line breaks Python's patterns know too.
+_STRIP = tuple((re.compile(re.sub(r"^(.+)\(\?m\)", r"(?m)\1", p)), put.replace("$", "\\")) for p, put in SPOKEN)
 
 
 def spoken(text: str) -> str:
@@ -312,37 +309,82 @@ def join_pages(pages: Column) -> Column:
     return run(pages)
 
 
-#: Line comment and block comment marks of common languages, fixed values.
-COMMENTS = {
-    "python": ("#", None), "bash": ("#", None), "ruby": ("#", None), "yaml": ("#", None), "javascript": ("//", ("/*", "*/")), "typescript": ("//", ("/*", "*/")), "java": ("//", ("/*", "*/")),
-    "c": ("//", ("/*", "*/")), "cpp": ("//", ("/*", "*/")), "go": ("//", ("/*", "*/")), "rust": ("//", ("/*", "*/")), "sql": ("--", ("/*", "*/")), "lua": ("--", ("--[[", "]]")), "css": (None, ("/*", "*/")), "html": (None, ("<!--", "-->")),
-}
-_ALIASES = {"py": "python", "sh": "bash", "js": "javascript", "ts": "typescript", "c++": "cpp", "yml": "yaml", "rb": "ruby", "rs": "rust"}
+#: Comment marks of languages and their aliases: line marks, block marks, names. Fixed values.
+COMMENTS = (
+    (("//",), (("/*", "*/"),), "javascript js jsx typescript ts tsx java c h cpp c++ csharp c# cs go rust rs swift kotlin kt scala dart scss json"),
+    (("//", "#"), (("/*", "*/"),), "php"),
+    (("#",), (), "bash sh shell zsh fish dockerfile makefile mak cmake nginx yaml yml toml ruby rb perl pl r"),
+    (("#",), (('"""', '"""'), ("'''", "'''")), "python py"),
+    (("#",), (("<#", "#>"),), "powershell ps1"),
+    (("--",), (("/*", "*/"),), "sql"),
+    (("--",), (("--[[", "]]"),), "lua"),
+    (("--",), (("{-", "-}"),), "haskell"),
+    (("--",), (), "ada"),
+    ((";",), (), "clojure lisp scheme elisp"),
+    ((";", "#"), (), "ini"),
+    (("%",), (("%{", "%}"),), "matlab octave"),
+    (("%",), (), "latex tex"),
+    (('"',), (), "vim"),
+    ((), (("/*", "*/"),), "css"),
+    ((), (("<!--", "-->"),), "html xml vue svelte"),
+)
+_MARKS = {name: (single, pairs) for single, pairs, names in COMMENTS for name in names.split()}
+#: What stands in unlabelled code of a language, fixed values; a language needs two kinds of them to be taken.
+_SIGNS = (
+    ("python", (r"^\s*def \w+\(.*\):", r"^\s*(?:from \w[\w.]* )?import \w", r"^\s*(?:if|for|while|class|elif|else|try|with)\b.*:\s*$", r"\bself\.\w", r"\bprint\(")),
+    ("javascript", (r"\b(?:const|let|var) \w+ =", r"=>", r"\bfunction\b.*\{", r"\bconsole\.\w+\(", r"===")),
+    ("java", (r"\bpublic (?:static |final |class )", r"\bSystem\.out\.", r"\bprivate \w+ \w+", r"\bnew \w+\(.*\);")),
+    ("c", (r"^\s*#include\s*[<\"]", r"\b(?:int|void|char) \w+\(.*\)\s*\{?", r"\bprintf\(")),
+    ("go", (r"^package \w+", r"^func \w*\(?", r":=")),
+    ("rust", (r"\bfn \w+\(", r"\blet mut \w", r"\w+!\(")),
+    ("sql", (r"(?i)^\s*(?:select|insert into|update|delete from|create table)\b", r"(?i)\b(?:from|where|values|join|group by)\b.*")),
+    ("bash", (r"\$\{?\w+\}?", r"^\s*(?:fi|done|esac|then|do)\b", r"^\s*(?:echo|export|cd|sudo|grep) ")),
+    ("css", (r"^[.#]?[\w-]+\s*\{", r"^\s*[\w-]+:\s*[^;]+;\s*$")),
+    ("html", (r"<!DOCTYPE html", r"</(?:html|body|div|p|span|head)>", r"<(?:div|span|p|a|html|body)\b[^>]*>")),
+    ("yaml", (r"^[\w-]+:\s*$", r"^\s+- \w", r"^[\w-]+: \S")),
+)
+_SIGNS = tuple((name, tuple(re.compile(p, re.M) for p in patterns)) for name, patterns in _SIGNS)
+_SHEBANG = re.compile(r"^\s*#!\S*?(?:env\s+)?([A-Za-z+#]+)[\d.]*\s*$")
+_SHELLS = {"node": "javascript"}
+
+
+def code_language(lines: list[str]) -> str | None:
+    """The language of a fenced block, by its label, its first line, or what stands in it; None where unsure."""
+    name = lines[0].strip().lstrip("`").strip().split(" ")[0].lower() if lines else ""
+    if name in _MARKS:
+        return name
+    code = [x for x in lines[1:] if not _FENCE.match(x)]
+    first = next((x for x in code if x.strip()), "")
+    m = _SHEBANG.match(first)
+    if m:
+        name = m.group(1).lower()
+        name = _SHELLS.get(name, name)
+        if name in _MARKS:
+            return name
+    text = "\n".join(code)
+    seen = [(sum(p.search(text) is not None for p in patterns), -k, lang) for k, (lang, patterns) in enumerate(_SIGNS)]
+    best = max(seen, default=(0, 0, None))
+    return best[2] if best[0] >= 2 else None
 
 
 def code_comments(fence: str) -> list[str]:
-    """Comments of a fenced block, by its language or shebang; none for an unknown one; marks within strings don't count."""
+    """Comments of a fenced block; none where its language is unknown; marks within strings don't count."""
     lines = fence.split("\n")
-    name = lines[0].strip().lstrip("`").strip().split(" ")[0].lower() if lines else ""
-    if not name and len(lines) > 1 and lines[1].startswith("#!"):
-        name = re.sub(r"[\d.]+$", "", lines[1].split("/")[-1].split(" ")[-1])
-    marks = COMMENTS.get(_ALIASES.get(name, name))
+    marks = _MARKS.get(code_language(lines) or "")
     if marks is None:
         return []
-    single, pair = marks
+    single, pairs = marks
     text = "\n".join(x for x in lines[1:] if not x.startswith("#!") and not _FENCE.match(x))
-    ends = [r"\"(?:\\.|[^\"\\\n])*\"", r"'(?:\\.|[^'\\\n])*'", r"`(?:\\.|[^`\\])*`"]
-    if pair:
-        ends.append(f"(?P<block>{re.escape(pair[0])}.*?{re.escape(pair[1])})")
+    kinds = [f"(?P<b{k}>{re.escape(a)}(?P<c{k}>.*?){re.escape(z)})" for k, (a, z) in enumerate(pairs)]
+    strings = [] if '"' in single else [r"\"(?:\\.|[^\"\\\n])*\"", r"'(?:\\.|[^'\\\n])*'", r"`(?:\\.|[^`\\])*`"]
     if single:
-        ends.append(f"(?P<line>{re.escape(single)}[^\n]*)")
+        strings.append("(?:" + "|".join(map(re.escape, single)) + r")(?P<line>[^\n]*)")
     out = []
-    for m in re.finditer("|".join(ends), text, re.S):
+    for m in re.finditer("|".join(kinds + strings), text, re.S):
         got = m.groupdict()
-        body = got.get("line") or got.get("block")
-        if not body:
+        inner = next((x for x in (got.get("line"), *(got[f"c{k}"] for k in range(len(pairs)))) if x), None)
+        if inner is None:
             continue
-        inner = body[len(single) :] if got.get("line") else body[len(pair[0]) : -len(pair[1])]
         said = " ".join(re.sub(r"^\s*\*+\s?|[#/*-]{3,}", "", x).strip() for x in inner.split("\n")).strip()
         if re.search(r"[^\W\d_]{2}", said):
             out.append(said)

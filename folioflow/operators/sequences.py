@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -60,14 +63,29 @@ def runs(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
 
 
 def breadcrumbs(headings: DataFrame, key: str, order: str, level: str, title: str) -> DataFrame:
-    """(key, order, path): the titles above and at each heading; a level keeps what stands above it, empty levels dropped."""
-    w = running(key, order)
-    stack = F.aggregate(
-        F.array_sort(F.collect_list(F.struct(order, level, title)).over(w)),
-        F.array().cast("array<string>"),
-        lambda acc, h: F.array_append(F.slice(acc, F.lit(1), F.greatest(h[level] - 1, F.lit(0))), h[title]),
-    )
-    return headings.select(key, order, stack.alias("path"))
+    """(key, order, path): the titles above and at each heading; a level keeps what stands above it, empty levels dropped.
+
+    The headings of a key are folded once, in order; a key is a document, so they are few.
+    """
+    path = lambda acc, h: F.array_append(F.slice(acc["path"], F.lit(1), F.greatest(h[level] - 1, F.lit(0))), h[title])
+    start = F.struct(F.array().cast("array<string>").alias("path"), F.array().cast(f"array<struct<o:{headings.schema[order].dataType.simpleString()},path:array<string>>>").alias("out"))
+    step = lambda acc, h: F.struct(path(acc, h).alias("path"), F.array_append(acc["out"], F.struct(h[order].alias("o"), path(acc, h).alias("path"))).alias("out"))
+    folded = headings.groupBy(key).agg(F.aggregate(F.array_sort(F.collect_list(F.struct(order, level, title))), start, step, lambda acc: acc["out"]).alias("rows"))
+    return folded.select(key, F.explode("rows").alias("r")).select(key, F.col("r.o").alias(order), F.col("r.path").alias("path"))
+
+
+#: Reasons that a new reading of a page can mend. Fixed values.
+REASONS = ("scanned", "garbled", "vector-text", "annotation-text")
+
+
+def worth_reading_again(pages: DataFrame) -> DataFrame:
+    """``pages`` (needs_ocr, reasons and more) that a new reading may improve."""
+    return pages.filter(F.col("needs_ocr") & F.arrays_overlap("reasons", F.array(*[F.lit(r) for r in REASONS])))
+
+
+def reason_counts(pages: DataFrame) -> DataFrame:
+    """(reason, n): how many pages name each reason that counts."""
+    return pages.select(F.explode("reasons").alias("reason")).filter(F.col("reason").isin(*REASONS)).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 def chapters(sections: DataFrame, is_chapter: Column) -> DataFrame:
@@ -89,17 +107,41 @@ def page_offsets(docs: DataFrame) -> DataFrame:
     return p.select("doc_id", (F.col("page") + 1).alias("page"), start.alias("char_start"), (start + F.length("text")).alias("char_end"), (F.lit(1) + F.coalesce(F.sum(lines + 2).over(w), F.lit(0))).alias("start_line"))
 
 
-def pace(samples: DataFrame, cap: float = 500_000.0, seed_chars: float = 900.0, seed_seconds: float = 60.0) -> DataFrame:
+#: The pace that a voice starts from, and the characters past which its sums are halved. Fixed values.
+SEED_CHARS, SEED_SECONDS, PACE_CAP = 900.0, 60.0, 500_000.0
+
+
+def fold_pace(chars: float, seconds: float, more: Iterable[tuple[float, float]], cap: float) -> tuple[float, float]:
+    """The sums after more samples, both halved whenever the characters pass the cap."""
+    for c, s in more:
+        chars, seconds = chars + c, seconds + s
+        if chars > cap:
+            chars, seconds = chars * 0.5, seconds * 0.5
+    return chars, seconds
+
+
+def pace(samples: DataFrame, cap: float = PACE_CAP, seed_chars: float = SEED_CHARS, seed_seconds: float = SEED_SECONDS) -> DataFrame:
     """(engine, voice, chars, seconds): sums per voice from a seed, both halved whenever the characters pass the cap.
 
-    Order counts: samples of a voice are folded by seq.
+    Order counts: samples of a voice are folded by seq, one after the other as they stream by in their order,
+    so that however many they are only the two sums are held.
     """
-    seed = F.struct(F.lit(seed_chars).alias("chars"), F.lit(seed_seconds).alias("seconds"))
-
-    def step(acc: Column, x: Column) -> Column:
-        c, s = acc["chars"] + x["chars"], acc["seconds"] + x["seconds"]
-        half = F.when(c > cap, 0.5).otherwise(1.0)
-        return F.struct((c * half).alias("chars"), (s * half).alias("seconds"))
 
-    folded = samples.groupBy("engine", "voice").agg(F.aggregate(F.array_sort(F.collect_list(F.struct("seq", "chars", "seconds"))), seed, step).alias("p"))
-    return folded.select("engine", "voice", "p.chars", "p.seconds")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, sums = None, (0.0, 0.0)
+        for pdf in batches:
+            done = []
+            for key, part in pdf.groupby(["engine", "voice"], sort=False, dropna=False):
+                key = tuple(None if pd.isna(k) else k for k in key)
+                if key != at:
+                    if at is not None:
+                        done.append((*at, *sums))
+                    at, sums = key, (seed_chars, seed_seconds)
+                sums = fold_pace(*sums, zip(part["chars"].tolist(), part["seconds"].tolist(), strict=True), cap)
+            yield pd.DataFrame(done, columns=["engine", "voice", "chars", "seconds"])
+        if at is not None:
+            yield pd.DataFrame([(*at, *sums)], columns=["engine", "voice", "chars", "seconds"])
+
+    rows = samples.select("engine", "voice", "seq", F.coalesce("chars", F.lit(0.0)).alias("chars"), F.coalesce("seconds", F.lit(0.0)).alias("seconds"))
+    ordered = rows.repartition("engine", "voice").sortWithinPartitions("engine", "voice", "seq", "chars", "seconds")
+    return ordered.mapInPandas(run, "engine string, voice string, chars double, seconds double")

@@ -14,8 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as X
+from folioflow.operators import library as L
 from folioflow.operators import markdown as M
 from folioflow.plans.registry import query
+from folioflow.plans.sequences import PACE
 from folioflow.sources import readers
 from folioflow.sources.tables import table
 from folioflow.streaming import pace
@@ -135,20 +137,30 @@ def d60_article_meta(spark: SparkSession, base: str) -> DataFrame:
     return _article_pages(spark, base).withColumn("m", readers.page_meta(F.col("html"))).select("article_id", "m.title", "m.author", "m.site", "m.date")
 
 
-@query("""SELECT * FROM (VALUES ('a.pdf', 'pdf'), ('b', 'pdf'), ('c.bin', 'image/png'), ('d', 'image/jpeg'), ('e.epub', 'epub'), ('f.txt', 'text')) t(path, kind)""")
+_UPLOADS = (
+    (".pdf", b"x", "pdf"), ("", b"%PDF-1.7", "pdf"), (".bin", b"\x89PNG\r\n\x1a\n0000", "image/png"), ("", b"\xff\xd8\xff\xe0", "image/jpeg"), (".epub", b"PK", "epub"),
+    (".x", b"PK\x03\x04....mimetypeapplication/epub+zip", "epub"), (".zip", b"PK\x03\x04....word/document.xml", "text"), (".y", b"GIF89a", "image/gif"), ("", b"RIFF\x10\x00\x00\x00WEBPVP8 ", "image/webp"), (".txt", b"", "text"),
+)
+
+
+@query("SELECT DISTINCT id AS path, CASE length(markdown) % 10 " + " ".join(f"WHEN {k} THEN '{kind}'" for k, (_, _, kind) in enumerate(_UPLOADS)) + " END AS kind FROM docs")
 def a04_upload_kind(spark: SparkSession, base: str) -> DataFrame:
-    rows = [("a.pdf", b"x"), ("b", b"%PDF-1.7"), ("c.bin", b"\x89PNG\r\n\x1a\n0000"), ("d", b"\xff\xd8\xff\xe0"), ("e.epub", b"PK"), ("f.txt", b"hello")]
-    return spark.createDataFrame([(p, bytearray(c)) for p, c in rows], "path string, content binary").select("path", readers.upload_kind(F.col("path"), F.col("content")).alias("kind"))
+    """Uploads made of each document: its text behind the first bytes of ten kinds of file, some with telling names."""
+    docs = table(spark, base, "docs").select("id", "markdown").distinct()
+    k = F.length("markdown") % 10
+    pick = lambda j: F.element_at(F.array(*[F.lit(x[j]) for x in _UPLOADS]), (k + 1).cast("int"))
+    files = docs.select("id", F.concat("id", pick(0)).alias("path"), F.concat(pick(1), F.encode("markdown", "UTF-8")).alias("content"))
+    return files.select(F.col("id").alias("path"), readers.upload_kind(F.col("path"), F.col("content")).alias("kind"))
 
 
-@query("SELECT event_type AS engine, user_id::VARCHAR AS voice, 900.0 + count(*) * 100 AS chars, round(60 + sum(value), 4) AS seconds FROM events GROUP BY 1, 2")
+@query("WITH " + PACE.format(cap=1_200))
 def k01_running_pace(spark: SparkSession, base: str) -> DataFrame:
-    """The running pace from a stream over the events, drained."""
+    """The running pace from a stream over the events, drained: state per voice, halved past the cap."""
     schema = table(spark, base, "events").schema
     events = pace.read_log(spark, base, schema, "parquet", pathGlobFilter="events.parquet")
-    shaped = events.select(F.col("event_type").alias("engine"), F.col("user_id").cast("string").alias("voice"), F.lit(100.0).alias("chars"), F.col("value").alias("seconds"))
-    out = pace.drain(pace.running_pace(shaped), f"pace_{uuid.uuid4().hex}")
-    return out.select("engine", "voice", "chars", F.round("seconds", 4).alias("seconds"))
+    shaped = events.select(F.col("event_type").alias("engine"), F.col("user_id").cast("string").alias("voice"), F.col("event_id").alias("seq"), (F.lit(100) + F.col("user_id") % 7).cast("double").alias("chars"), F.col("value").alias("seconds"))
+    out = L.latest(pace.drain(pace.running_pace(shaped, cap=1_200.0), f"pace_{uuid.uuid4().hex}", "update").withColumn("k", F.struct("engine", "voice")), "k", "batch").drop("k")
+    return out.select("engine", "voice", "chars", "seconds")
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
@@ -159,33 +171,70 @@ def k02_windowed_log(spark: SparkSession, base: str) -> DataFrame:
     return out.select(F.col("window.start").alias("start"), "event_type", "n")
 
 
-def _small_book(title: str | None) -> bytes:
-    """An e-book of one chapter."""
+def _book(title: str | None, key: str, size: int) -> bytes:
+    """An e-book of three chapters, one with a label, one with a heading, one with neither, and a picture; or a bad one."""
+    if size % 10 == 1:
+        return b"PK\x03\x04 broken"
     out = io.BytesIO()
+    page = "<html xmlns='http://www.w3.org/1999/xhtml'><body>{}</body></html>"
     with zipfile.ZipFile(out, "w") as z:
-        z.writestr("META-INF/container.xml", '<container><rootfiles><rootfile full-path="b.opf"/></rootfiles></container>')
-        z.writestr("b.opf", '<package><metadata><title>Book</title></metadata><manifest><item id="a" href="c1.xhtml" media-type="application/xhtml+xml"/></manifest><spine><itemref idref="a"/></spine></package>')
-        z.writestr("c1.xhtml", f"<html><body><h1>{html.escape(title or '')}</h1><p>One <i>word</i>.</p></body></html>")
+        z.writestr("mimetype", "application/epub+zip")
+        if size % 10 == 2:
+            z.writestr("META-INF/encryption.xml", "<encryption/>")
+        z.writestr("META-INF/container.xml", '<c:container xmlns:c="urn:x"><c:rootfiles><c:rootfile full-path="OEBPS/b.opf"/></c:rootfiles></c:container>')
+        items = "".join(f'<item id="{i}" href="{h}" media-type="{m}"/>' for i, h, m in (
+            ("a", "text/first.xhtml", "application/xhtml+xml"), ("b", "text/second.xhtml", "application/xhtml+xml"), ("c", "text/the_last-part.xhtml", "application/xhtml+xml"), ("n", "toc.ncx", "application/x-dtbncx+xml"), ("p", "img/pic.png", "image/png"),
+        ))
+        z.writestr("OEBPS/b.opf", f'<package xmlns:dc="urn:dc"><metadata><dc:title>Book of {key}</dc:title><dc:creator>Ann Moor</dc:creator></metadata><manifest>{items}</manifest><spine><itemref idref="c"/><itemref idref="a"/><itemref idref="gone"/><itemref idref="p"/><itemref idref="b"/></spine></package>')
+        z.writestr("OEBPS/toc.ncx", f'<ncx><navMap><navPoint><navLabel><text>Label  {key}</text></navLabel><content src="text/first.xhtml#s"/></navPoint><navPoint><navLabel><text>Later</text></navLabel><content src="text/first.xhtml"/></navPoint></navMap></ncx>')
+        z.writestr("OEBPS/text/first.xhtml", page.format("<p>See <img src='../img/pic.png' alt='p'/>.</p><p>Not <img src='none.png'/>.</p>"))
+        z.writestr("OEBPS/text/second.xhtml", page.format(f"<h1>{html.escape(title or '')}</h1><p>One <i>word</i>.</p>"))
+        z.writestr("OEBPS/text/the_last-part.xhtml", page.format("<p>End.</p>"))
+        z.writestr("OEBPS/img/pic.png", b"\x89PNG" + key.encode())
     return out.getvalue()
 
 
-@query("SELECT DISTINCT id AS path, 0::INTEGER AS chapter, coalesce(nullif(trim(regexp_replace(title, '\\s+', ' ', 'g')), ''), 'C1') AS title, 'Book' AS book_title FROM docs WHERE regexp_full_match(title, '[^*_#]*')")
-def a07_epub_chapters(spark: SparkSession, base: str) -> DataFrame:
-    """Books made of the documents' titles, read back as chapters."""
+def _books(spark: SparkSession, base: str) -> DataFrame:
+    """(path, content): a book made of each document."""
 
     @F.pandas_udf("binary")
-    def book(titles: pd.Series) -> pd.Series:
-        return titles.map(_small_book)
+    def book(titles: pd.Series, keys: pd.Series, sizes: pd.Series) -> pd.Series:
+        return pd.Series([_book(*x) for x in zip(titles, keys, sizes, strict=True)], dtype=object)
+
+    docs = table(spark, base, "docs").select("id", "title", F.length("markdown").alias("n")).distinct()
+    return docs.select(F.col("id").alias("path"), book("title", "id", "n").alias("content"))
+
+
+_BOOK = "bk AS (SELECT DISTINCT id, title, length(markdown) % 10 AS k FROM docs)"
+
+
+@query(rf"""WITH {_BOOK}, g AS (SELECT * FROM bk WHERE k NOT IN (1, 2))
+SELECT id AS path, 0 AS chapter, 'The Last Part' AS title, 'End.' AS markdown, 'Book of ' || id AS book_title, 'Ann Moor' AS author, NULL AS error FROM g
+UNION ALL SELECT id, 1, 'Label ' || id, 'See ![p](OEBPS/img/pic.png).' || chr(10) || chr(10) || 'Not .', 'Book of ' || id, 'Ann Moor', NULL FROM g
+UNION ALL SELECT id, 2, coalesce(nullif(trim(regexp_replace(title, '\s+', ' ', 'g')), ''), 'Second'), 'One *word*.', 'Book of ' || id, 'Ann Moor', NULL FROM g
+UNION ALL SELECT id, NULL, NULL, NULL, NULL, NULL, CASE k WHEN 1 THEN 'not an ePub' ELSE 'protected' END FROM bk WHERE k IN (1, 2)""")
+def a07_epub_chapters(spark: SparkSession, base: str) -> DataFrame:
+    """Books made of the documents, read back: chapters in the spine's order, their titles from labels, headings and file names, and what is wrong with a bad one."""
+    return readers.epub_chapters(_books(spark, base))
+
+
+@query(rf"WITH {_BOOK} SELECT id AS path, 'OEBPS/img/pic.png' AS name, base64('\x89PNG'::BLOB || encode(id)) AS data FROM bk WHERE k NOT IN (1, 2)")
+def b25_epub_images(spark: SparkSession, base: str) -> DataFrame:
+    """The pictures of books made of the documents, in base64."""
+    return readers.epub_images(_books(spark, base)).select("path", "name", F.base64("content").alias("data"))
+
 
-    docs = table(spark, base, "docs").filter(F.col("title").rlike(r"^[^*_#]*\z")).select(F.col("id").alias("path"), "title").distinct()
-    return readers.epub_chapters(docs.select("path", book("title").alias("content"))).select("path", "chapter", "title", "book_title")
+_HEADS = (("speaker.weight",), ("kv.cache", "kv.offset"), ("other",), ("emb", "more"), None)
 
 
-@query("SELECT * FROM (VALUES ('a', 'phonon'), ('b', 'pocket'), ('c', 'unknown'), ('d', 'unknown')) t(path, kind)")
+@query("""SELECT DISTINCT id AS path, CASE length(markdown) % 5 WHEN 0 THEN 'phonon' WHEN 1 THEN 'pocket' WHEN 3 THEN 'phonon' ELSE 'unknown' END AS kind FROM docs""")
 def a16_voice_files(spark: SparkSession, base: str) -> DataFrame:
-    head = lambda *k: (lambda j: struct.pack("<Q", len(j)) + j)(json.dumps(dict.fromkeys(k, {})).encode())
-    rows = [("a", head("speaker.weight")), ("b", head("kv.cache", "kv.offset")), ("c", head("other")), ("d", b"xx")]
-    return spark.createDataFrame([(p, bytearray(c)) for p, c in rows], "path string, content binary").select("path", readers.voice_file_kind(F.col("content")).alias("kind"))
+    """Voice files told by their headers, a file made of each document."""
+    head = lambda keys: (lambda j: struct.pack("<Q", len(j)) + j)(json.dumps(dict.fromkeys(keys, {})).encode()) if keys else b"xx"
+    k = F.length("markdown") % 5
+    made = F.when(k == 0, F.lit(head(_HEADS[0]))).when(k == 1, F.lit(head(_HEADS[1]))).when(k == 2, F.lit(head(_HEADS[2]))).when(k == 3, F.lit(head(_HEADS[3]))).otherwise(F.lit(head(_HEADS[4])))
+    files = table(spark, base, "docs").select("id", k.alias("k"), F.when(k == 4, made).otherwise(F.concat(made, F.encode("markdown", "UTF-8"))).alias("content"), "markdown").distinct()
+    return files.select(F.col("id").alias("path"), readers.voice_file_kind(F.col("content")).alias("kind")).distinct()
 
 
 @query()

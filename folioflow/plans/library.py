@@ -75,15 +75,15 @@ def b01_upsert_latest(spark: SparkSession, base: str) -> DataFrame:
 @query("WITH k AS (SELECT min(doc_id) AS d FROM playlist_items) SELECT DISTINCT playlist_id FROM playlist_items, k WHERE doc_id = d")
 def b13_affected_playlists(spark: SparkSession, base: str) -> DataFrame:
     items = table(spark, base, "playlist_items")
-    d = items.agg(F.min("doc_id")).first()[0]
-    return L.delete_document(d, table(spark, base, "docs"), items, table(spark, base, "tts_chunks"))["affected"]
+    gone = items.agg(F.min("doc_id").alias("doc_id"))
+    return L.delete_documents(gone, table(spark, base, "docs"), items, table(spark, base, "tts_chunks"))["affected"]
 
 
 @query("WITH k AS (SELECT min(doc_id) AS d FROM playlist_items) SELECT doc_id, count(*) AS n FROM playlist_items, k WHERE doc_id <> d GROUP BY 1")
 def b08_cascade_delete(spark: SparkSession, base: str) -> DataFrame:
     items = table(spark, base, "playlist_items")
-    d = items.agg(F.min("doc_id")).first()[0]
-    return L.delete_document(d, table(spark, base, "docs"), items, table(spark, base, "tts_chunks"))["items"].groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    gone = items.agg(F.min("doc_id").alias("doc_id"))
+    return L.delete_documents(gone, table(spark, base, "docs"), items, table(spark, base, "tts_chunks"))["items"].groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("WITH k AS (SELECT min(playlist_id) AS p FROM playlist_items) SELECT id, playlist_id FROM playlist_items, k WHERE playlist_id <> p")
@@ -130,9 +130,9 @@ def b22_download_name(spark: SparkSession, base: str) -> DataFrame:
     return table(spark, base, "docs").select("id", F.concat(F.coalesce(F.nullif(stem, F.lit("")), F.lit("output")), F.lit(".wav")).alias("name")).distinct()
 
 
-@query("SELECT DISTINCT id, 'upload-' || left(sha256(markdown), 12) AS voice_name, base64(encode(left(title, 10))) AS b64 FROM docs")
+@query("SELECT DISTINCT id, 'upload-' || left(sha256(markdown), 12) AS voice_name, base64(encode(title)) AS b64 FROM docs")
 def b26_content_name(spark: SparkSession, base: str) -> DataFrame:
-    return table(spark, base, "docs").select("id", F.concat(F.lit("upload-"), F.left(F.sha2("markdown", 256), F.lit(12))).alias("voice_name"), F.base64(F.encode(F.left("title", F.lit(10)), "UTF-8")).alias("b64")).distinct()
+    return table(spark, base, "docs").select("id", F.concat(F.lit("upload-"), F.left(F.sha2("markdown", 256), F.lit(12))).alias("voice_name"), F.regexp_replace(F.base64(F.encode("title", "UTF-8")), r"\s", "").alias("b64")).distinct()
 
 
 INDEX = f"""
@@ -206,12 +206,11 @@ def f03_unassigned(spark: SparkSession, base: str) -> DataFrame:
     return L.unassigned(table(spark, base, "docs").select("id", "title"), table(spark, base, "playlist_items"))
 
 
-@query("""WITH a AS (SELECT doc_id, count(DISTINCT chunk_idx) AS chunks FROM tts_chunks GROUP BY 1), d AS (SELECT doc_id, sum(len(chunks))::BIGINT AS n FROM sections GROUP BY 1)
-SELECT doc_id, CASE WHEN a.chunks IS NULL THEN 'none' WHEN a.chunks >= n THEN 'fresh' ELSE 'stale' END AS state FROM d LEFT JOIN a USING (doc_id)""")
-def f04_audio_state(spark: SparkSession, base: str) -> DataFrame:
-    a = table(spark, base, "tts_chunks").groupBy("doc_id").agg(F.countDistinct("chunk_idx").alias("c"))
-    d = table(spark, base, "sections").groupBy("doc_id").agg(F.sum(F.size("chunks")).alias("n"))
-    return d.join(a, "doc_id", "left").select("doc_id", F.when(F.col("c").isNull(), "none").when(F.col("c") >= F.col("n"), "fresh").otherwise("stale").alias("state"))
+# a hash stands for a text, so SQL compares the texts themselves
+_AUDIO = f"""ck AS (SELECT DISTINCT doc_id, engine, voice, chunk_idx, text, len(sentence_indices) > 0 AS speaks FROM tts_chunks),
+au AS (SELECT doc_id, engine, voice, coalesce(string_agg(text, ' ' ORDER BY chunk_idx, text) FILTER (WHERE speaks), '') AS said FROM ck GROUP BY 1, 2, 3),
+sx AS (SELECT doc_id, id, array_to_string(chunks, ' ') AS t FROM sections), nw AS (SELECT doc_id, string_agg(t, ' ' ORDER BY id, t) FILTER (WHERE t <> '') AS now FROM sx GROUP BY 1),
+st AS (SELECT au.doc_id, engine, voice, said <> coalesce(now, '') AS stale FROM au LEFT JOIN nw USING (doc_id))"""
 
 
 def _joined(rows: Column, field: str) -> Column:
@@ -228,27 +227,41 @@ def _stale_audio(spark: SparkSession, base: str) -> DataFrame:
     return audio.join(now, "doc_id", "left").withColumn("current_hash", F.coalesce("current_hash", X.text_hash(F.lit(""))))
 
 
-@query()
+@query(f"WITH {_AUDIO} SELECT * FROM st")
 def c10_stale_audio(spark: SparkSession, base: str) -> DataFrame:
     """Recordings by document, engine and voice, stale where the hash of their text is not that of the current one."""
-    return _stale_audio(spark, base).withColumn("stale", F.col("text_hash") != F.col("current_hash"))
+    return _stale_audio(spark, base).select("doc_id", "engine", "voice", (F.col("text_hash") != F.col("current_hash")).alias("stale"))
 
 
 @query()
+def c10_audio_hashes(spark: SparkSession, base: str) -> DataFrame:
+    """The hashes that c10_stale_audio compares."""
+    return _stale_audio(spark, base)
+
+
+@query(f"WITH {ITEMS}, {_AUDIO} SELECT it.id, it.playlist_id, it.doc_id, engine, voice, CASE WHEN stale IS NULL THEN 'none' WHEN stale THEN 'stale' ELSE 'fresh' END AS state FROM it LEFT JOIN st USING (doc_id)")
 def f04_item_audio(spark: SparkSession, base: str) -> DataFrame:
-    """Playlist items with the state of each recording of their document, by hashes where f04_audio_state counts chunks."""
+    """Playlist items with the state of each recording of their document."""
     items = _items(spark, base).select("id", "playlist_id", "doc_id")
     state = F.when(F.col("text_hash").isNull(), "none").when(F.col("text_hash") != F.col("current_hash"), "stale").otherwise("fresh")
     return items.join(_stale_audio(spark, base), "doc_id", "left").select("id", "playlist_id", "doc_id", "engine", "voice", state.alias("state"))
 
 
-@query("SELECT engine, name, coalesce(language, 'unknown') AS language, coalesce(dialect, '') AS dialect, used.n IS NOT NULL AS used FROM voices LEFT JOIN (SELECT engine, voice AS name, count(*) AS n FROM tts_chunks GROUP BY 1, 2) used USING (engine, name)")
-def f05_voice_metadata(spark: SparkSession, base: str) -> DataFrame:
-    used = table(spark, base, "tts_chunks").groupBy("engine", F.col("voice").alias("name")).agg(F.count(F.lit(1)).alias("n"))
-    return table(spark, base, "voices").join(used, ["engine", "name"], "left").select("engine", "name", F.coalesce("language", F.lit("unknown")).alias("language"), F.coalesce("dialect", F.lit("")).alias("dialect"), F.col("n").isNotNull().alias("used"))
+KEY = "regexp_replace(regexp_replace(lower({c}), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')"
 
 
-KEY = "regexp_replace(regexp_replace(lower({c}), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')"
+@query(f"""WITH c AS (SELECT DISTINCT engine, CASE WHEN length(voice) % 2 = 0 THEN upper(voice) ELSE voice || '-' END AS name FROM tts_chunks WHERE engine <> 'pocket'),
+m AS (SELECT engine, {KEY.format(c='name')} AS k, min(name) AS name, min(language) AS language, min(dialect) AS dialect FROM voices GROUP BY 1, 2)
+SELECT c.engine, c.name, coalesce(language, 'unknown') AS language, coalesce(dialect, '') AS dialect, false AS fallback FROM c LEFT JOIN m ON m.engine = c.engine AND m.k = {KEY.format(c='c.name')}
+UNION ALL SELECT engine, name, coalesce(language, 'unknown'), coalesce(dialect, ''), true FROM m WHERE engine NOT IN (SELECT engine FROM c)""")
+def f05_voice_metadata(spark: SparkSession, base: str) -> DataFrame:
+    """A catalogue of voices with their metadata by normalised name; an engine without a catalogue has its metadata only.
+
+    The catalogue is the names in use, oddly written, and lacks one engine.
+    """
+    name = F.when(F.length("voice") % 2 == 0, F.upper("voice")).otherwise(F.concat("voice", F.lit("-")))
+    catalogue = table(spark, base, "tts_chunks").filter("engine <> 'pocket'").select("engine", name.alias("name")).distinct()
+    return L.described_voices(catalogue, table(spark, base, "voices"))
 
 
 @query(f"""WITH q AS (SELECT DISTINCT engine, CASE WHEN hash % 3 = 0 THEN voice WHEN hash % 3 = 1 THEN upper(voice) ELSE voice || ' x' END AS request FROM (SELECT engine, voice, length(voice) AS hash FROM tts_chunks)),
@@ -284,9 +297,9 @@ def g01_sort_playlists(spark: SparkSession, base: str) -> DataFrame:
     return L.by_listening(L.playlists(_items(spark, base))).select("playlist_id", "place")
 
 
-@query("SELECT id, updated_at FROM (SELECT DISTINCT id, updated_at FROM docs) ORDER BY updated_at DESC, id LIMIT 50")
+@query("SELECT id, updated_at, row_number() OVER (ORDER BY updated_at DESC, id) AS place FROM (SELECT DISTINCT id, updated_at FROM docs)")
 def g03_recent_docs(spark: SparkSession, base: str) -> DataFrame:
-    return table(spark, base, "docs").select("id", "updated_at").distinct().orderBy(F.col("updated_at").desc(), "id").limit(50)
+    return ranked(table(spark, base, "docs").select("id", "updated_at").distinct(), "place", F.col("updated_at").desc(), F.col("id"))
 
 
 RANKS = """list_position(['english','german','french','spanish','japanese'], lower(coalesce(language,''))) AS lr, list_position(['american','british','australian','indian'], lower(coalesce(dialect,''))) AS dr, list_position(['female','male'], lower(coalesce(gender,''))) AS gr"""

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import ipaddress
+import uuid
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -13,29 +13,35 @@ from folioflow.functions import text as X
 from folioflow.operators import library as L
 from folioflow.operators import markdown as M
 from folioflow.operators import sequences as S
+from folioflow.operators.common import ensure_checkpoint_dir
 from folioflow.plans.library import ITEMS, KEY, NATURAL, RANKS, LABEL
 from folioflow.plans.registry import query
 from folioflow.plans.texts import SLUG
+from folioflow.sources import readers
 from folioflow.sources.tables import table
 
 
+ENGINES = ("phonon", "pocket")
+
+
 @query(f"WITH v AS (SELECT name, engine, language, row_number() OVER (PARTITION BY engine, {KEY.format(c='name')} ORDER BY name DESC) AS r FROM voices) SELECT engine, name, language FROM v WHERE r = 1")
 def a01_voice_catalogue(spark: SparkSession, base: str) -> DataFrame:
-    """The catalogue as JSON, read back and keyed by the normalised name, the last of a key kept."""
-    doc = table(spark, base, "voices").groupBy("engine").agg(F.to_json(F.struct(F.sort_array(F.collect_list(F.struct("name", "language"))).alias("voices"))).alias("j"))
-    rows = doc.select("engine", F.posexplode(F.from_json("j", "voices array<struct<name:string,language:string>>")["voices"]).alias("n", "v"))
-    w = W.partitionBy("engine", X.voice_key(F.col("v.name"))).orderBy(F.col("n").desc())
-    return rows.withColumn("r", F.row_number().over(w)).filter("r = 1").select("engine", "v.name", "v.language")
+    """A catalogue file per engine, read back and keyed by the normalised name, the last of a key kept."""
+    doc = table(spark, base, "voices").groupBy("engine").agg(F.to_json(F.struct(F.sort_array(F.collect_list(F.struct("name", "language"))).alias("voices"))).alias("value"))
+    at = f"{ensure_checkpoint_dir(spark)}/voices_{uuid.uuid4().hex}"
+    doc.write.partitionBy("engine").text(at)
+    parts = [readers.voice_catalog(spark, f"{at}/engine={e}").select(F.lit(e).alias("engine"), "name", "language") for e in ENGINES]
+    return reduce(DataFrame.unionByName, parts)
 
 
-@query("SELECT DISTINCT name, language FROM voices WHERE language = (SELECT max(language) FROM voices)")
+@query("WITH v AS (SELECT name, engine, lower(substr(language, 1, 2)) AS language, row_number() OVER (PARTITION BY name ORDER BY engine) AS r FROM voices WHERE lower(substr(language, 1, 2)) = 'en') SELECT name, engine AS filename FROM v WHERE r = 1")
 def a03_jsonl_catalogue(spark: SparkSession, base: str) -> DataFrame:
-    """One JSON line a voice; blank and broken lines skipped, one language kept, the first of a name."""
-    v = table(spark, base, "voices")
-    lines = v.select(F.to_json(F.struct("name", "language")).alias("line")).unionByName(v.limit(1).select(F.explode(F.array(F.lit(""), F.lit("{bad"))).alias("line")))
-    rows = lines.select(F.from_json("line", "name string, language string").alias("v")).filter("v.name IS NOT NULL").select("v.name", "v.language")
-    top = rows.agg(F.max("language").alias("language"))
-    return rows.join(top, "language").select("name", "language").distinct()
+    """A file with a JSON line per voice, read back: blank and broken lines skipped, one language kept, the first of a name."""
+    v = table(spark, base, "voices").select(F.to_json(F.struct("name", F.col("engine").alias("filename"), F.lower(F.substring("language", 1, 2)).alias("language"))).alias("value"), "engine", "name")
+    bad = spark.range(1).select(F.explode(F.array(F.lit(""), F.lit("{bad"), F.lit("[1"))).alias("value"), F.lit("").alias("engine"), F.lit("").alias("name"))
+    at = f"{ensure_checkpoint_dir(spark)}/lines_{uuid.uuid4().hex}"
+    v.unionByName(bad).coalesce(1).sortWithinPartitions("engine", "name").select("value").write.text(at)
+    return readers.voice_lines(spark, at).select("name", "filename")
 
 
 @query(f"WITH {ITEMS}, n AS (SELECT playlist_id, count(*) AS n_items FROM it GROUP BY 1) SELECT it.playlist_id, id, n_items FROM it JOIN n USING (playlist_id)")
@@ -53,16 +59,11 @@ def a21_legacy_import(spark: SparkSession, base: str) -> DataFrame:
     return rows.join(table(spark, base, "playlist_items").select(F.col("doc_id").alias("id")), "id", "left_anti")
 
 
-@query("SELECT domain, row_number() OVER (ORDER BY lower(domain)) AS place FROM sites")
-def g09_sorted_models(spark: SparkSession, base: str) -> DataFrame:
-    from folioflow.operators.common import ranked
-
-    return ranked(table(spark, base, "sites").select("domain"), "place", F.lower("domain"))
-
-
-@query("SELECT engine, name, language FROM (SELECT *, row_number() OVER (PARTITION BY engine ORDER BY name DESC) r FROM voices) WHERE r = 1")
-def b02_upsert_voice(spark: SparkSession, base: str) -> DataFrame:
-    return L.latest(table(spark, base, "voices"), "engine", "name").select("engine", "name", "language")
+@query("SELECT key, markdown, finished_at FROM (SELECT doc_id || '::' || page AS key, markdown, finished_at, row_number() OVER (PARTITION BY doc_id, page ORDER BY finished_at DESC, markdown DESC) AS r FROM ocr_results WHERE NOT failed) WHERE r = 1")
+def b02_upsert_asset(spark: SparkSession, base: str) -> DataFrame:
+    """Readings put under their document and page, the one that came last."""
+    good = table(spark, base, "ocr_results").filter("NOT failed").select(F.concat_ws("::", "doc_id", F.col("page").cast("string")).alias("key"), "markdown", "finished_at")
+    return L.latest(good, "key", "finished_at", F.col("markdown").desc())
 
 
 @query()
@@ -96,30 +97,31 @@ def c02_metadata(spark: SparkSession, base: str) -> DataFrame:
     return table(spark, base, "docs").select("id", "slug", "page_count", "created_at").distinct()
 
 
-@query("SELECT domain, CASE WHEN lang = 'en' THEN 'yes' WHEN lang = 'de' THEN 'no' ELSE 'unknown' END AS label, lang <> 'de' AS kept FROM sites")
-def c05_three_states(spark: SparkSession, base: str) -> DataFrame:
-    flag = F.when(F.col("lang") == "en", True).when(F.col("lang") == "de", False)
-    return table(spark, base, "sites").select("domain", F.when(flag.isNull(), "unknown").when(flag, "yes").otherwise("no").alias("label"), F.coalesce(flag, F.lit(True)).alias("kept"))
+#: Blocks of IPv4 addresses that are private, local, reserved or for examples: first octets and length. Fixed values.
+BLOCKED = (
+    ("0.0.0.0", 8), ("10.0.0.0", 8), ("100.64.0.0", 10), ("127.0.0.0", 8), ("169.254.0.0", 16), ("172.16.0.0", 12), ("192.0.0.0", 24), ("192.0.2.0", 24), ("192.168.0.0", 16), ("198.18.0.0", 15), ("198.51.100.0", 24),
+    ("203.0.113.0", 24), ("224.0.0.0", 4), ("240.0.0.0", 4),
+)
+#: Addresses of the same kinds in IPv6, as they are written. Fixed values.
+BLOCKED6 = r"^(?:::1?|::ffff:.*|f[cd].*|fe[89ab].*|ff.*|2001:db8:.*|100::.*)$"
 
 
 def admissible(url: Column) -> Column:
-    """Whether a URL may be fetched: http(s), at most 2048 characters, a host that is neither local nor a private address."""
-
-    @F.pandas_udf("boolean")
-    def public(hosts: pd.Series) -> pd.Series:
-        def ok(h: str | None) -> bool:
-            if not h or h == "localhost" or h.endswith((".local", ".localhost", ".internal")):
-                return False
-            try:
-                a = ipaddress.ip_address(h.strip("[]"))
-            except ValueError:
-                return True
-            return not (a.is_private or a.is_loopback or a.is_link_local or a.is_reserved or a.is_multicast or a.is_unspecified)
-
-        return hosts.map(ok)
-
-    bracketed = F.regexp_extract(url, r"^[^/?#]*//(?:[^/?#@]*@)?\[([^\]]*)\]", 1)
-    return F.coalesce(url.rlike(r"^(?i)https?://") & (F.length(url) <= 2048), F.lit(False)) & public(F.coalesce(F.nullif(bracketed, F.lit("")), X.host(url)))
+    """Whether a URL may be fetched: http(s), at most 2048 characters, a host that is neither local nor a private address.
+
+    A host of figures and stops alone must be a sound IPv4 address. Names are not resolved here.
+    """
+    bracketed = F.lower(F.regexp_extract(url, r"^[^/?#]*//(?:[^/?#@]*@)?\[([^\]]*)\]", 1))
+    host = X.host(url)
+    octets = F.transform(F.split(host, r"\."), lambda x: x.try_cast("int"))
+    value = F.aggregate(octets, F.lit(0).cast("bigint"), lambda a, x: a * 256 + x)
+    as_number = lambda ip: sum(int(x) << s for x, s in zip(ip.split("."), (24, 16, 8, 0), strict=True))
+    blocked = reduce(lambda a, b: a | b, [value.between(as_number(ip), as_number(ip) + (1 << (32 - n)) - 1) for ip, n in BLOCKED])
+    figures = host.rlike(r"^[\d.]+$")
+    sound = (F.size(octets) == 4) & host.rlike(r"^(?:0|[1-9]\d{0,2})(?:\.(?:0|[1-9]\d{0,2})){3}$") & F.forall(octets, lambda x: x <= 255)
+    name_ok = (host != "") & ~host.rlike(r"^localhost\.?$|\.(?:local|localhost|internal)\.?$")
+    public = F.when(bracketed != "", ~bracketed.rlike(BLOCKED6)).when(figures, sound & ~F.coalesce(blocked, F.lit(True))).otherwise(name_ok)
+    return F.coalesce(url.rlike(r"^(?i)https?://") & (F.length(url) <= 2048) & public, F.lit(False))
 
 
 @query("""SELECT * FROM (VALUES ('https://a.example/x', true), ('ftp://a.example', false), ('http://127.0.0.1/', false), ('http://10.1.2.3/x', false), ('http://localhost', false), ('http://8.8.8.8/', true), ('', false), ('http://169.254.0.1', false)) t(url, ok)""")
@@ -128,7 +130,9 @@ def c08_url_admission(spark: SparkSession, base: str) -> DataFrame:
     return spark.createDataFrame([(u,) for u in urls], "url string").select("url", admissible(F.col("url")).alias("ok"))
 
 
-@query()
+@query(r"""WITH u AS (SELECT 'articles' AS record_table, article_id::VARCHAR AS record_key, url FROM articles UNION SELECT 'playlist_items', id, source.url FROM playlist_items),
+h AS (SELECT *, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:\s]+)', 1)) AS host FROM u)
+SELECT record_table, record_key, url, coalesce(regexp_matches(url, '^(?i)https?://') AND length(url) <= 2048 AND host <> '' AND NOT regexp_matches(host, '^localhost$|\.(local|localhost|internal)$|^(0|10|127)\.|^169\.254\.|^192\.168\.|^172\.(1[6-9]|2[0-9]|3[01])\.|^\['), false) AS ok FROM h""")
 def c08_url_admission_all(spark: SparkSession, base: str) -> DataFrame:
     """Every URL of articles and playlist items, where c08_url_admission has literals; a missing one is not admitted."""
     articles = table(spark, base, "articles").select(F.lit("articles").alias("record_table"), F.col("article_id").cast("string").alias("record_key"), "url")
@@ -141,8 +145,8 @@ def c09_route_import(spark: SparkSession, base: str) -> DataFrame:
     return table(spark, base, "playlist_items").select("id", F.when(F.col("source.url").isNull(), "upload").otherwise(X.url_kind(F.col("source.url"))).alias("route")).distinct()
 
 
-@query("""WITH t AS (SELECT article_id, string_agg(chr(10), '') FROM articles GROUP BY 1), d AS (SELECT DISTINCT id, markdown, raw_pages FROM docs WHERE raw_pages IS NOT NULL),
-m AS (SELECT id, list_max(list_transform(range(1, len(raw_pages) + 1), lambda i: i)) AS top, len(raw_pages) AS n FROM d) SELECT id, top::INTEGER AS last_marker, top = n AS matches FROM m""")
+@query(r"""WITH d AS (SELECT DISTINCT id, raw_pages FROM docs WHERE raw_pages IS NOT NULL), m AS (SELECT id, len(raw_pages) AS n, array_to_string(list_transform(raw_pages, lambda x, i: 'Page ' || i || '.' || chr(10) || x), chr(10)) AS md FROM d),
+t AS (SELECT id, n, list_max(list_transform(regexp_extract_all(md, '(?m)^Page ([0-9]+)\.$', 1), lambda x: x::INTEGER)) AS top FROM m) SELECT id, top AS last_marker, top = n AS matches FROM t""")
 def h11_last_marker(spark: SparkSession, base: str) -> DataFrame:
     """The greatest page marker in a joined document, against the pages it should have."""
     p = table(spark, base, "docs").filter("raw_pages IS NOT NULL").select("id", "raw_pages").distinct()
@@ -194,14 +198,8 @@ def d26_equal_line_map(spark: SparkSession, base: str) -> DataFrame:
     return d.withColumn("per", per).select("id", F.explode(F.sequence(F.lit(1), "n")).alias("page"), "l", "per").select("id", "page", (F.lit(1) + (F.col("page") - 1) * F.col("per")).alias("start_line"), F.least("l", F.col("page") * F.col("per")).alias("end_line"))
 
 
-@query(r"""SELECT doc_id, regexp_replace(trim(regexp_replace(replace(left(title, 60), '**', ''), '\s+', ' ', 'g')), '`([^`]*)`', '\1', 'g') AS cell FROM documents WHERE title IS NOT NULL""")
+@query(r"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace('**' || title || '**', '!\[[^\]]*\]\([^)]*\)', '', 'g'), '\[([^\]]+)\]\([^)]*\)', '\1', 'g'), '`([^`]*)`', '\1', 'g'), '\*\*|__|~~', '', 'g'), '\s+', ' ', 'g')) AS cell FROM documents""")
 def d34_clean_cell(spark: SparkSession, base: str) -> DataFrame:
-    return table(spark, base, "documents").filter("title IS NOT NULL").select("doc_id", M.clean_cell(F.concat(F.lit("**"), F.left("title", F.lit(60)), F.lit("**"))).alias("cell"))
-
-
-@query()
-def d34_clean_cell_all(spark: SparkSession, base: str) -> DataFrame:
-    """As above with whole titles, untitled documents too, which that SQL cuts and leaves out."""
     return table(spark, base, "documents").select("doc_id", M.clean_cell(F.concat(F.lit("**"), "title", F.lit("**"))).alias("cell"))
 
 

@@ -169,7 +169,9 @@ def i12_row_numbering(spark: SparkSession, base: str) -> DataFrame:
     return _sections(spark, base).select("doc_id", "id", F.row_number().over(W.partitionBy("doc_id").orderBy("id")).alias("i"), F.count(F.lit(1)).over(W.partitionBy("doc_id")).alias("n"))
 
 
-@query()
+@query("""WITH RECURSIVE h AS (SELECT doc_id, id, level, heading, row_number() OVER (PARTITION BY doc_id ORDER BY id) AS n FROM sections WHERE heading IS NOT NULL),
+r AS (SELECT doc_id, id, n, [heading] AS path FROM h WHERE n = 1 UNION ALL SELECT h.doc_id, h.id, h.n, list_append(r.path[1:greatest(h.level - 1, 0)], h.heading) FROM r JOIN h ON h.doc_id = r.doc_id AND h.n = r.n + 1)
+SELECT doc_id, id, path FROM r""")
 def i13_breadcrumb_stack(spark: SparkSession, base: str) -> DataFrame:
     h = _sections(spark, base).filter("heading IS NOT NULL").select("doc_id", "id", "level", "heading")
     return S.breadcrumbs(h, "doc_id", "id", "level", "heading")
@@ -198,28 +200,48 @@ def h06_unique_headings(spark: SparkSession, base: str) -> DataFrame:
     return _sections(spark, base).filter("heading IS NOT NULL").groupBy("doc_id", F.lower(F.trim("heading")).alias("heading")).agg(F.count(F.lit(1)).alias("n")).filter("n = 1").drop("n")
 
 
-@query("WITH r AS (SELECT unnest(list_distinct(list_transform(blocks, lambda b: b.kind))) AS kind FROM sections) SELECT kind, count(*) AS n FROM r WHERE kind IN ('code', 'table', 'hr', 'list-item') GROUP BY 1")
+_REASONS = r"""rs AS (SELECT DISTINCT id AS doc_id, unnest(raw_pages) AS t, generate_subscripts(raw_pages, 1)::INTEGER AS page FROM docs WHERE raw_pages IS NOT NULL),
+wr AS (SELECT doc_id, page, list_filter([CASE WHEN trim(t) = '' THEN 'scanned' END, CASE WHEN regexp_matches(t, '[|†$@¬]') THEN 'garbled' END, CASE WHEN length(t) BETWEEN 1 AND 400 THEN 'sparse' END, CASE WHEN regexp_matches(t, '(?m)^[0-9]+$') THEN 'annotation-text' END], lambda x: x IS NOT NULL) AS reasons FROM rs)"""
+
+
+def _complex_pages(spark: SparkSession, base: str) -> DataFrame:
+    """(doc_id, page, reasons, needs_ocr): pages with what speaks against their text layer, by what stands there."""
+    p = table(spark, base, "docs").filter("raw_pages IS NOT NULL").select(F.col("id").alias("doc_id"), "raw_pages").distinct().select("doc_id", F.posexplode("raw_pages").alias("page", "t"))
+    found = F.array_compact(F.array(
+        F.when(F.trim("t") == "", "scanned"), F.when(F.col("t").rlike("[|†$@¬]"), "garbled"), F.when(F.length("t").between(1, 400), "sparse"), F.when(F.col("t").rlike(r"(?m)^[0-9]+$"), "annotation-text"),
+    ))
+    return p.select("doc_id", (F.col("page") + 1).alias("page"), found.alias("reasons")).withColumn("needs_ocr", F.size("reasons") > 0)
+
+
+@query(f"WITH {_REASONS}, r AS (SELECT unnest(reasons) AS reason FROM wr) SELECT reason, count(*) AS n FROM r WHERE reason IN ('scanned', 'garbled', 'vector-text', 'annotation-text') GROUP BY 1")
 def h01_reason_counts(spark: SparkSession, base: str) -> DataFrame:
-    kinds = F.array_distinct(F.transform("blocks", lambda b: b["kind"]))
-    return _sections(spark, base).select(F.explode(kinds).alias("kind")).filter(F.col("kind").isin("code", "table", "hr", "list-item")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    return S.reason_counts(_complex_pages(spark, base))
 
 
-@query("SELECT doc_id, page FROM ocr_results WHERE failed AND list_has_any([CASE WHEN markdown = '' THEN 'empty' ELSE 'noise' END], ['empty', 'blurred'])")
+@query(f"WITH {_REASONS} SELECT doc_id, page, reasons FROM wr WHERE list_has_any(reasons, ['scanned', 'garbled', 'vector-text', 'annotation-text'])")
 def c01_worthy_pages(spark: SparkSession, base: str) -> DataFrame:
-    reasons = F.array(F.when(F.col("markdown") == "", "empty").otherwise("noise"))
-    return table(spark, base, "ocr_results").filter(F.col("failed") & F.arrays_overlap(reasons, F.array(F.lit("empty"), F.lit("blurred")))).select("doc_id", "page")
+    return S.worth_reading_again(_complex_pages(spark, base)).select("doc_id", "page", "reasons")
+
+
+PACE = """
+sm AS (SELECT event_type AS engine, user_id::VARCHAR AS voice, list({{'c': (100 + user_id % 7)::DOUBLE, 's': value}} ORDER BY event_id) AS l FROM events GROUP BY 1, 2),
+fo AS (SELECT engine, voice, list_reduce(list_prepend({{'c': 900.0::DOUBLE, 's': 60.0::DOUBLE}}, l), lambda a, x: {{'c': (a.c + x.c) * CASE WHEN a.c + x.c > {cap} THEN 0.5 ELSE 1 END, 's': (a.s + x.s) * CASE WHEN a.c + x.c > {cap} THEN 0.5 ELSE 1 END}}) AS p FROM sm)
+SELECT engine, voice, p.c AS chars, p.s AS seconds FROM fo"""
+
+
+def _samples(spark: SparkSession, base: str) -> DataFrame:
+    return table(spark, base, "events").select(F.col("event_type").alias("engine"), F.col("user_id").cast("string").alias("voice"), F.col("event_id").alias("seq"), (F.lit(100) + F.col("user_id") % 7).cast("double").alias("chars"), F.col("value").alias("seconds"))
 
 
-@query("SELECT event_type AS engine, user_id::VARCHAR AS voice, round(900 + sum(100 + user_id % 7), 6)::DOUBLE AS chars, round(60 + sum(value), 4) AS seconds FROM events GROUP BY 1, 2")
+@query("WITH " + PACE.format(cap=500_000))
 def h09_pace_totals(spark: SparkSession, base: str) -> DataFrame:
-    s = table(spark, base, "events").select(F.col("event_type").alias("engine"), F.col("user_id").cast("string").alias("voice"), F.col("event_id").alias("seq"), (F.lit(100) + F.col("user_id") % 7).cast("double").alias("chars"), F.col("value").alias("seconds"))
-    return S.pace(s, cap=1e18).select("engine", "voice", F.round("chars", 6).alias("chars"), F.round("seconds", 4).alias("seconds"))
+    return S.pace(_samples(spark, base)).select("engine", "voice", "chars", "seconds")
 
 
-@query()
+@query("WITH " + PACE.format(cap=1_200))
 def h09_pace_capped(spark: SparkSession, base: str) -> DataFrame:
-    s = table(spark, base, "events").select(F.col("event_type").alias("engine"), F.col("user_id").cast("string").alias("voice"), F.col("event_id").alias("seq"), F.lit(100.0).alias("chars"), F.col("value").alias("seconds"))
-    return S.pace(s, cap=2_000.0)
+    """With a cap that many voices pass."""
+    return S.pace(_samples(spark, base), cap=1_200.0).select("engine", "voice", "chars", "seconds")
 
 
 @query("SELECT user_id, max_by(event_type, (ts, event_id)) AS state, count(*) AS n FROM events GROUP BY 1")

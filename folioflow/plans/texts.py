@@ -58,17 +58,10 @@ def d10_chapter_flag(spark: SparkSession, base: str) -> DataFrame:
     return table(spark, base, "sections").select("doc_id", "id", X.is_chapter(F.coalesce("heading", F.lit(""))).alias("is_chapter"))
 
 
-@query(r"""WITH t AS (SELECT doc_id, regexp_replace(trim(site), '\.+$', '') AS c, article_id AS k FROM (SELECT article_id, domain AS doc_id, upper(coalesce(title, '')) || '..' AS site FROM articles WHERE regexp_full_match(coalesce(title, ''), '[ -~]*')))
-SELECT k AS article_id, CASE WHEN length(regexp_replace(c, '[^A-Za-z]', '', 'g')) >= 4 AND regexp_replace(c, '[^a-z]', '', 'g') = '' THEN
- array_to_string(list_transform(regexp_extract_all(lower(c), '[a-z]+|[^a-z]+'), lambda w: upper(w[1]) || w[2:]), '') ELSE c END AS shown FROM t""")
+@query(r"""WITH t AS (SELECT article_id, regexp_replace(regexp_replace(upper(replace(coalesce(title, ''), 'ß', 'SS')) || '..', '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'), '\.+$', '') AS c FROM articles)
+SELECT article_id, CASE WHEN length(regexp_replace(c, '[^A-Za-z]', '', 'g')) >= 4 AND regexp_replace(c, '[^a-z]', '', 'g') = '' THEN
+ array_to_string(list_transform(regexp_extract_all(lower(c), '[a-z0-9]+|[^a-z0-9]+'), lambda w: CASE WHEN w[1] BETWEEN 'a' AND 'z' AND ascii(w[1]) < 128 THEN upper(w[1]) || w[2:] ELSE w END), '') ELSE c END AS shown FROM t""")
 def d11_display_title(spark: SparkSession, base: str) -> DataFrame:
-    plain = table(spark, base, "articles").filter(F.coalesce("title", F.lit("")).rlike(r"^[ -~]*\z"))
-    return plain.select("article_id", X.display_title(F.concat(F.upper(F.coalesce("title", F.lit(""))), F.lit(".."))).alias("shown"))
-
-
-@query()
-def d11_display_title_all(spark: SparkSession, base: str) -> DataFrame:
-    """As above over all articles, titles outside ASCII too, which that SQL leaves out."""
     return table(spark, base, "articles").select("article_id", X.display_title(F.concat(F.upper(F.coalesce("title", F.lit(""))), F.lit(".."))).alias("shown"))
 
 
@@ -134,15 +127,6 @@ def d23_first_sentence_end(spark: SparkSession, base: str) -> DataFrame:
     return table(spark, base, "documents").select("doc_id", F.when(t.rlike(r"[.!?][\"')\]]*(\s|\z)"), F.length(F.regexp_extract(t, r"^((?s:.*?)[.!?][\"')\]]*)(\s|\z)", 1))).otherwise(-1).alias("first_end"))
 
 
-@query("""WITH v AS (SELECT * FROM (VALUES ('a', '{"capabilities":["vision","chat"]}'), ('b', '{"architecture":{"input_modalities":["text"]}}'), ('c', '{"vision":true}'), ('d', '{}')) t(id, j))
-SELECT id, CASE WHEN id IN ('a', 'c') THEN true WHEN id = 'b' THEN false END AS vision FROM v""")
-def d27_vision_flag(spark: SparkSession, base: str) -> DataFrame:
-    rows = [("a", '{"capabilities":["vision","chat"]}'), ("b", '{"architecture":{"input_modalities":["text"]}}'), ("c", '{"vision":true}'), ("d", "{}")]
-    v = spark.createDataFrame(rows, "id string, j string").withColumn("v", F.parse_json("j"))
-    caps, mods = F.try_variant_get("v", "$.capabilities", "array<string>"), F.try_variant_get("v", "$.architecture.input_modalities", "array<string>")
-    return v.select("id", F.coalesce(F.try_variant_get("v", "$.vision", "boolean"), F.array_contains(caps, "vision"), F.array_contains(mods, "image")).alias("vision"))
-
-
 @query("SELECT doc_id, page, run, CASE WHEN lower(trim(markdown)) = '<no text found>' THEN '' ELSE markdown END AS markdown FROM ocr_results")
 def d28_blank_pages(spark: SparkSession, base: str) -> DataFrame:
     return table(spark, base, "ocr_results").select("doc_id", "page", "run", X.blank_page(F.col("markdown")).alias("markdown"))
@@ -172,13 +156,11 @@ def d35_table_records(spark: SparkSession, base: str) -> DataFrame:
     return rows.select("k", F.posexplode(table_records(md)).alias("i", "spoken")).select(F.element_at("k", F.col("i") + 1).alias("n_nationkey"), "spoken")
 
 
-@query("SELECT doc_id, lower(to_base(list_reduce(list_prepend(5381::BIGINT, list_transform(string_split(left(title, 400), ''), lambda c: unicode(c)::BIGINT)), lambda h, c: (h * 33 + c) % 4294967296), 36)) AS hash FROM documents WHERE title <> ''")
+# code points beyond the first plane are two units of UTF-16
+@query("""WITH c AS (SELECT doc_id, list_transform(string_split(text, ''), lambda c: unicode(c)::BIGINT) AS p FROM documents),
+u AS (SELECT doc_id, flatten(list_transform(p, lambda c: CASE WHEN c < 65536 THEN [c] ELSE [55232 + c // 1024, 56320 + c % 1024] END)) AS u FROM c)
+SELECT doc_id, lower(to_base(list_reduce(list_prepend(5381::BIGINT, u), lambda h, c: (h * 33 + c) % 4294967296), 36)) AS hash FROM u""")
 def d36_text_hash(spark: SparkSession, base: str) -> DataFrame:
-    return table(spark, base, "documents").filter("title <> ''").select("doc_id", X.text_hash(F.left("title", F.lit(400))).alias("hash"))
-
-
-@query()
-def d36_text_hash_all(spark: SparkSession, base: str) -> DataFrame:
     """The hash of every document's whole text."""
     return table(spark, base, "documents").select("doc_id", X.text_hash(F.col("text")).alias("hash"))
 

@@ -131,6 +131,7 @@ class _Markdown(HTMLParser):
     def text(self) -> str:
         t = "".join(self.out).replace("\x02", " ")
         t = re.sub(r"(?<!!)\[\s*\]\([^)]*\)|(\*\*)\s*\1", "", t)
+        t = re.sub(r"(?m)^#{1,6}[ \t]*$", "", t)  # headings of nothing
         lines = [x.rstrip() for x in t.split("\n")]
         return re.sub(r"\n{3,}", "\n\n", "\n".join(x if x.startswith("    ") else x.lstrip() for x in lines)).strip()
 
@@ -293,6 +294,22 @@ def epub_chapters(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, "path string, chapter int, title string, markdown string, book_title string, author string, error string")
 
 
+def epub_images(files: DataFrame) -> DataFrame:
+    """(path, name, content): the images that the chapters of binary files with path and content show; of a bad book none."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for path, content in zip(pdf["path"], pdf["content"], strict=True):
+                try:
+                    rows.extend((path, name, data) for name, data in read_epub(bytes(content or b""))["images"].items())
+                except (ValueError, ElementTree.ParseError, KeyError):
+                    continue
+            yield pd.DataFrame(rows, columns=["path", "name", "content"])
+
+    return files.select("path", "content").mapInPandas(run, "path string, name string, content binary")
+
+
 def voice_file_kind(content: Column) -> Column:
     """pocket, phonon or unknown, by the tensor names in a voice file's header (a length, then JSON)."""
 
@@ -329,7 +346,7 @@ def voice_lines(spark: SparkSession, path: str, language: str = "en") -> DataFra
     from pyspark.sql import Window as W
 
     schema = "filename string, name string, language string, locale string, gender string, description string, _bad string"
-    rows = spark.read.schema(schema).option("columnNameOfCorruptRecord", "_bad").json(path).withColumn("_n", F.monotonically_increasing_id())
+    rows = spark.read.schema(schema).option("columnNameOfCorruptRecord", "_bad").json(path).withColumn("_n", F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id()))
     good = rows.filter(F.col("_bad").isNull() & F.col("name").isNotNull() & (F.col("language") == language))
     w = W.partitionBy("name").orderBy("_n")
     return good.withColumn("_r", F.row_number().over(w)).filter("_r = 1").select("filename", "name", "language", "locale", "gender", "description")

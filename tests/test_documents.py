@@ -1,11 +1,13 @@
 import io
 import json
 import struct
+import time
 import zipfile
 
 from pyspark.sql import functions as F
 
 from folioflow.operators import markdown as M
+from folioflow.operators import sequences as S
 from folioflow.plans import documents, records
 from folioflow.sources import readers as R
 from folioflow.streaming import pace
@@ -96,14 +98,33 @@ def test_voice_files_and_catalogues(spark, tmp_path):
 
 
 def test_stream_equals_batch(spark, tmp_path):
-    rows = [("e", f"v{i % 3}", 100.0, float(i)) for i in range(30)]
-    df = spark.createDataFrame(rows, "engine string, voice string, chars double, seconds double")
-    pace.append_log(df.limit(15), str(tmp_path / "log"))
-    pace.append_log(df.subtract(df.limit(15)), str(tmp_path / "log"))
+    rows = [("e", f"v{i % 3}", i, 100.0 + i, float(i)) for i in range(30)]
+    df = spark.createDataFrame(rows, "engine string, voice string, seq bigint, chars double, seconds double")
+    pace.append_log(df.filter("seq < 15").coalesce(1), str(tmp_path / "log"))
+    time.sleep(1.1)  # files of one batch after those of the other
+    pace.append_log(df.filter("seq >= 15").coalesce(1), str(tmp_path / "log"))
     stream = pace.read_log(spark, str(tmp_path / "log"), df.schema, maxFilesPerTrigger="1")
-    out = pace.drain(pace.running_pace(stream), f"t{tmp_path.name}")
-    back = pace.running_pace(spark.read.schema(df.schema).json(str(tmp_path / "log")))
-    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, back.collect()))
+    out = pace.drain(pace.running_pace(stream, cap=1_500.0), f"t{tmp_path.name}", "update").collect()
+    assert {r["batch"] for r in out} == {0, 1}
+    back = S.pace(df, cap=1_500.0).collect()
+    assert sorted(tuple(r)[:4] for r in out if r["batch"] == 1) == sorted(map(tuple, back))
+
+
+def test_pace_by_hand(spark):
+    df = spark.createDataFrame([("e", "v", 2, 700.0, 5.0), ("e", "v", 1, 500.0, 7.0), (None, "w", 1, None, 1.0)], "engine string, voice string, seq int, chars double, seconds double")
+    got = {r["voice"]: (r["chars"], r["seconds"]) for r in S.pace(df, cap=1_300.0).collect()}
+    # 900 + 500 passes the cap: 700 and 33.5; then 700 more passes it again
+    assert got == {"v": (700.0, 19.25), "w": (900.0, 61.0)}
+    assert S.pace(df.limit(0)).count() == 0
+
+
+def test_code_languages():
+    assert M.code_comments("```python\n# one thing\nx = '# no'\n\"\"\"doc here\"\"\"\n```") == ["one thing", "doc here"]
+    assert M.code_comments("```\ndef f(x):\n    # inner note\n    return x\nprint(f(1))\n```") == ["inner note"]
+    assert M.code_comments("```\n#!/usr/bin/env python3\n# hi there\n```") == ["hi there"]
+    assert M.code_comments("```ini\n; first\n# second\nk=v\n```") == ["first", "second"]
+    assert M.code_comments("```ps1\n<# long\none #>\n# short\n```") == ["long one", "short"]
+    assert M.code_comments("```\njust some words\n```") == [] == M.code_comments("")
 
 
 def test_pages_of_the_articles_own_text(spark, tmp_path):

@@ -77,7 +77,7 @@ def test_display_title_outside_ascii(spark, tmp_path):
         return "".join(w[0].upper() + w[1:] if re.match("[a-z]", w) else w for w in re.split(r"([^a-z0-9]+)", clean.lower()))
 
     spark.createDataFrame(list(enumerate(titles)), "article_id bigint, title string").write.parquet(f"{tmp_path}/articles.parquet")
-    got = {r["article_id"]: r["shown"] for r in texts.d11_display_title_all(spark, str(tmp_path)).collect()}
+    got = {r["article_id"]: r["shown"] for r in texts.d11_display_title(spark, str(tmp_path)).collect()}
     assert got == {i: brute(t) for i, t in enumerate(titles)}
     assert got[0] == "üBer Die BrüCke"
 
@@ -98,7 +98,7 @@ def test_whole_titles_and_texts(spark, tmp_path):
 
     rows = [(i, a, b) for i, (a, b) in enumerate(zip(title, text))]
     spark.createDataFrame(rows, "doc_id bigint, title string, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    hashes = {r["doc_id"]: r["hash"] for r in texts.d36_text_hash_all(spark, str(tmp_path)).collect()}
+    hashes = {r["doc_id"]: r["hash"] for r in texts.d36_text_hash(spark, str(tmp_path)).collect()}
     assert hashes == {i: None if t is None else brute(t) for i, t in enumerate(text)}
-    cells = {r["doc_id"]: r["cell"] for r in records.d34_clean_cell_all(spark, str(tmp_path)).collect()}
+    cells = {r["doc_id"]: r["cell"] for r in records.d34_clean_cell(spark, str(tmp_path)).collect()}
     assert cells == {0: "t" * 70 + " late code end", 1: None, 2: "", 3: "x", 4: "a b", 5: "gone"}
