@@ -36,6 +36,20 @@ def bounded_rows(df: DataFrame, limit: int) -> list | None:
     return None if len(rows) > limit else rows
 
 
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 * 1024 * 1024
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """``df``, written out and counted: to be broadcast if it has at most so many rows and characters, else as it is.
+
+    A join gives the same rows either way; beyond the bound it is shuffled.
+    """
+    kept = cut_lineage(df)
+    chars = sum((F.coalesce(F.length(F.col(c)), F.lit(0)) for c, kind in kept.dtypes if kind == "string"), F.lit(0))
+    n, total = kept.agg(F.count(F.lit(1)), F.coalesce(F.sum(chars), F.lit(0))).first()
+    return F.broadcast(kept) if n <= rows and 4 * total + 64 * n <= size else kept
+
+
 def hashed_sample(df: DataFrame, key: str, limit: int) -> DataFrame:
     """About ``limit`` rows of ``df``, at most that many, chosen by the hash of ``key``; all rows where there are no more.
 
