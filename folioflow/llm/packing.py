@@ -4,19 +4,23 @@ Bound-certified repacking. Documents are spread over partitions by a hash; each
 by best-fit decreasing and computes a lower bound on its number of containers by dual-feasible functions.
 A partition whose count meets the bound is certified optimal and stays. The others have a gap: they give
 the documents of their emptiest containers to an exchange, where groups of several partitions run
-best-fit decreasing again; the exchange is repeated with ever larger groups of what is still uncertified.
+best-fit decreasing again; the exchange is repeated with ever larger groups of what is still uncertified,
+until all is certified or one group is left. The bound of all documents together, from the counts of their
+sizes, certifies the whole (:func:`partition_bounds`).
 """
 
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.llm.splitting import boundaries
@@ -26,7 +30,6 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The public pre-tokenisation pattern that goes with the vocabulary. Fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 PER_PARTITION = 20_000
-ROUNDS = 2
 
 
 @cache
@@ -39,48 +42,65 @@ def encoder(path: str, pattern: str = PATTERN):
     return tiktoken.Encoding("folioflow", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def cut_to_capacity(text: str, count, capacity: int) -> list[tuple[int, int, int]]:
+def shipped(spark: SparkSession, path: str) -> str:
+    """The name under which the executors get the file at ``path``, which only the driver needs to have."""
+    spark.sparkContext.addFile(path)
+    return os.path.basename(path)
+
+
+def token_ends(text: str, encoding) -> np.ndarray:
+    """Per token of ``text``, the characters up to its end; one that ends inside a character counts it."""
+    sizes = np.fromiter((len(encoding.decode_single_token_bytes(k)) for k in encoding.encode_ordinary(text)), np.int64)
+    starts = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8) & 0xC0 != 0x80
+    upto = np.concatenate(([0], np.cumsum(starts)))
+    return upto[np.minimum(np.cumsum(sizes), len(upto) - 1)]
+
+
+def cut_to_capacity(text: str, count, capacity: int, ends: np.ndarray) -> list[tuple[int, int, int]]:
     """(start, end, tokens) of consecutive pieces of at most ``capacity`` tokens, cut at the strongest late boundary.
 
-    Only a text that does not fit is cut. A piece is as long as it can be, less what a good boundary costs.
+    Only a text that does not fit is cut. ``ends`` are the characters up to the end of each of its tokens,
+    worked out once, so a text costs what its length costs; a piece is counted anew, since its tokens may
+    differ at the seams, and is as long as it can be less what a good boundary costs.
     """
     out, at, n = [], 0, len(text)
     while at < n:
-        size = count(text[at:])
-        if size <= capacity:
-            out.append((at, n, size))
-            break
-        lo, hi = 1, min(n - at, max(1, int((n - at) * capacity / size * 1.3) + 8))
-        while lo < hi:  # the longest prefix that fits; more text has more tokens, but for a few at the seam
-            mid = (lo + hi + 1) // 2
-            lo, hi = (mid, hi) if count(text[at : at + mid]) <= capacity else (lo, mid - 1)
-        window = text[at : at + lo]
-        marks = {k: s for k, s in boundaries(window).items() if k > 0.7 * lo}
-        end = max(marks, key=lambda k: (marks[k], k)) if marks else lo
-        while end > 1 and count(window[:end]) > capacity:
-            end -= 1
-        out.append((at, at + end, count(window[:end])))
-        at += end
+        k = int(np.searchsorted(ends, at, side="right"))  # the first token that ends past ``at``
+        end = int(ends[k + capacity - 1]) if k + capacity - 1 < len(ends) else n
+        end = max(end, at + 1)
+        size = count(text[at:end])
+        while size > capacity and end > at + 1:
+            end -= max(1, (end - at) * (size - capacity) // (2 * size))
+            size = count(text[at:end])
+        if end < n:
+            marks = {k: s for k, s in boundaries(text[at:end]).items() if k > 0.7 * (end - at)}
+            for k in sorted(marks, key=lambda k: (marks[k], k), reverse=True):
+                shorter = count(text[at : at + k])
+                if shorter <= capacity:
+                    end, size = at + k, shorter
+                    break
+        out.append((at, end, size))
+        at = end
     return out or [(0, 0, 0)]
 
 
 def token_sizes(documents: DataFrame, capacity: int, tokenizer: str = TOKENIZER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, piece_no, char_start, char_end, n_tokens): one row per document, more for one over the capacity.
 
-    Null and empty texts have one piece of no tokens.
+    Null and empty texts have one piece of no tokens. The vocabulary file at ``tokenizer`` is sent to the executors.
     """
     docs = documents.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     kind = docs.schema["id"].dataType.simpleString()
+    name = shipped(documents.sparkSession, tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode_ordinary
-        count = lambda s: len(encode(s))
+        encoding = encoder(SparkFiles.get(name))
+        count = lambda s: len(encoding.encode_ordinary(s))
         for batch in batches:
             rows = []
             for k, t in enumerate(batch.column(1).to_pylist()):
-                # a token has at least one byte: short texts need no search for cuts
                 size = count(t)
-                parts = [(0, len(t), size)] if size <= capacity else cut_to_capacity(t, count, capacity)
+                parts = [(0, len(t), size)] if size <= capacity else cut_to_capacity(t, count, capacity, token_ends(t, encoding))
                 rows.extend((k, j, *p) for j, p in enumerate(parts))
             k, j, a, b, size = (np.array(c, np.int32) for c in zip(*rows, strict=True)) if rows else (np.empty(0, np.int32),) * 5
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(k)), pa.array(j), pa.array(a), pa.array(b), pa.array(size)], ["id", "piece_no", "char_start", "char_end", "n_tokens"])
@@ -110,11 +130,15 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return bins
 
 
-def lower_bound(sizes: np.ndarray, capacity: int) -> int:
-    """The best bound on the number of containers that two families of dual-feasible functions give."""
+def lower_bound(sizes: np.ndarray, capacity: int, counts: np.ndarray | None = None) -> int:
+    """The best bound on the number of containers that two families of dual-feasible functions give.
+
+    ``counts`` says how many items have each of the sizes; one each if it is left out.
+    """
     if not len(sizes):
         return 0
-    n = np.bincount(sizes.astype(np.int64), minlength=capacity + 1).astype(np.int64)
+    n = np.zeros(capacity + 1, np.int64)
+    np.add.at(n, sizes.astype(np.int64), 1 if counts is None else counts.astype(np.int64))
     x = np.arange(capacity + 1, dtype=np.int64)
     count, total = np.cumsum(n), np.cumsum(n * x)
     best = max(1, -(-int(total[-1]) // capacity))
@@ -148,35 +172,51 @@ def _pack_groups(items: DataFrame, level: int, capacity: int) -> DataFrame:
     return items.groupBy("grp").applyInPandas(pack, schema)
 
 
-def pack(documents: DataFrame, capacity: int, tokenizer: str = TOKENIZER, id_col: str = "doc_id", text_col: str = "text", per_partition: int = PER_PARTITION, rounds: int = ROUNDS) -> DataFrame:
-    """(<id_col>, piece_no, char_start, char_end, n_tokens, container, filled): every document in a container.
-
-    A document over the capacity is cut into pieces, each placed like a document; no other is cut. Null
-    and empty texts take no room but are placed. Repeated rows are placed each. Partitions hold about
-    ``per_partition`` documents whatever the table's size; ids spread them, not sources.
-    """
+def _packed(documents: DataFrame, capacity: int, tokenizer: str, id_col: str, text_col: str, per_partition: int) -> DataFrame:
+    """Every piece with the group that packed it last, its container there, and the group's count and bound."""
     sizes = cut_lineage(token_sizes(documents, capacity, tokenizer, id_col, text_col))
     parts = max(1, -(-sizes.count() // per_partition))
     packed = cut_lineage(_pack_groups(sizes.withColumn("grp", salt_of(F.struct("id", "piece_no"), parts).cast("long")), 0, capacity))
-    done = []
-    for level in range(1, rounds + 1):
-        # a gap of g containers can close only where g containers' worth of room is given back: the emptiest go
-        parts = max(1, -(-parts // 8))
-        give = (F.col("bins") > F.col("bound")) & (F.col("filled") < F.lit(capacity) * 0.98)
+    done, level = [], 0
+    # a gap of g containers can close only where g containers' worth of room is given back: the emptiest go
+    give = (F.col("bins") > F.col("bound")) & (F.col("filled") < F.lit(capacity) * 0.98)
+    while parts > 1 and not packed.filter(give).isEmpty():
+        level, parts = level + 1, -(-parts // 8)
         done.append(packed.filter(~give))
         back = packed.filter(give).select("id", "piece_no", "char_start", "char_end", "n_tokens", F.pmod(F.col("grp"), F.lit(parts)).cast("long").alias("grp"))
         packed = cut_lineage(_pack_groups(back, level, capacity))
-    out = packed
     for d in done:
-        out = out.unionByName(d)
-    return out.select(
-        F.col("id").alias(id_col), "piece_no", "char_start", "char_end", "n_tokens", F.concat_ws("-", "level", "grp", "bin").alias("container"), "filled"
-    )
+        packed = packed.unionByName(d)
+    return packed
+
+
+def pack(documents: DataFrame, capacity: int, tokenizer: str = TOKENIZER, id_col: str = "doc_id", text_col: str = "text", per_partition: int = PER_PARTITION) -> DataFrame:
+    """(<id_col>, piece_no, char_start, char_end, n_tokens, container, filled): every document in a container.
+
+    A document over the capacity is cut into pieces, each placed like a document; no other is cut. Null
+    and empty texts take no room but are placed. Repeated rows are placed each. Partitions hold about
+    ``per_partition`` documents whatever the table's size; ids spread them, not sources. An exchange takes
+    eight partitions' emptiest containers into one group, the next eight of those groups, and so on.
+    """
+    out = _packed(documents, capacity, tokenizer, id_col, text_col, per_partition)
+    return out.select(F.col("id").alias(id_col), "piece_no", "char_start", "char_end", "n_tokens", F.concat_ws("-", "level", "grp", "bin").alias("container"), "filled")
 
 
 def partition_bounds(documents: DataFrame, capacity: int, tokenizer: str = TOKENIZER, id_col: str = "doc_id", text_col: str = "text", per_partition: int = PER_PARTITION) -> DataFrame:
-    """(partition, containers, bound, certified): the first packing of each partition against its bound."""
-    sizes = cut_lineage(token_sizes(documents, capacity, tokenizer, id_col, text_col))
-    parts = max(1, -(-sizes.count() // per_partition))
-    packed = _pack_groups(sizes.withColumn("grp", salt_of(F.struct("id", "piece_no"), parts).cast("long")), 0, capacity)
-    return packed.groupBy(F.col("grp").alias("partition")).agg(F.max("bins").alias("containers"), F.max("bound").alias("bound")).withColumn("certified", F.col("containers") == F.col("bound"))
+    """(level, partition, containers, bound, certified): the containers that each group keeps in the end, against the
+    bound of the documents in them; level -1 is all of them together, bounded over the counts of all sizes.
+
+    The counts that reach the driver are at most capacity + 1.
+    """
+    packed = cut_lineage(_packed(documents, capacity, tokenizer, id_col, text_col, per_partition))
+    spark, schema = documents.sparkSession, "level int, partition long, containers long, bound long, certified boolean"
+
+    def bound(pdf: pd.DataFrame) -> pd.DataFrame:
+        used, least = pdf["bin"].nunique(), lower_bound(pdf["n_tokens"].to_numpy(np.int64), capacity)
+        return pd.DataFrame({"level": pdf["level"].iloc[:1], "partition": pdf["grp"].iloc[:1], "containers": [used], "bound": [least], "certified": [used == least]})
+
+    groups = packed.select("level", "grp", "bin", "n_tokens").groupBy("level", "grp").applyInPandas(bound, schema)
+    counts = packed.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).collect()
+    used = packed.select("level", "grp", "bin").distinct().count()
+    least = lower_bound(np.array([r["n_tokens"] for r in counts]), capacity, np.array([r["n"] for r in counts]))
+    return groups.unionByName(spark.createDataFrame([(-1, 0, used, least, used == least)], schema))

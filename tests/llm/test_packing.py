@@ -39,13 +39,25 @@ def test_whole_and_within_capacity(spark):
 
 
 def test_cut_to_capacity():
-    count = lambda s: len(s.split())
-    got = P.cut_to_capacity("a b c d. e f g h i j", count, 5)
-    assert got[0][2] <= 5 and got[-1][1] == len("a b c d. e f g h i j")
-    assert P.cut_to_capacity("", count, 5) == [(0, 0, 0)]
+    encoding = P.encoder(P.TOKENIZER)
+    count = lambda s: len(encoding.encode_ordinary(s))
+    for text in ("a b c d. e f g h i j", "x" * 5_000, "猫は犬を見た。" * 60, "👩\u200d💻 é" * 50, "Long text here. " * 400):
+        for capacity in (5, 64):
+            got = P.cut_to_capacity(text, count, capacity, P.token_ends(text, encoding))
+            assert "".join(text[a:b] for a, b, _ in got) == text and all(0 < s == count(text[a:b]) <= max(capacity, 4) for a, b, s in got)
+            assert len(got) <= 1.6 * count(text) / capacity + 2
+    assert P.cut_to_capacity("", count, 5, np.empty(0, np.int64)) == [(0, 0, 0)]
 
 
 @pytest.mark.parametrize("capacity", [64])
 def test_bounds_table(spark, capacity):
     df = spark.createDataFrame([(i, "word " * 20) for i in range(50)], "doc_id bigint, text string")
-    assert all(r["bound"] <= r["containers"] for r in P.partition_bounds(df, capacity, per_partition=20).collect())
+    rows = P.partition_bounds(df, capacity, per_partition=20).collect()
+    assert all(r["bound"] <= r["containers"] for r in rows)
+    whole = next(r for r in rows if r["level"] == -1)
+    assert whole["containers"] == sum(r["containers"] for r in rows if r["level"] >= 0) == P.pack(df, capacity, per_partition=20).select("container").distinct().count()
+
+
+def test_bound_over_counts():
+    sizes = np.array([60, 60, 34, 34, 34, 0])
+    assert P.lower_bound(sizes, 100) == P.lower_bound(np.array([60, 34, 0]), 100, np.array([2, 3, 1]))
