@@ -99,11 +99,10 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         pairs = np.unique(cls.astype(np.int64) * (len(batch) + 1) + row[order])
         docs = np.bincount(pairs // (len(batch) + 1), minlength=len(starts))
         first = order[starts]
-        deepest = np.maximum.reduceat(lcp, starts)
         domain = batch.column("domain").take(pa.array(row[first]))
         yield pa.RecordBatch.from_arrays(
-            [domain, pa.array(ids[first]), pa.array(docs.astype(np.int64)), pa.array(np.maximum(deepest, 1).astype(np.int64))],
-            ["domain", "line", "docs", "block"],
+            [domain, pa.array(ids[first]), pa.array(docs.astype(np.int64))],
+            ["domain", "line", "docs"],
         )
 
 
@@ -115,7 +114,7 @@ def frequent_lines(pages: DataFrame, min_docs: int = MIN_DOCS, min_share: float
     """
     counts = (
         pages.select("domain", "ids")
-        .mapInArrow(_count_batches, "domain string, line bigint, docs bigint, block bigint")
+        .mapInArrow(_count_batches, "domain string, line bigint, docs bigint")
         .groupBy("domain", "line")
         .agg(F.sum("docs").alias("docs"))
         .filter(F.col("docs") >= min_docs)
