@@ -47,3 +47,22 @@ def test_halves_of_genuine_compounds_are_read(spark):
     table = spark.createDataFrame([(f"d{k}", "x", [p], "x") for k, p in enumerate(pages)], "id string, title string, raw_pages array<string>, line string")
     got = {(r["doc_id"], r["line_no"], r["kind"]) for r in S.noise(table, ocr(spark)).collect()}
     assert {x for x in got if x[2] != "furniture"} == {("d7", 2, "misread"), ("d8", 3, "misread")}
+
+
+def test_context_decides_on_doubtful_forms(spark):
+    """A form that is no rarity beside the frequent one is a misreading only where its left neighbour stands before the latter."""
+    good, alike = "They saw the letter there.", "We met lctter once."
+    pages = ["\n".join([good] * 15 + ["They saw the lctter there."] * 2 + [alike] * 2)]
+    table = spark.createDataFrame([("d", "x", pages, "x")], "id string, title string, raw_pages array<string>, line string")
+    got = {(r["line_no"], r["kind"]) for r in S.noise(table, ocr(spark)).collect() if r["kind"] == "misread"}
+    assert got == {(16, "misread"), (17, "misread")}
+
+
+def test_stamps_are_learned_from_their_ends(spark):
+    """Lines at the edge that end alike in many documents are furniture, whatever stands before."""
+    text = BODY.replace("\n", " ").strip()
+    pages = [(f"d{k}", "x", [f"{W[k % 12].title()}{k} House Press no. {1900 + k}\n{text}\n{text}\n{text}"], "x") for k in range(12)]
+    one = [("z", "x", [f"Lone words told in {1900}\n{text}\n{text}\n{text}"], "x")]
+    table = spark.createDataFrame(pages + one, "id string, title string, raw_pages array<string>, line string")
+    got = {(r["doc_id"], r["line_no"]) for r in S.noise(table, ocr(spark)).collect() if r["kind"] == "furniture"}
+    assert got == {(f"d{k}", 1) for k in range(12)}
