@@ -8,8 +8,9 @@ the frequent form instead; the form that replaces it is the one its left neighbo
 are joined where the join is a better attested form than the hyphenated word. What remains is reflowed into
 paragraphs with SQL windows over (document, page, line).
 
-A page is one row, its lines an array, until single words are counted: the texts are shuffled once, by
-document, and what a page must know of its document (masks, title, the next page's first word) comes to it.
+A page is one row, its lines an array, until single words are counted. What a page must know of its
+document (masks, title, the next page's first word) comes to it in joins by runs of pages, so that a long
+document spreads; each of them moves the texts once, and no line or word is ever shuffled with its text.
 """
 
 from __future__ import annotations
@@ -28,6 +29,9 @@ CONFUSED_FROM = "ceyvbh" + "@0íìîï†159!6(|$83áàóòú"
 CONFUSED_TO = "eevvhh" + "aoiiiitlsgihelsheaaoou"
 CONFUSED = (("ri", "n"), ("rn", "m"), ("el", "d"), ("ii", "u"), ("vv", "w"), ("li", "h"))
 EDGE = 3
+#: Pages of a document that stay together, and the columns that tell such runs.
+RUN = 200
+RUN_KEYS = ["field", "doc_id", "run"]
 SHARED_DOCS = 4
 SHARED_ENDS = 8
 RARE = 0.08
@@ -51,20 +55,20 @@ def skeleton(word: Column) -> Column:
 def page_rows(docs: DataFrame, ocr: DataFrame) -> DataFrame:
     """(field, doc_id, page, rows): a row per page, its lines that are not blank with what their place tells.
 
-    Repeated rows once, failed readings not. The pages of a document come together; nothing after this
-    moves a text to another task.
+    Repeated rows once, failed readings not. A document's pages are numbered in runs of RUN.
     """
     raw = docs.filter(F.col("raw_pages").isNotNull()).select(F.col("id").alias("doc_id"), F.posexplode("raw_pages").alias("page", "text")).withColumn("page", F.col("page") + 1)
     again = ocr.filter(~F.coalesce("failed", F.lit(False))).select("doc_id", "page", F.col("markdown").alias("text"))
     both = raw.withColumn("field", F.lit("raw_pages")).unionByName(again.withColumn("field", F.lit("ocr_results"))).filter(F.col("text").isNotNull())
-    pages = both.repartition("doc_id").distinct().select("field", "doc_id", "page", F.split("text", "\n", -1).alias("raw"))
+    both = both.withColumn("run", F.floor(F.coalesce("page", F.lit(0)) / RUN).cast("int"))
+    pages = both.distinct().select(*RUN_KEYS, "page", F.split("text", "\n", -1).alias("raw"))
     pages = pages.withColumn("ts", F.transform("raw", lambda x: F.regexp_replace(x, r"^[\s*#>_]+|[\s*_]+$", "")))
     blank = lambda i: F.coalesce(F.get("ts", i) == "", F.lit(True))
     rows = F.filter(
         F.transform("raw", lambda x, i: F.struct((i + 1).alias("line_no"), x.alias("line"), F.get("ts", i).alias("t"), blank(i - 1).alias("alone_before"), blank(i + 1).alias("alone_after"))),
         lambda r: r["t"] != "",
     )
-    pages = pages.select("field", "doc_id", "page", rows.alias("rows"))
+    pages = pages.select(*RUN_KEYS, "page", rows.alias("rows"))
 
     def placed(r: Column, i: Column) -> Column:
         edge = (i < EDGE) | (i >= F.size("rows") - EDGE)
@@ -88,7 +92,8 @@ def _tail(mask: Column) -> Column:
 
 def known_masks(pages: DataFrame) -> DataFrame:
     """(doc_id, recurring, shared, tails): of each document, the masks that recur on its own pages, those with a number
-    that edges of other documents have as well, and the ends that lines of other documents share."""
+    that edges of other documents have as well, and the ends that lines of other documents share. A mask that recurs
+    without a bound is one entry."""
     edges = F.transform(F.filter("rows", lambda r: r["edge"]), lambda r: r["mask"])
     e = cut_lineage(pages.select("field", "doc_id", "page", F.explode(edges).alias("mask")))
     recurring = e.groupBy("doc_id", "field", "mask").agg(F.countDistinct("page").alias("n")).filter("n >= 2").select("doc_id", "mask", F.lit("recurring").alias("how"))
@@ -106,7 +111,8 @@ def known_masks(pages: DataFrame) -> DataFrame:
 def mark_furniture(pages: DataFrame, titles: DataFrame) -> DataFrame:
     """``pages`` with ``furniture`` in each of their rows."""
     known = titles.groupBy("doc_id").agg(F.max("title").alias("title"))
-    full = pages.join(known_masks(pages), "doc_id", "left").join(known, "doc_id", "left")
+    runs = pages.select(*RUN_KEYS).distinct().join(known_masks(pages), "doc_id", "left").join(known, "doc_id", "left")
+    full = pages.join(runs, RUN_KEYS, "left")
     full = full.withColumn("b", _letters(F.coalesce("title", F.lit("")))).withColumn("has_body", F.size(F.filter("rows", lambda r: ~r["alone_before"])) >= 2)
     b, has_body = F.col("b"), F.col("has_body")
     held = lambda name, x: F.coalesce(F.array_contains(name, x), F.lit(False))
@@ -133,7 +139,7 @@ def mark_furniture(pages: DataFrame, titles: DataFrame) -> DataFrame:
         apart = (i < EDGE) & above & below & has_body & r["t"].rlike(r"^[^\p{Ll}]") & ~_running(r["t"]) & ~r["t"].rlike(_TEMPLATE)
         return F.struct(r["line_no"].alias("line_no"), r["line"].alias("line"), (F.get("flags", i) | F.coalesce(apart, F.lit(False))).alias("furniture"))
 
-    return full.select("field", "doc_id", "page", F.transform("rows", settled).alias("rows"))
+    return full.select(*RUN_KEYS, "page", F.transform("rows", settled).alias("rows"))
 
 
 def _running(t: Column) -> Column:
@@ -149,8 +155,13 @@ def body_rows(pages: DataFrame) -> DataFrame:
     p = pages.withColumn("l", lines)
     first, last = F.get("l", F.lit(0)), F.get("l", F.size("l") - 1)
     p = p.withColumn("first", F.when(F.size("l") > 0, F.struct(first["tok"].alias("tok"), F.col("page"), first["line_no"].alias("line_no")))).withColumn("last_cut", last["cut"])
-    # the next and the last page that have any text
-    p = p.withColumn("after", F.expr("lead(first) IGNORE NULLS OVER (PARTITION BY field, doc_id ORDER BY page)")).withColumn("before", F.expr("lag(last_cut) IGNORE NULLS OVER (PARTITION BY field, doc_id ORDER BY page)"))
+    # the next and the last page that have any text, in the run or, over its ends, in the document
+    within = "OVER (PARTITION BY field, doc_id, run ORDER BY page)"
+    p = cut_lineage(p.withColumn("after", F.expr(f"lead(first) IGNORE NULLS {within}")).withColumn("before", F.expr(f"lag(last_cut) IGNORE NULLS {within}")))
+    ends = p.groupBy(*RUN_KEYS).agg(F.min_by("first", F.when(F.col("first").isNotNull(), F.col("page"))).alias("run_first"), F.max_by("last_cut", F.when(F.col("last_cut").isNotNull(), F.col("page"))).alias("run_cut"))
+    over = "OVER (PARTITION BY field, doc_id ORDER BY run)"
+    ends = ends.select(*RUN_KEYS, F.expr(f"lead(run_first) IGNORE NULLS {over}").alias("run_after"), F.expr(f"lag(run_cut) IGNORE NULLS {over}").alias("run_before"))
+    p = p.join(ends, RUN_KEYS, "left").withColumn("after", F.coalesce("after", "run_after")).withColumn("before", F.coalesce("before", "run_before"))
 
     def joined(r: Column, i: Column) -> Column:
         nxt = F.get("l", i + 1)

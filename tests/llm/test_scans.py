@@ -66,3 +66,9 @@ def test_stamps_are_learned_from_their_ends(spark):
     table = spark.createDataFrame(pages + one, "id string, title string, raw_pages array<string>, line string")
     got = {(r["doc_id"], r["line_no"]) for r in S.noise(table, ocr(spark)).collect() if r["kind"] == "furniture"}
     assert got == {(f"d{k}", 1) for k in range(12)}
+
+
+def test_runs_of_pages_give_what_whole_documents_give(spark, monkeypatch):
+    whole = sorted(map(tuple, S.noise(docs(spark), ocr(spark)).collect()))
+    monkeypatch.setattr(S, "RUN", 1)
+    assert sorted(map(tuple, S.noise(docs(spark), ocr(spark)).collect())) == whole
