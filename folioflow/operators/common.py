@@ -28,6 +28,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def passing(spark: SparkSession, at: str) -> str:
+    """Marks a folder as one that goes when the session's file system is closed; returns it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return at
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` as a table in the shared checkpoint folder, of which each reader takes the columns it needs.
 
@@ -36,8 +43,7 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     at = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(at)
-    path = spark._jvm.org.apache.hadoop.fs.Path(at)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    passing(spark, at)
     return spark.read.schema(df.schema).parquet(at)
 
 

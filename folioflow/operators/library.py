@@ -138,6 +138,13 @@ def described_voices(catalogue: DataFrame, voices: DataFrame) -> DataFrame:
     return known.unionByName(alone)
 
 
+def described_engines(engines: DataFrame, voices: DataFrame) -> DataFrame:
+    """``engines`` with available, n_voices and voices: those of each by name; one without a voice is not available."""
+    has = voices.groupBy("engine").agg(F.sort_array(F.collect_list("name")).alias("voices"), F.count(F.lit(1)).alias("n_voices"))
+    out = engines.join(has, "engine", "left")
+    return out.select(*engines.columns, F.col("voices").isNotNull().alias("available"), F.coalesce("n_voices", F.lit(0)).alias("n_voices"), F.coalesce("voices", F.array().cast("array<string>")).alias("voices"))
+
+
 def grouped_voices(voices: DataFrame) -> DataFrame:
     """(label, place, names): voices in labelled groups, groups and names in order."""
     rows = voices.withColumn("label", X.group_label(F.col("language"), F.col("dialect"), F.col("gender")))

@@ -62,9 +62,14 @@ def a22_import_title(spark: SparkSession, base: str) -> DataFrame:
     return table(spark, base, "docs").select("id", F.substring(F.coalesce(F.nullif(F.trim("title"), F.lit("")), first), 1, 80).alias("title")).distinct()
 
 
-@query("SELECT DISTINCT engine, count(*) OVER (PARTITION BY engine) AS n_voices, list(name ORDER BY name) OVER (PARTITION BY engine ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS voices FROM voices")
+_ENGINES = "en AS (SELECT * FROM (VALUES ('phonon', 'Phonon', false), ('pocket', 'Pocket', true), ('quiet', 'Quiet', false)) t(engine, label, cloning))"
+
+
+@query(f"WITH {_ENGINES}, v AS (SELECT engine, list(name ORDER BY name) AS voices, count(*) AS n_voices FROM voices GROUP BY 1) SELECT engine, label, cloning, v.engine IS NOT NULL AS available, coalesce(n_voices, 0) AS n_voices, coalesce(voices, []) AS voices FROM en LEFT JOIN v USING (engine)")
 def a24_engines(spark: SparkSession, base: str) -> DataFrame:
-    return table(spark, base, "voices").groupBy("engine").agg(F.count(F.lit(1)).alias("n_voices"), F.sort_array(F.collect_list("name")).alias("voices"))
+    """The engines known, one of them without any voice here, each with what it can do and the voices it has."""
+    known = spark.createDataFrame([("phonon", "Phonon", False), ("pocket", "Pocket", True), ("quiet", "Quiet", False)], "engine string, label string, cloning boolean")
+    return L.described_engines(known, table(spark, base, "voices"))
 
 
 @query("SELECT DISTINCT * EXCLUDE rn FROM (SELECT id, title, updated_at, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC) rn FROM docs) WHERE rn = 1")

@@ -13,7 +13,7 @@ from folioflow.functions import text as X
 from folioflow.operators import library as L
 from folioflow.operators import markdown as M
 from folioflow.operators import sequences as S
-from folioflow.operators.common import ensure_checkpoint_dir
+from folioflow.operators.common import ensure_checkpoint_dir, passing
 from folioflow.plans.library import ITEMS, KEY, NATURAL, RANKS, LABEL
 from folioflow.plans.registry import query
 from folioflow.plans.texts import SLUG
@@ -28,7 +28,7 @@ ENGINES = ("phonon", "pocket")
 def a01_voice_catalogue(spark: SparkSession, base: str) -> DataFrame:
     """A catalogue file per engine, read back and keyed by the normalised name, the last of a key kept."""
     doc = table(spark, base, "voices").groupBy("engine").agg(F.to_json(F.struct(F.sort_array(F.collect_list(F.struct("name", "language"))).alias("voices"))).alias("value"))
-    at = f"{ensure_checkpoint_dir(spark)}/voices_{uuid.uuid4().hex}"
+    at = passing(spark, f"{ensure_checkpoint_dir(spark)}/voices_{uuid.uuid4().hex}")
     doc.write.partitionBy("engine").text(at)
     parts = [readers.voice_catalog(spark, f"{at}/engine={e}").select(F.lit(e).alias("engine"), "name", "language") for e in ENGINES]
     return reduce(DataFrame.unionByName, parts)
@@ -39,7 +39,7 @@ def a03_jsonl_catalogue(spark: SparkSession, base: str) -> DataFrame:
     """A file with a JSON line per voice, read back: blank and broken lines skipped, one language kept, the first of a name."""
     v = table(spark, base, "voices").select(F.to_json(F.struct("name", F.col("engine").alias("filename"), F.lower(F.substring("language", 1, 2)).alias("language"))).alias("value"), "engine", "name")
     bad = spark.range(1).select(F.explode(F.array(F.lit(""), F.lit("{bad"), F.lit("[1"))).alias("value"), F.lit("").alias("engine"), F.lit("").alias("name"))
-    at = f"{ensure_checkpoint_dir(spark)}/lines_{uuid.uuid4().hex}"
+    at = passing(spark, f"{ensure_checkpoint_dir(spark)}/lines_{uuid.uuid4().hex}")
     v.unionByName(bad).coalesce(1).sortWithinPartitions("engine", "name").select("value").write.text(at)
     return readers.voice_lines(spark, at).select("name", "filename")
 

@@ -177,9 +177,10 @@ def i13_breadcrumb_stack(spark: SparkSession, base: str) -> DataFrame:
     return S.breadcrumbs(h, "doc_id", "id", "level", "heading")
 
 
-@query("SELECT voice, first(doc_id ORDER BY doc_id, chunk_idx) AS first_doc FROM tts_chunks GROUP BY 1")
+@query("SELECT voice, first(doc_id ORDER BY doc_id, chunk_idx, text) AS first_doc, first(text ORDER BY doc_id, chunk_idx, text) AS first_text FROM tts_chunks GROUP BY 1")
 def i14_first_occurrence(spark: SparkSession, base: str) -> DataFrame:
-    return table(spark, base, "tts_chunks").groupBy("voice").agg(F.min("doc_id").alias("first_doc"))
+    first = F.min(F.struct("doc_id", "chunk_idx", "text"))
+    return table(spark, base, "tts_chunks").groupBy("voice").agg(first.alias("f")).select("voice", F.col("f.doc_id").alias("first_doc"), F.col("f.text").alias("first_text"))
 
 
 @query(r"""WITH s AS (SELECT doc_id, id AS section_id, level, upper(heading) AS heading, lower(trim(heading)) AS h, length(regexp_replace(coalesce(heading, ''), '[^A-Za-z]', '', 'g')) >= 4 AS caps FROM sections),

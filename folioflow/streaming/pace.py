@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import LongType, StructField, StructType
 
-from folioflow.operators.common import ensure_checkpoint_dir
+from folioflow.operators.common import ensure_checkpoint_dir, passing
 from folioflow.operators.sequences import PACE_CAP, SEED_CHARS, SEED_SECONDS, fold_pace
 
 
@@ -45,7 +45,7 @@ def drain(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
     In update mode each micro-batch's rows carry its number as batch, of which the greatest of a key counts.
     """
     spark = stream.sparkSession
-    at = f"{ensure_checkpoint_dir(spark)}/{name}"
+    at = passing(spark, f"{ensure_checkpoint_dir(spark)}/{name}")
 
     def put(batch: DataFrame, number: int) -> None:
         rows = batch.withColumn("batch", F.lit(number).cast("bigint")) if mode == "update" else batch
