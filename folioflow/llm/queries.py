@@ -187,6 +187,18 @@ v AS (
 d AS (SELECT k, unnest(list_transform(range(1, len(a) - 10), lambda i: array_to_string(a[i:i + 11], ' '))) AS g FROM w),
 e AS (SELECT k, unnest(list_transform(range(1, len(a) - 10), lambda i: array_to_string(a[i:i + 11], ' '))) AS g FROM v)
 """
+ORACLE["p9_items"] = r"""
+WITH w AS (
+  SELECT doc_id AS k, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS a FROM documents),
+v AS (
+  SELECT item_id AS k, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS a FROM eval_items),
+d AS (SELECT k, unnest(range(1, len(a) - 10)) AS p, unnest(list_transform(range(1, len(a) - 10), lambda i: array_to_string(a[i:i + 11], ' '))) AS g FROM w),
+e AS (SELECT k, unnest(range(1, len(a) - 10)) AS p, unnest(list_transform(range(1, len(a) - 10), lambda i: array_to_string(a[i:i + 11], ' '))) AS g FROM v),
+m AS (SELECT d.k AS doc_id, e.k AS item_id, d.p, d.p - e.p AS diagonal FROM d JOIN e USING (g)),
+r AS (SELECT doc_id, item_id, diagonal, p - row_number() OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY p) AS island FROM m),
+n AS (SELECT doc_id, item_id, count(*) + 11 AS run FROM r GROUP BY doc_id, item_id, diagonal, island)
+SELECT item_id, count(DISTINCT doc_id) AS n_docs, max(run)::INTEGER AS longest FROM n GROUP BY 1
+"""
 ORACLE["p9_found"] = _P9 + "SELECT DISTINCT d.k AS doc_id, e.k AS item_id FROM d JOIN e USING (g)"
 
 
