@@ -22,13 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from folioflow.operators.common import bounded_rows
+from folioflow.operators.common import bounded_rows, salt_of
 
 MIN_WORDS = 12
 MISMATCHES = 2
 #: Found by search: MIN_WORDS equal words and MISMATCHES others between them always hold one of these.
 MASKS = ((1, 1, 1, 0, 0, 1, 0, 1, 1, 1), (1, 1, 0, 1, 1, 1, 1, 0, 0, 0, 0, 1), (1, 0, 1, 1, 1, 0, 1, 0, 1, 1))
 MAX_ITEMS = 5_000
+SALTS = 8
 _WORD = re.compile(r"[^\W_]+")
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -166,7 +167,10 @@ def _joined(docs: DataFrame, tests: DataFrame, schema: str, min_words: int, mask
         kept = [F.when(F.size("w") - F.col("p") >= len(mask), F.xxhash64(F.lit(m), *[F.try_element_at("w", F.col("p") + 1 + k) for k, keep in enumerate(mask) if keep])) for m, mask in enumerate(masks)]
         return pos.select(key, F.explode(F.array_compact(F.array(*kept))).alias("h")).distinct()
 
-    pairs = seeds(docs, "dr", "t").join(seeds(tests, "ir", "x"), "h").select("dr", "ir").distinct()
+    # a passage that very many documents hold is one hash: the tests, the smaller side, are copied once a salt
+    many = seeds(docs, "dr", "t").withColumn("salt", salt_of(F.col("dr"), SALTS))
+    few = seeds(tests, "ir", "x").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    pairs = many.join(few, ["h", "salt"]).select("dr", "ir").distinct()
     full = pairs.join(docs, "dr").join(tests, "ir").select("d", "t", "i", "x", (F.col("n_dr") * F.col("n_ir")).alias("n"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
