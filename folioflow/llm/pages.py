@@ -282,10 +282,12 @@ def decode(field: Field, pages: list[list[str]], memo: dict) -> np.ndarray:
     return out
 
 
-def body_lines(field: Field, text: str | None, memo: dict) -> set[int]:
-    """Numbers, from 1, of the lines of one page's main body."""
-    numbers, lines = _blocks(text)
-    return {n for n, y in zip(numbers, decode(field, [lines], memo), strict=True) if y} if lines else set()
+def body_lines(field: Field, texts: list[str | None], memo: dict) -> list[set[int]]:
+    """Of each page the numbers, from 1, of the lines of its main body; all pages are decoded at once."""
+    got = [_blocks(t) for t in texts]
+    body = decode(field, [b for _, b in got], memo)
+    ends = np.cumsum([0, *(len(n) for n, _ in got)])
+    return [{n for n, y in zip(numbers, body[a:b], strict=True) if y} for (numbers, _), a, b in zip(got, ends, ends[1:], strict=False)]
 
 
 def _blocks(text: str | None) -> tuple[list[int], list[str]]:

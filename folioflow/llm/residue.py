@@ -211,12 +211,11 @@ def find_residue(records: DataFrame, key_cols: list[str], text_col: str, wrapped
         memo: dict[str, float] = {}
         own: dict = {}
         for batch in batches:
-            got = []
-            for t in batch.column("_t").to_pylist():
-                holes, residue, prose = judge(parts(t, wrapped, None), model, memo)
-                if residue and field is not None:
-                    _, residue, prose = judge(parts(t, wrapped, pages.body_lines(field, t, own)), model, memo)
-                got.append((holes, residue, prose))
+            texts = batch.column("_t").to_pylist()
+            got = [judge(parts(t, wrapped, None), model, memo) for t in texts]
+            asked = [k for k, (_, residue, _) in enumerate(got) if residue] if field is not None else []
+            for k, body in zip(asked, pages.body_lines(field, [texts[k] for k in asked], own) if asked else [], strict=True):
+                got[k] = got[k][0], *judge(parts(texts[k], wrapped, body), model, memo)[1:]
             a, b, c = zip(*got, strict=True) if got else ((), (), ())
             flag = [h > 0 or outweighs(x, y) for h, x, y in got]
             cols = [pa.array(v, pa.int32()) for v in (a, b, c)]
@@ -237,8 +236,8 @@ def sample_texts(records: DataFrame, key: str, text_col: str, limit: int) -> lis
 def learn(articles: DataFrame, scans: DataFrame, sample: int = SAMPLE_RECORDS, seeds: Seeds | None = None) -> tuple[Bayes, pages.Field]:
     """The model and the field of the web pages; ``scans`` has record_key and markdown."""
     field = pages.fitted(articles, "article_id", "domain", "markdown")
-    own: dict = {}
-    records = [parts(t, False, pages.body_lines(field, t, own)) for t in sample_texts(articles, "article_id", "markdown", sample // 2)]
+    texts = sample_texts(articles, "article_id", "markdown", sample // 2)
+    records = [parts(t, False, body) for t, body in zip(texts, pages.body_lines(field, texts, {}), strict=True)]
     records += [parts(t, True, None) for t in sample_texts(scans, "record_key", "markdown", sample // 2)]
     return fit(records, seeds), field
 
