@@ -59,7 +59,7 @@ for _lang, _words in _LATIN.items():
     for _w in _words.split():
         _SHORT[_w] = (*_SHORT.get(_w, ()), _lang)
 _KANA = re.compile("[぀-ヿ]")
-_WORD = re.compile(r"(?:[^\W\d_]|[\u0300-\u036f\u064b-\u065f\u0900-\u0903\u093a-\u094f\u0e31\u0e34-\u0e4e])+")
+_WORD = re.compile(r"[^\W\d_]+(?:[\u0300-\u036f\u064b-\u065f\u0900-\u0903\u093a-\u094f\u0e31\u0e34-\u0e4e]+[^\W\d_]*)*")
 _URL = re.compile(r"\[[^\]\n]*\]\([^)\n]*\)|<?https?://[^\s>)]+>?|\bwww\.[^\s)]+")
 _SEPARATOR = re.compile(r"[|#,;、，；•·/>　]| - |\d+")
 _MARK = re.compile(r"[.!?。！？।؟]")
@@ -83,10 +83,12 @@ def words_language(words: list[str], is_ascii: bool) -> str:
                 if dense:
                     found["ja" if len(_KANA.findall(dense)) > 0.08 * letters else "zh"] = len(dense)
                 return found.most_common(1)[0][0]
-    hits = Counter()
-    for langs in filter(None, map(_SHORT.get, words)):
-        hits.update(langs)
-    return max(_LATIN, key=lambda k: hits[k]) if hits else "other"
+    hits = dict.fromkeys(_LATIN, 0)
+    for langs, n in Counter(filter(None, map(_SHORT.get, words))).items():
+        for k in langs:
+            hits[k] += n
+    best = max(hits, key=hits.get)
+    return best if hits[best] else "other"
 
 
 def language(text: str) -> str:
